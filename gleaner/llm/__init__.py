@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that hold the operators, in the order of their numbers.
-MODULES = ("bpe",)
+MODULES = ("urls", "bpe", "quality")
 
 
 def _gather(name: str) -> dict:
