@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that hold the operators, in the order of their numbers.
-MODULES = ("urls", "bpe", "mixing", "quality", "licenses")
+MODULES = ("secrets", "lines", "urls", "bpe", "mixing", "quality", "licenses")
 
 
 def _gather(name: str) -> dict:

@@ -78,7 +78,12 @@ class LicenseScanner:
                 if (m := pattern.search(flat, max(a, done), b)) and b > done:
                     done = m.end()
                     out.append((label, flat.count(" ", 0, m.start() + (flat[m.start()] == " ")) - 1, flat.count(" ", 0, m.end() - flat.endswith(" ", m.start(), m.end())), sum(m.fuzzy_counts), m[0]))
-        return sorted(out)
+        # where notices differ by a word or two, the one with the fewest edits has the place
+        kept: list[tuple[str, int, int, int, str]] = []
+        for span in sorted(out, key=lambda s: (s[3], s[0], s[1])):
+            if all(span[2] <= k[1] or k[2] <= span[1] or k[3] == span[3] for k in kept[:1000]):
+                kept.append(span)
+        return sorted(kept)
 
     def scan(self, text: str | None) -> dict:
         words = text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
