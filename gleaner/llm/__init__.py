@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that hold the operators, in the order of their numbers.
-MODULES = ("secrets", "lines", "urls", "bpe", "mixing", "quality", "njaccard", "lattice", "licenses")
+MODULES = ("secrets", "lines", "urls", "bpe", "mixing", "quality", "njaccard", "lattice", "neighbours", "licenses")
 
 
 def _gather(name: str) -> dict:
