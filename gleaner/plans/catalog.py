@@ -1,6 +1,491 @@
-"""The queries of the retrieval engine by name, each with the SQL that gives the same rows."""
+"""The queries of the retrieval engine by name, each with the SQL that gives the same rows.
+
+Scores are rounded to 9 places before they are ranked, on both sides, and to 6 where they are
+shown. Searches take the ``benchmark`` passages as their batch of queries, vector searches every
+vector whose id is divisible by 20; by convention a document's vector is that with its number.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.config import ChunkParams
+from gleaner.functions import text as T
+from gleaner.functions.html import article_text, article_text_sql
+from gleaner.functions.stopwords import ENGLISH
+from gleaner.operators import evaluate as E
+from gleaner.operators import index as I
+from gleaner.operators import search as Q
+from gleaner.operators import stats as S
+from gleaner.operators import vectors as V
+from gleaner.sources.articles import attach_text
+
+K = 10
+ONE_QUERY = "station of the ereading thertion and erthe reening"
+SHARD_LIMIT = 20_000
+PREFIX = "tion"
+CHUNKS = ChunkParams(ctx=64, overlap=8)
+VECTOR_STEP = 20
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(function):
+        QUERIES[name] = function
+        if sql is not None:
+            SQL[name] = sql
+        return function
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.analyzed(_table(spark, sf_dir, "documents"))
+
+
+def _one_query(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.lit(1).alias("qid"), F.lit(ONE_QUERY).alias("text"))
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"), "label")
+
+
+def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).filter(F.col("doc") % VECTOR_STEP == 0).select(F.col("doc").alias("qid"), "vector")
+
+
+# SQL in parts --------------------------------------------------------------------------------
+
+_PUNCTUATION = "'" + (T.SPACED + ",").replace("'", "''") + "' || chr(39)"
+_STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH) + "]"
+_SPACE = "'[ \\t\\n\\r\\f\\v]+'"
+
+
+def _words(text: str) -> str:
+    plain = f"translate(lower({text}), {_PUNCTUATION}, repeat(' ', {len(T.SPACED)}))"
+    return f"list_filter(string_split_regex(coalesce({plain}, ''), {_SPACE}), lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w))"
+
+
+_D = f"d AS (SELECT doc_id AS doc, {_words('text')} AS words FROM documents)"
+_TF = f"{_D}, w AS (SELECT doc, unnest(words) AS word FROM d), tf AS (SELECT doc, word, count(*) AS tf FROM w GROUP BY doc, word)"
+_STATS = f"{_TF}, l AS (SELECT doc, CAST(len(words) AS BIGINT) AS doc_len FROM d), s AS (SELECT count(*) AS n, avg(doc_len) AS avgdl FROM l), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word)"
+_SPARSE = (
+    f"{_STATS}, sp AS (SELECT doc, word, tf, doc_len, ln(n / df) AS idf, tf * ln(n / df) AS tf_idf,"
+    " ln(n / df) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avgdl)) AS bm25 FROM tf JOIN l USING (doc) JOIN df USING (word) CROSS JOIN s)"
+)
+_ONE = f"q AS (SELECT 1 AS qid, '{ONE_QUERY}' AS text)"
+_MANY = "q AS (SELECT item_id AS qid, text FROM benchmark)"
+_QW = f"qw AS (SELECT qid, word, count(*) AS qtf FROM (SELECT qid, unnest({_words('text')}) AS word FROM q) GROUP BY qid, word)"
+
+
+def _bm25(queries: str, k: int) -> str:
+    return (
+        f"{_SPARSE}, {queries}, {_QW}, sc AS (SELECT qid, doc, round(sum(bm25), 9) AS score FROM sp JOIN qw USING (word) GROUP BY qid, doc),"
+        f" hits AS (SELECT * FROM (SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC NULLS LAST, doc) AS rank FROM sc) WHERE rank <= {k})"
+    )
+
+
+def _tfidf(queries: str, k: int) -> str:
+    return (
+        f"{_SPARSE}, {queries}, {_QW}, qv AS (SELECT qid, word, qtf * idf AS qw FROM qw JOIN (SELECT DISTINCT word, idf FROM sp) USING (word)),"
+        " qn AS (SELECT qid, sqrt(sum(qw * qw)) AS qnorm FROM qv GROUP BY qid),"
+        " sc AS (SELECT qid, doc, round(sum(qw * tf_idf) / nullif(sqrt(sum(tf_idf * tf_idf)) * any_value(qnorm), 0), 9) AS score FROM sp JOIN qv USING (word) JOIN qn USING (qid) GROUP BY qid, doc),"
+        f" hits AS (SELECT * FROM (SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC NULLS LAST, doc) AS rank FROM sc) WHERE rank <= {k})"
+    )
+
+
+_V = "v AS (SELECT vec_id AS doc, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings)"
+_NEAR = f"{_V}, qv AS (SELECT doc AS qid, x AS q FROM v WHERE doc % {VECTOR_STEP} = 0)"
+
+
+def _knn(pairs: str, k: int = K) -> str:
+    return (
+        f"n AS (SELECT qid, doc, round(1 - list_cosine_similarity(x, q), 9) AS distance FROM {pairs}),"
+        f" near AS (SELECT * FROM (SELECT qid, doc, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, doc) AS rank FROM n) WHERE rank <= {k})"
+    )
+
+
+def _shown(hits: DataFrame, score: str = "score") -> DataFrame:
+    return hits.select("qid", "doc", F.round(score, 6).alias(score), "rank")
+
+
+# analysis ------------------------------------------------------------------------------------
+
+
+@query("tokenize", f"SELECT doc_id AS doc, CAST(len(words) AS BIGINT) AS n_words, array_to_string(words, ' ') AS words FROM (SELECT doc_id, {_words('text')} AS words FROM documents)")
+def tokenize(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc", F.size("words").cast("bigint").alias("n_words"), F.array_join("words", " ").alias("words"))
+
+
+@query("remove_punctuation", f"SELECT doc_id AS doc, translate(lower(text), {_PUNCTUATION}, repeat(' ', {len(T.SPACED)})) AS text FROM documents")
+def remove_punctuation(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.remove_punctuation(F.lower("text")).alias("text"))
+
+
+@query(
+    "remove_stopwords",
+    f"SELECT item_id AS qid, array_to_string(list_filter(string_split_regex(lower(text), {_SPACE}), lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w)), ' ') AS text FROM benchmark",
+)
+def remove_stopwords(spark, sf_dir):
+    return _batch(spark, sf_dir).select("qid", F.array_join(T.remove_stopwords(T.tokens(F.lower("text"))), " ").alias("text"))
+
+
+#: Digits of the text are first turned into glyphs, so that there is something to replace.
+def _glyphs(digits: str, to: str) -> str:
+    return f"translate(text, '{digits}', '{to}')"
+
+
+@query("special_numbers", "SELECT item_id AS qid, " + "replace(" * 9 + _glyphs("eanrtiosd", "①②③④⑤⑥⑦⑧⑨") + "".join(f", '{chr(0x2460 + i)}', '({i + 1})')" for i in range(9)) + " AS text FROM benchmark")
+def special_numbers(spark, sf_dir):
+    return _batch(spark, sf_dir).select("qid", T.special_numbers(F.translate("text", "eanrtiosd", "①②③④⑤⑥⑦⑧⑨")).alias("text"))
+
+
+@query("superscripts", f"SELECT doc_id AS doc, translate(regexp_replace({_glyphs('0123456789', T.SUPERSCRIPTS)}, '([⁰¹²³⁴-⁹]+)', '^\\1 ', 'g'), '{T.SUPERSCRIPTS}', '0123456789') AS text FROM documents")
+def superscripts(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.replace_superscripts(F.translate("text", "0123456789", T.SUPERSCRIPTS)).alias("text"))
+
+
+@query("subscripts", f"SELECT doc_id AS doc, translate(regexp_replace({_glyphs('0123456789', T.SUBSCRIPTS)}, '([₀-₉]+)', '^\\1 ', 'g'), '{T.SUBSCRIPTS}', '0123456789') AS text FROM documents")
+def subscripts(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.replace_subscripts(F.translate("text", "0123456789", T.SUBSCRIPTS)).alias("text"))
+
+
+@query("full_analysis")
+def full_analysis(spark, sf_dir):
+    """The full profile: number words, stems."""
+    return S.analyzed(_table(spark, sf_dir, "documents"), words=T.full_words()).select("doc", F.array_join("words", " ").alias("words"))
+
+
+@query("stem_vocabulary")
+def stem_vocabulary(spark, sf_dir):
+    """Stems of the distinct words."""
+    words = S.document_frequencies(S.term_frequencies(_docs(spark, sf_dir)))
+    return words.select("word", T.stemmed("word").alias("stem"), "df")
+
+
+@query("number_words")
+def number_words(spark, sf_dir):
+    text = T.remove_punctuation(F.lower("text"))
+    return _batch(spark, sf_dir).unionByName(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("qid"), F.col("url").alias("text"))).select("qid", T.spelled(text).alias("text"))
+
+
+@query("extract_article_parser")
+def extract_article_parser(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", article_text("html").alias("text")).filter(F.col("text").isNotNull())
+
+
+@query(
+    "extract_article",
+    "SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '(?is)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&') AS text FROM pages",
+)
+def extract_article(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", article_text_sql(F.col("html")).alias("text"))
+
+
+@query("paragraph_split", "SELECT doc, CAST(i - 1 AS INT) AS para, p AS text FROM (SELECT doc_id AS doc, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ps, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM documents)")
+def paragraph_split(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(T.paragraphs(F.col("text"), "\n")).alias("para", "text"))
+
+
+@query("content_hash", "SELECT doc_id AS doc, sha256(text) AS hash FROM documents")
+def content_hash(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.content_hash(F.col("text")).alias("hash"))
+
+
+@query("passage_text", "SELECT doc_id AS doc, substring(text, 11, 40) AS text FROM documents")
+def passage_text(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.passage(F.col("text"), F.lit(10), F.lit(50)).alias("text"))
+
+
+# statistics ----------------------------------------------------------------------------------
+
+
+@query("term_freq", f"WITH {_TF} SELECT doc, word, tf FROM tf")
+def term_freq(spark, sf_dir):
+    return S.term_frequencies(_docs(spark, sf_dir))
+
+
+@query("doc_freq", f"WITH {_TF} SELECT word, count(*) AS df FROM tf GROUP BY word")
+def doc_freq(spark, sf_dir):
+    return S.document_frequencies(S.term_frequencies(_docs(spark, sf_dir)))
+
+
+@query("merged_doc_freq", f"WITH {_TF} SELECT word, count(*) AS df FROM tf GROUP BY word")
+def merged_doc_freq(spark, sf_dir):
+    """Frequencies of two halves of the corpus, merged."""
+    docs = _docs(spark, sf_dir)
+    halves = [S.document_frequencies(S.term_frequencies(docs.filter(F.pmod(F.hash("doc"), F.lit(2)) == i))) for i in (0, 1)]
+    return S.merge_frequencies(*halves)
+
+
+@query("doc_len", f"WITH {_STATS} SELECT doc, doc_len FROM l")
+def doc_len(spark, sf_dir):
+    return S.document_lengths(_docs(spark, sf_dir))
+
+
+@query("corpus_stats", f"WITH {_STATS} SELECT n AS corpus_size, round(avgdl, 9) AS avg_doc_len FROM s")
+def corpus_stats(spark, sf_dir):
+    return S.corpus_stats(S.document_lengths(_docs(spark, sf_dir))).select("corpus_size", F.round("avg_doc_len", 9).alias("avg_doc_len"))
+
+
+@query("avg_corpus_size", f"WITH {_STATS} SELECT round(sum(tf) / any_value(n), 9) AS avg_doc_len FROM tf CROSS JOIN s")
+def avg_corpus_size(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return S.average_size(S.term_frequencies(docs), docs.count()).select(F.round("avg_doc_len", 9).alias("avg_doc_len"))
+
+
+@query("n_documents", f"WITH {_TF} SELECT count(DISTINCT doc) AS n_docs FROM tf")
+def n_documents(spark, sf_dir):
+    return S.document_count(_docs(spark, sf_dir).filter(F.size("words") > 0))
+
+
+@query("idf", f"WITH {_STATS} SELECT word, df, round(ln(n / df), 9) AS idf FROM df CROSS JOIN s")
+def idf(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    stats = S.corpus_stats(S.document_lengths(docs))
+    return S.idf(S.document_frequencies(S.term_frequencies(docs)), stats).select("word", "df", F.round("idf", 9).alias("idf"))
+
+
+@query("query_idf", f"WITH {_STATS}, {_MANY}, {_QW} SELECT DISTINCT word, round(ln(n / df), 9) AS idf FROM df CROSS JOIN s JOIN qw USING (word)")
+def query_idf(spark, sf_dir):
+    """Inverse document frequencies of the queries' words."""
+    words = Q.query_words(_batch(spark, sf_dir))
+    return Q.weighted(_docs(spark, sf_dir), words).select("word", F.round("idf", 9).alias("idf")).distinct()
+
+
+@query("sparse_vectors", f"WITH {_SPARSE} SELECT doc, word, tf, doc_len, round(idf, 6) AS idf, round(tf_idf, 6) AS tf_idf, round(bm25, 6) AS bm25 FROM sp")
+def sparse_vectors(spark, sf_dir):
+    return S.sparse_vectors(_docs(spark, sf_dir)).select("doc", "word", "tf", "doc_len", *[F.round(c, 6).alias(c) for c in ("idf", "tf_idf", "bm25")])
+
+
+@query("normalised_tf", f"WITH {_STATS} SELECT doc, word, round(tf / doc_len, 9) AS ntf FROM tf JOIN l USING (doc)")
+def normalised_tf(spark, sf_dir):
+    return S.normalised_tf(_docs(spark, sf_dir)).select("doc", "word", F.round("ntf", 9).alias("ntf"))
+
+
+@query("top_terms", f"WITH {_STATS} SELECT word, df FROM df ORDER BY df DESC, word LIMIT 100")
+def top_terms(spark, sf_dir):
+    return S.top_terms(S.document_frequencies(S.term_frequencies(_docs(spark, sf_dir))), 100)
+
+
+# index ---------------------------------------------------------------------------------------
+
+
+@query("doc_ids", "SELECT doc_id AS doc, row_number() OVER (ORDER BY doc_id) AS doc_int FROM documents")
+def doc_ids(spark, sf_dir):
+    return I.document_ids(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc")))
+
+
+@query("postings", f"WITH {_TF}, ids AS (SELECT doc_id AS doc, row_number() OVER (ORDER BY doc_id) AS i FROM documents) SELECT word, array_to_string(list(i ORDER BY i), ' ') AS docs, count(*) AS df FROM tf JOIN ids USING (doc) GROUP BY word")
+def postings(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    lists = I.postings(S.term_frequencies(docs), I.document_ids(docs))
+    return lists.select("word", F.array_join(F.col("docs").cast("array<string>"), " ").alias("docs"), F.size("docs").cast("bigint").alias("df"))
+
+
+@query("candidates_or", f"WITH {_TF}, {_MANY}, {_QW} SELECT DISTINCT qid, doc FROM tf JOIN qw USING (word)")
+def candidates_or(spark, sf_dir):
+    words = Q.query_words(_batch(spark, sf_dir)).select("qid", "word")
+    return I.candidates(words, I.postings(S.term_frequencies(_docs(spark, sf_dir))))
+
+
+@query("exact_lookup", f"WITH {_TF} SELECT word, count(*) AS df FROM tf WHERE word IN ('tion', 'ereading', 'station') GROUP BY word")
+def exact_lookup(spark, sf_dir):
+    return I.lookup(S.document_frequencies(S.term_frequencies(_docs(spark, sf_dir))), ["tion", "ereading", "station"])
+
+
+@query("prefix_lookup", f"WITH {_TF} SELECT word, count(*) AS df FROM tf WHERE starts_with(word, '{PREFIX}') GROUP BY word")
+def prefix_lookup(spark, sf_dir):
+    return I.prefix_lookup(S.document_frequencies(S.term_frequencies(_docs(spark, sf_dir))), PREFIX)
+
+
+@query("decode_ids", "SELECT doc_int, doc, source FROM (SELECT doc_id AS doc, source, row_number() OVER (ORDER BY doc_id) AS doc_int FROM documents)")
+def decode_ids(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source")
+    ids = I.document_ids(docs)
+    coded = docs.join(ids, "doc").select("doc_int", "source")
+    return I.decode(coded, ids).select("doc_int", "doc", "source")
+
+
+@query("new_words", f"WITH {_TF} SELECT word FROM (SELECT DISTINCT word FROM (SELECT unnest({_words('text')}) AS word FROM benchmark)) WHERE word NOT IN (SELECT word FROM tf WHERE doc IN (SELECT doc_id FROM documents WHERE lang <> 'en'))")
+def new_words(spark, sf_dir):
+    """Words of the passages that no document in another language has."""
+    old = S.analyzed(_table(spark, sf_dir, "documents").filter("lang <> 'en'")).select(F.explode("words").alias("word")).distinct()
+    new = _batch(spark, sf_dir).select(F.explode(T.simple_words(F.col("text"))).alias("word"))
+    return I.new_words(old, new)
+
+
+@query(
+    "shard_pack",
+    f"""WITH RECURSIVE {_STATS}, f AS (SELECT df, count(*) AS n, row_number() OVER (ORDER BY df DESC) AS k FROM df GROUP BY df),
+steps AS (SELECT 0::BIGINT AS k, 0::BIGINT AS df, 0::BIGINT AS shard, 0::BIGINT AS room, 1::BIGINT AS per, 0::BIGINT AS next_shard, 0::BIGINT AS used
+  UNION ALL SELECT k, df, shard, room, per, shard + more, CASE WHEN more = 0 THEN used + n * df ELSE (n - room - (more - 1) * per) * df END
+  FROM (SELECT *, (greatest(0, n - room) + per - 1) // per AS more
+    FROM (SELECT f.k, f.df, f.n, s.next_shard AS shard, s.used, greatest(1, {SHARD_LIMIT} // f.df) AS per,
+      CASE WHEN s.used = 0 THEN greatest(1, {SHARD_LIMIT} // f.df) ELSE greatest(0, ({SHARD_LIMIT} - s.used) // f.df) END AS room
+      FROM steps s JOIN f ON f.k = s.k + 1))),
+p AS (SELECT word, df, row_number() OVER (PARTITION BY df ORDER BY word) - 1 AS i FROM df)
+SELECT word, df, CAST(CASE WHEN i < room THEN shard ELSE shard + 1 + (i - room) // per END AS BIGINT) AS shard FROM p JOIN steps USING (df)""",
+)
+def shard_pack(spark, sf_dir):
+    return I.pack_shards(S.document_frequencies(S.term_frequencies(_docs(spark, sf_dir))), SHARD_LIMIT)
+
+
+# search --------------------------------------------------------------------------------------
+
+
+@query("bm25_topk", f"WITH {_bm25(_ONE, 50)} SELECT qid, doc, round(score, 6) AS score, rank FROM hits")
+def bm25_topk(spark, sf_dir):
+    return _shown(Q.bm25(_docs(spark, sf_dir), _one_query(spark), 50))
+
+
+@query("bm25_batch", f"WITH {_bm25(_MANY, K)} SELECT qid, doc, round(score, 6) AS score, rank FROM hits")
+def bm25_batch(spark, sf_dir):
+    return _shown(Q.bm25(_docs(spark, sf_dir), _batch(spark, sf_dir), K))
+
+
+@query("bm25_index", f"WITH {_bm25(_MANY, K)} SELECT qid, doc, round(score, 6) AS score, rank FROM hits")
+def bm25_index(spark, sf_dir):
+    """The same from the sparse vectors of the whole corpus."""
+    return _shown(Q.search_index(S.sparse_vectors(_docs(spark, sf_dir)), _batch(spark, sf_dir), K))
+
+
+@query("tfidf_topk", f"WITH {_tfidf(_ONE, 50)} SELECT qid, doc, round(score, 6) AS score, rank FROM hits")
+def tfidf_topk(spark, sf_dir):
+    return _shown(Q.tfidf(_docs(spark, sf_dir), _one_query(spark), 50))
+
+
+@query("tfidf_batch", f"WITH {_tfidf(_MANY, K)} SELECT qid, doc, round(score, 6) AS score, rank FROM hits")
+def tfidf_batch(spark, sf_dir):
+    return _shown(Q.tfidf(_docs(spark, sf_dir), _batch(spark, sf_dir), K))
+
+
+@query("min_score", f"WITH {_bm25(_MANY, K)} SELECT qid, doc, round(score, 6) AS score, rank FROM hits WHERE score >= 20")
+def min_score(spark, sf_dir):
+    return _shown(Q.bm25(_docs(spark, sf_dir), _batch(spark, sf_dir), K, min_score=20.0))
+
+
+@query(
+    "attach_text",
+    f"WITH {_bm25(_ONE, 50)} SELECT qid, doc, rank, coalesce(CASE WHEN x.doc_id IS NULL THEN 'ERROR: COULD NOT LOCATE ARTICLE AT ' || doc END, text) AS text FROM hits LEFT JOIN (SELECT doc_id, text FROM documents WHERE lang = 'en') x ON x.doc_id = doc",
+)
+def attach_texts(spark, sf_dir):
+    """Hits with their texts; those of other languages count as missing."""
+    hits = Q.bm25(_docs(spark, sf_dir), _one_query(spark), 50)
+    texts = _table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("doc"), "text")
+    return attach_text(hits, texts).select("qid", "doc", "rank", "text")
+
+
+# vectors -------------------------------------------------------------------------------------
+
+
+@query("vector_knn", f"WITH {_NEAR}, {_knn('v CROSS JOIN qv')} SELECT qid, doc, round(distance, 6) AS distance, rank FROM near")
+def vector_knn(spark, sf_dir):
+    return _shown(V.nearest(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), K), "distance")
+
+
+@query("vector_knn_filtered", f"WITH {_NEAR}, {_knn('v CROSS JOIN qv WHERE doc IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)')} SELECT qid, doc, round(distance, 6) AS distance, rank FROM near")
+def vector_knn_filtered(spark, sf_dir):
+    keep = _table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("doc"))
+    return _shown(V.nearest(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), K, keep=keep), "distance")
+
+
+@query("mean_pool", "SELECT label, CAST(pos - 1 AS INT) AS pos, round(avg(CAST(x AS DOUBLE)), 9) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos")
+def mean_pool(spark, sf_dir):
+    return V.mean_pool(_vectors(spark, sf_dir), ["label"]).select("label", "pos", F.round("mean", 9).alias("mean"))
+
+
+_RERANK = f"{_bm25(_MANY, 50)}, {_V}, qv AS (SELECT item_id AS qid, x AS q FROM benchmark JOIN v ON v.doc = item_id), {_knn('hits JOIN v USING (doc) JOIN qv USING (qid)')}"
+
+
+@query("rerank", f"WITH {_RERANK} SELECT qid, doc, round(distance, 6) AS distance, rank FROM near")
+def rerank(spark, sf_dir):
+    """BM25, then cosine distance to the vector with the query's number."""
+    first = Q.bm25(_docs(spark, sf_dir), _batch(spark, sf_dir), 50)
+    vectors = _vectors(spark, sf_dir).select("doc", "vector")
+    asked = _batch(spark, sf_dir).join(vectors, F.col("qid") == F.col("doc")).select("qid", "vector")
+    return _shown(V.rerank(first, vectors, asked, K), "distance")
+
+
+@query(
+    "chunk_windows",
+    f"""WITH p AS (SELECT doc_id AS doc, ps, i, ps[i] AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ps, generate_subscripts(ps, 1) AS i FROM documents)),
+t AS (SELECT doc, CAST(i - 1 AS INT) AS para, regexp_extract_all(p, '[^ \\t\\n\\r\\f\\v]+') AS t, CAST(coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x) + 1)), 0) AS INT) AS para_offset FROM p WHERE p <> ''),
+w AS (SELECT doc, para, para_offset, t, CASE WHEN len(t) < {CHUNKS.ctx} THEN [0] ELSE range(0, len(t), {CHUNKS.ctx - CHUNKS.overlap}) END AS starts FROM t WHERE len(t) > 0)
+SELECT doc, para, CAST(k - 1 AS INT) AS chunk, array_to_string(t[s + 1:least(s + {CHUNKS.ctx}, len(t))], ' ') AS tokens, para_offset FROM (SELECT doc, para, para_offset, t, unnest(starts) AS s, generate_subscripts(starts, 1) AS k FROM w)""",
+)
+def chunk_windows(spark, sf_dir):
+    rows = V.chunks(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), CHUNKS, separator="\n")
+    return rows.select("doc", "para", "chunk", F.array_join("tokens", " ").alias("tokens"), "para_offset")
+
+
+@query("chunk_embeddings")
+def chunk_embeddings(spark, sf_dir):
+    """Chunks with their spans in the article and a vector."""
+    rows = V.chunks(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), CHUNKS, separator="\n")
+    rows = rows.select("doc", "chunk", "tokens", F.array(F.col("start") + F.col("para_offset"), F.col("end") + F.col("para_offset")).alias("start_end"))
+    return V.embed(rows, V.HashingEncoder(16)).select("doc", "chunk", "start_end", "vector")
+
+
+# evaluation ----------------------------------------------------------------------------------
+
+_TARGETS = "target AS (SELECT item_id AS qid, doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+def _targets(spark, sf_dir) -> DataFrame:
+    """(qid, doc): the documents that hold a passage. They share its first three words, which is what the join is on."""
+    def triples(text):
+        words = F.split(text, " ")
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - 3)), lambda i: F.array_join(F.slice(words, i + 1, 3), " "))
+
+    passages = _batch(spark, sf_dir).select("qid", F.col("text").alias("passage"), F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("key"))
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    keyed = docs.select("doc", F.explode(F.array_distinct(F.flatten(F.transform(F.split("text", "\n"), triples)))).alias("key"))
+    found = keyed.join(Q.small(passages), "key").select("qid", "doc", "passage").distinct()
+    return found.join(docs, "doc").filter(F.contains(F.col("text"), F.col("passage"))).select("qid", "doc")
+
+
+@query("passage_targets", f"WITH {_TARGETS} SELECT qid, doc FROM target")
+def passage_targets(spark, sf_dir):
+    return _targets(spark, sf_dir)
+
+
+@query("rank_position", f"WITH {_bm25(_MANY, 50)}, {_TARGETS} SELECT qid, doc, CAST(coalesce(rank, -1) AS INT) AS rank FROM target LEFT JOIN hits USING (qid, doc)")
+def rank_position(spark, sf_dir):
+    return E.target_ranks(_targets(spark, sf_dir), Q.bm25(_docs(spark, sf_dir), _batch(spark, sf_dir), 50))
+
+
+@query(
+    "passage_recall",
+    f"WITH {_bm25(_MANY, 50)}, {_TARGETS}, r AS (SELECT coalesce(rank, 999) AS rank FROM target LEFT JOIN hits USING (qid, doc)) SELECT count(*) AS targets, "
+    + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END), 9) AS recall_at_{k}" for k in E.CUTOFFS)
+    + " FROM r",
+)
+def passage_recall(spark, sf_dir):
+    ranks = E.target_ranks(_targets(spark, sf_dir), Q.bm25(_docs(spark, sf_dir), _batch(spark, sf_dir), 50))
+    return E.recall(ranks).select("targets", *[F.round(f"recall_at_{k}", 9).alias(f"recall_at_{k}") for k in E.CUTOFFS])
+
+
+@query("sample_documents", "SELECT doc_id AS doc FROM documents ORDER BY md5('4321:' || doc_id), doc_id LIMIT 5")
+def sample_documents(spark, sf_dir):
+    return E.sample_documents(_table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("doc"))
+
+
+@query(
+    "exact_passages",
+    f"WITH {_D} SELECT doc, array_to_string(words[s + 1:s + 25], ' ') AS passage FROM (SELECT doc, words, CAST(('0x' || substring(md5('4321:' || doc), 1, 8)) AS BIGINT) % greatest(1, CAST(floor(len(words) * 0.75) AS BIGINT)) AS s FROM d WHERE len(words) > 0)",
+)
+def exact_passages(spark, sf_dir):
+    return E.exact_passages(_docs(spark, sf_dir))
