@@ -66,7 +66,7 @@ def budgets(leaves: DataFrame, levels, weights: dict, budget_percent: int, max_e
         before = order.rowsBetween(Window.unboundedPreceding, -1)
         after = order.rowsBetween(0, Window.unboundedFollowing)
         children = children.select("*", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_below"), F.sum("_w").over(after).alias("_rest"))
-        children = children.withColumn("_full", F.expr("cast(_c as double) * _rest <= cast(_w as double) * (_a - _below)"))
+        children = children.withColumn("_full", F.expr("_w > 0 and cast(_c as double) * _rest <= cast(_w as double) * (_a - _below)"))
         open_from = Window.partitionBy(*up)
         children = children.withColumn("_used", F.sum(F.expr("if(_full, _c, 0L)")).over(open_from)).withColumn("_left", F.sum(F.expr("if(_full, 0L, _w)")).over(open_from))
         shares = children.select(*down, F.expr("if(_full, _c, coalesce((_w * (_a - _used)) div nullif(_left, 0L), 0L))").alias("_share"))
@@ -145,7 +145,7 @@ def _level_sql(depth: int) -> str:
     weight = _case(LEVELS[depth], level)
     return f"""
 c{depth} AS (SELECT {down}, c, {weight} AS w, share AS a FROM (SELECT {down}, CAST(sum(c) AS BIGINT) AS c FROM leaf GROUP BY {down}) {above}),
-f{depth} AS (SELECT *, CAST(c AS DOUBLE) * (sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+f{depth} AS (SELECT *, w > 0 AND CAST(c AS DOUBLE) * (sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
     <= CAST(w AS DOUBLE) * (a - coalesce(sum(c) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS full_ FROM c{depth}
     WINDOW o AS ({part} ORDER BY c / CAST(w AS DOUBLE), {level})),
 s{depth} AS (SELECT {down}, CAST(CASE WHEN full_ THEN c ELSE (w * (a - sum(CASE WHEN full_ THEN c ELSE 0 END) OVER ({part})))
