@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import Rows, materialize, release, table
 from gleaner.llm.graph import salted_join
 
-TABLES = 5
-REACH = 0.58
-WIDTH = 1.0
+TABLES = 3
+REACH = 0.6
+WIDTH = 2.0
 SMALL = 2000
-CELL_ROWS = 400
+CELL_ROWS = 250
 MOST_SAMPLE = 2000
 BLOCK_VECTORS = 1024
 BLOCK_QUERIES = 1024
@@ -179,7 +179,7 @@ def search(vectors: DataFrame, queries: Column, most: int = 5, tables: int = TAB
     """(query_id, rank, vec_id, score): the ``most`` nearest found for the rows that ``queries`` is true for."""
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(queries, F.lit(False)).alias("ask")).filter(F.col("id").isNotNull() & usable(F.col("vec")))
     # equal vectors: their smallest ids, cut down before the shuffle (window group limit)
-    ranked = rows.select("id", "vec").withColumn("r", F.rank().over(Window.partitionBy("vec").orderBy("id"))).filter(F.col("r") <= most + 1)
+    ranked = rows.select("id", "vec").withColumn("r", F.dense_rank().over(Window.partitionBy("vec").orderBy("id"))).filter(F.col("r") <= most + 1)
     entries = materialize(ranked.groupBy("vec").agg(F.sort_array(F.collect_set("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "ids", "vec"), "ann-entries")
     asked = materialize(rows.filter("ask").dropDuplicates(["id", "vec"]).select("id", F.lit(None).cast("array<bigint>").alias("ids"), "vec"), "ann-queries")
     n, n_asked = entries.count(), asked.count()
