@@ -25,25 +25,32 @@ def query_words(queries: DataFrame, words=simple_words) -> DataFrame:
 
 def small(rows: DataFrame) -> DataFrame:
     """Marked for broadcast if a count shows that it is small."""
-    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+    return marker(rows)(rows)
 
 
-def matching(docs: DataFrame, words: DataFrame) -> DataFrame:
+def marker(words: DataFrame):
+    """What marks frames with at most a row per row of ``words`` for broadcast: checked once, on
+    the query's words, whose number bounds all that is derived from them (their frequencies)."""
+    return F.broadcast if words.count() <= MOST_BROADCAST else lambda rows: rows
+
+
+def matching(docs: DataFrame, words: DataFrame, mark=None) -> DataFrame:
     """(doc, doc_len, word, tf) of the words asked for. Lengths are those of whole documents."""
-    asked = small(words.select("word").distinct())
+    asked = (mark or marker(words))(words.select("word").distinct())
     rows = docs.select("doc", F.size("words").cast("bigint").alias("doc_len"), F.explode("words").alias("word"))
     return rows.join(asked, "word", "left_semi").groupBy("doc", "word").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
 
 
-def weighted(docs: DataFrame, words: DataFrame, params: BM25Params = BM25Params()) -> DataFrame:
+def weighted(docs: DataFrame, words: DataFrame, params: BM25Params = BM25Params(), mark=None) -> DataFrame:
     """(word, doc, tf, idf, tf_idf, bm25) of the words asked for: the part of the sparse vectors that a search reads.
 
     The document frequency of a word counts all its rows, so the restriction to the words asked
     for changes nothing; the corpus statistics are over all documents."""
     stats = S.corpus_stats(S.document_lengths(docs))
-    rows = matching(docs, words)
+    mark = mark or marker(words)
+    rows = matching(docs, words, mark)
     n_docs = S.idf(S.document_frequencies(rows), stats).select("word", "idf")
-    rows = rows.join(small(n_docs), "word").join(F.broadcast(stats))
+    rows = rows.join(mark(n_docs), "word").join(F.broadcast(stats))
     return rows.select("word", "doc", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"), S.bm25_weight(F.col("tf"), F.col("doc_len"), F.col("idf"), F.col("avg_doc_len"), params).alias("bm25"))
 
 
@@ -57,21 +64,23 @@ def top(scored: DataFrame, k: int, score: str = "score", tie: str = "doc", ascen
 def bm25(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS, params: BM25Params = BM25Params(), words=simple_words, min_score: float | None = None) -> DataFrame:
     """(qid, doc, score, rank): sum of BM25 over a query's distinct words; unknown words add nothing. ``docs``: (doc, words)."""
     asked = query_words(queries, words).select("qid", "word")
-    scored = weighted(docs, asked, params).join(small(asked), "word").groupBy("qid", "doc").agg(F.round(F.sum("bm25"), DIGITS).alias("score"))
+    mark = marker(asked)
+    scored = weighted(docs, asked, params, mark).join(mark(asked), "word").groupBy("qid", "doc").agg(F.round(F.sum("bm25"), DIGITS).alias("score"))
     return top(at_least(scored, min_score), k)
 
 
 def tfidf(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS, words=simple_words, min_score: float | None = None) -> DataFrame:
     """(qid, doc, score, rank): cosine of the query's and the document's TF-IDF over the query's words; null where a norm is 0."""
     asked = query_words(queries, words)
-    rows = weighted(docs, asked)
-    idf = small(rows.select("word", "idf").distinct())
+    mark = marker(asked)
+    rows = weighted(docs, asked, mark=mark)
+    idf = mark(rows.select("word", "idf").distinct())
     vectors = asked.join(idf, "word").withColumn("qw", F.col("qtf") * F.col("idf"))
     norms = vectors.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    pairs = rows.select("word", "doc", "tf_idf").join(small(vectors.select("qid", "word", "qw")), "word")
+    pairs = rows.select("word", "doc", "tf_idf").join(mark(vectors.select("qid", "word", "qw")), "word")
     sums = pairs.groupBy("qid", "doc").agg(F.sum(F.col("qw") * F.col("tf_idf")).alias("dot"), F.sqrt(F.sum(F.col("tf_idf") * F.col("tf_idf"))).alias("norm"))
     score = F.try_divide(F.col("dot"), F.col("norm") * F.col("qnorm"))
-    scored = sums.join(small(norms), "qid").select("qid", "doc", F.round(score, DIGITS).alias("score"))
+    scored = sums.join(mark(norms), "qid").select("qid", "doc", F.round(score, DIGITS).alias("score"))
     return top(at_least(scored, min_score), k)
 
 
