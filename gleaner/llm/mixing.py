@@ -108,11 +108,11 @@ def plan(docs: DataFrame, levels=LEVELS, weights=None, budget_percent: int = BUD
     return rows, cuts
 
 
-def attach(rows: DataFrame, leaves: DataFrame, names: list[str]) -> DataFrame:
+def attach(rows: DataFrame, leaves: DataFrame, names: list[str], spread: str = "_mix_id") -> DataFrame:
     """Join one row per leaf to rows; leaves are broadcast behind a check of their number, else hot leaves are salted over 32 tasks."""
     if leaves.count() <= MOST_BROADCAST:
         return rows.join(F.broadcast(leaves), names)
-    salted = rows.withColumn("_mix_salt", F.floor(F.rand(5) * 32).cast("int"))
+    salted = rows.withColumn("_mix_salt", F.pmod(F.xxhash64(spread), F.lit(32)).cast("int"))
     return salted.join(leaves.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(31)))), [*names, "_mix_salt"]).drop("_mix_salt")
 
 
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, levels=LEVELS, seed: int = SEED, id_col: str = "doc_id"
     names = [f"_mix_{level}" for level in levels]
     key = order_key(seed, F.col("_mix_epochs"), F.col(id_col))
     # a cut that is a range's name (4 characters) stands below all keys of that range
-    drawn = attach(rows, cuts, names).withColumn("_mix_copies", (F.col("_mix_epochs") + (key <= F.col("_mix_cut")).cast("bigint")).cast("bigint"))
+    drawn = attach(rows, cuts, names, id_col).withColumn("_mix_copies", (F.col("_mix_epochs") + (key <= F.col("_mix_cut")).cast("bigint")).cast("bigint"))
     return drawn.filter("_mix_copies > 0").select(*docs.columns, "_mix_n", "_mix_copies")
 
 

@@ -142,7 +142,8 @@ def _attach(rows: DataFrame, model: DataFrame, on: list[str]) -> DataFrame:
     same = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in on]
     if model.count() <= MOST_BROADCAST:
         return rows.join(F.broadcast(model), [*same], "left")
-    salted = rows.withColumn("_salt", F.floor(F.rand(7) * 32).cast("int"))
+    spread = "x" if "x" in rows.columns else "_x"
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(32)).cast("int"))
     copies = model.withColumn("_m_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
     return salted.join(copies, [*same, F.col("_salt") == F.col("_m_salt")], "left")
 
