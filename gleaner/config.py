@@ -59,7 +59,7 @@ class Config:
         return replace(self, depth=depth)
 
 
-#: Hard limits of a search.
+#: How many results a search gives, and gives at most.
 DEFAULT_RESULTS = 50
 MOST_RESULTS = 10_000
 

@@ -19,18 +19,18 @@ from gleaner.functions.cardinals import cardinal
 from gleaner.functions.porter import stem
 from gleaner.functions.stopwords import ENGLISH
 
-#: ASCII punctuation that becomes a space, and that which goes.
+#: ASCII punctuation that becomes a space, and that which goes.
 SPACED = "!\"#$%&()*+-./:;<=>?@[\\]^_`{|}~"
 DROPPED = ",'"
 SPACE = r"[ \t\n\r\f\x0B]+"
 SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
 SUBSCRIPTS = "₀₁₂₃₄₅₆₇₈₉"
-#: Families of enclosed numbers: first code point, first value, last value.
+#: Families of enclosed numbers, as first code point, first value, last value.
 ENCLOSED = (
     (0x2460, 1, 20), (0x3251, 21, 35), (0x32B1, 36, 50), (0x24EA, 0, 0), (0x24F5, 1, 10), (0x2780, 1, 10),
     (0x2776, 1, 10), (0x24EB, 11, 20), (0x24FF, 0, 0), (0x278A, 1, 10), (0x2474, 1, 20),
 )
-#: From so many digits on, a number is spelled in blocks of one digit less.
+#: Fixed value: from so many digits on, a number is spelled in blocks of one digit less.
 LONGEST_NUMBER = 307
 NEW_TAI_LUE = range(0x19D0, 0x19DA)
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Postings of a shard; a longer word has a shard of its own.
+#: Fixed value: postings of a shard; a longer word has a shard of its own.
 SHARD_LIMIT = 500_000
 
 
