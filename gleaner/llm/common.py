@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +17,8 @@ _OWN_FOLDER: dict[str, str] = {}
 #: One word: a run of anything but ASCII white space (Java and DuckDB regex alike).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Texts go to Python in batches of about this size (Spark's default is 64 MB for each task and side).
+BATCH_BYTES = 8 << 20
 #: Output of a Python operator is handed back to Spark in pieces of about this size.
 FLUSH_BYTES = 8 << 20
 
@@ -83,3 +87,25 @@ class Rows:
         if self.cols[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(self.cols, self.schema)], schema=self.schema)
             self.cols, self.size = [[] for _ in self.schema], 0
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches hold BATCH_BYTES at most, if they held more."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(str(spark.conf.get(key)).rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def tidy(run):
+    """A function over batches whose worker gives its memory back at the end: idle workers stay for a minute."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import materialize, release
 
 SALTS = 16
+#: Rows of the small side that may be broadcast.
+MOST_BROADCAST = 200_000
 
 
 def salted_join(rows: DataFrame, few: DataFrame, on: list[str], spread: list[str], how: str = "inner") -> DataFrame:
-    """Join rows to one row per key of ``few``; the rows of a hot key spread over SALTS tasks by a hash of ``spread``."""
+    """Join rows to one row per key of ``few``: broadcast behind a check of its number of rows,
+    else by shuffle, where the rows of a hot key spread over SALTS tasks by a hash of ``spread``."""
+    if few.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(few), on, how)
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return left.join(right.hint("shuffle_hash"), [*on, "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ percent * union. Every link is found:
 
 1. Texts become sets of 64-bit shingle hashes, ordered by hash (the global order). Equal sets are
    one node from here on, whatever their number.
-2. Signatures split the hash range into so many parts that two sets that link must agree on a
-   whole part that isn't empty (pigeonhole over their symmetric difference). Sets with a common
-   signature are candidates; the candidates' components are the blocks.
+2. Signatures split the hash range into so many parts that two sets that link must agree on
+   several whole parts (pigeonhole over their symmetric difference). Pairs of sets that may agree
+   on enough of them tie blocks together. This step reads signatures only.
 3. In a block the ordered sets are put into a trie. A set's overlap with all others is counted on
    trie nodes, so that sets which share a beginning share its partial overlap, quarter by quarter
    of the order; subtrees whose overlap and remaining lengths can't reach the threshold are pruned.
@@ -22,6 +22,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +32,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Rows, documents, materialize, release
+from gleaner.llm.common import Rows, bounded_batches, documents, materialize, release, tidy
 from gleaner.llm.graph import components, salted_join
 
-#: More parts than the pigeonhole needs, so that empty parts seldom matter.
-SLACK = 4
+#: The least number of parts beyond those that the pigeonhole needs.
+SLACK = 12
+#: Signatures of more sets than this are never paired out.
+LIST = 16
 #: Bounds of a batch: sets, and shingles in all of them.
 BATCH_SETS = 2000
 BATCH_SHINGLES = 2_000_000
+#: Signatures of a bucket.
+BUCKET_SIGNATURES = 400_000
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -51,7 +56,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -79,35 +84,72 @@ class Shingler:
 
 class Signer:
     """Signatures of a set. Sizes fall into classes, each about percent ** -2 wide; a set has the
-    signatures of its class, and of the next one up if a set that links with it can be there."""
+    signatures of its class, and of the next one up if a set that links with it can be there.
+
+    Linked sets of a class differ in at most ``differ`` elements, so of differ + 1 + slack parts of
+    the hash range they agree on slack + 1 at least, empty ones included. Signatures leave empty
+    parts out; the slack is so large that a set seldom has more empty parts than that (one that
+    has gives signatures of its empty parts too)."""
 
     def __init__(self, percent: int):
-        self.percent, self.lows, self.highs = percent, [1], [1]
+        self.percent, self.lows, self.highs, self.slacks = percent, [1], [1], [0]
+
+    def _differ(self, c: int) -> int:
+        return (100 - self.percent) * 2 * self.highs[c] // (100 + self.percent)
 
     def _class(self, n: int) -> int:
         while self.highs[-1] < n:
             low = self.highs[-1] + 1
             self.lows.append(low)
             self.highs.append(max(low, low * 10_000 // (self.percent * self.percent)))
+            differ, least = self._differ(len(self.highs) - 1), max(1, self.percent * low // 100)
+            slack = SLACK if differ else 0
+            while differ and slack < least + SLACK:
+                # empty parts of the smallest set with signatures of this class, and some more
+                empty = (differ + 1 + slack) * math.exp(-least / (differ + 1 + slack))
+                if slack >= empty + 3 * math.sqrt(empty) + SLACK / 2:
+                    break
+                slack += max(1, slack // 16)
+            self.slacks.append(slack)
         return bisect.bisect_left(self.highs, n)
 
+    def _parts(self, c: int) -> int:
+        return self._differ(c) + 1 + self.slacks[c]
+
+    def _classes(self, n: int) -> range:
+        last = self._class(n * 100 // self.percent)
+        return range(self._class(n), last + 1) if n else range(0)
+
+    def most(self, n: int) -> int:
+        """How many signatures a set of ``n`` has at most."""
+        return sum(self._parts(c) for c in self._classes(n))
+
+    def _cuts(self, s: np.ndarray, c: int) -> np.ndarray:
+        """Where the parts of a class begin in a set, and its end."""
+        parts = self._parts(c)
+        edges = np.arange(parts, dtype=np.uint64) * np.uint64((1 << 64) // parts if parts > 1 else 0)
+        return np.append(np.searchsorted(s, edges), len(s))
+
+    def agree(self, s: np.ndarray) -> int:
+        """On how many signatures, at least, this set agrees with any set that links with it."""
+        out = None
+        for c in self._classes(len(s)):
+            at = self._cuts(s, c)
+            here = max(1, self.slacks[c] + 1 - int((at[1:] == at[:-1]).sum()))
+            out = here if out is None else min(out, here)
+        return out or 1
+
     def __call__(self, s: np.ndarray) -> np.ndarray:
         n = len(s)
         if not n:
             return np.empty(0, dtype=np.int64)
-        first, last = self._class(n), self._class(n * 100 // self.percent)
         with np.errstate(over="ignore"):
             sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mix(s + _C1), dtype=np.uint64)])
             out = []
-            for c in range(first, last + 1):
-                differ = (100 - self.percent) * 2 * self.highs[c] // (100 + self.percent)
-                parts = differ + 1 + (SLACK if differ else 0)
-                edges = np.arange(parts + 1, dtype=np.uint64) * np.uint64((1 << 64) // parts if parts > 1 else (1 << 63))
-                at = np.searchsorted(s, edges[:-1])
-                at = np.append(at, n)
-                at[0] = 0
+            for c in self._classes(n):
+                at = self._cuts(s, c)
                 full = at[1:] > at[:-1]
-                if parts - int(full.sum()) > SLACK:
+                if len(full) - int(full.sum()) > self.slacks[c]:
                     full[:] = True  # too many empty parts to leave them out
                 which = np.nonzero(full)[0]
                 out.append(_mix((sums[at[1:]] - sums[at[:-1]])[which] + _mix(np.uint64(c << 32) + which.astype(np.uint64) + np.uint64(1))))
@@ -176,55 +218,138 @@ def join_sets(left: list[np.ndarray], right: list[np.ndarray] | None, percent: i
 
 
 def _sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, f, g, sigs): set size, 128 bits of the set, its signatures; the latter null where the task has met the set before."""
+    """(id, n, f, g, m, z): set size, 128 bits of the set, how many signatures it has at most, on how many it agrees with a linked set at least."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, sign, met = Shingler(k), Signer(percent), set()
+        shingle, sign = Shingler(k), Signer(percent)
         for batch in batches:
-            rows = Rows(pa.schema([("id", batch.schema.field(0).type), ("n", pa.int64()), ("f", pa.int64()), ("g", pa.int64()), ("sigs", pa.list_(pa.int64()))]))
+            rows = Rows(pa.schema([("id", batch.schema.field(0).type), ("n", pa.int64()), ("f", pa.int64()), ("g", pa.int64()), ("m", pa.int64()), ("z", pa.int64())]))
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle(text.as_py())
                 f, g = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64).tolist()
-                sigs = None
+                rows.add((key, len(s), f, g, sign.most(len(s)), sign.agree(s)))
+            yield from rows.take()
+
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(tidy(run), f"id {id_type}, n bigint, f bigint, g bigint, m bigint, z bigint")
+
+
+def _signed(docs: DataFrame, k: int, percent: int, buckets: int, text_col: str) -> DataFrame:
+    """(bucket, pairs): signatures dealt out by bucket, packed as 48 bits of the signature and 48
+    bits of the set. A set that a task has met before isn't sent again. (A signature or set that
+    another one agrees with in 48 bits only adds a candidate.)"""
+
+    def packed(sigs: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
+        sig = np.concatenate(sigs).view(np.uint64)
+        node = np.repeat(np.array(nodes, dtype=np.int64).view(np.uint64), [len(x) for x in sigs])
+        bucket = ((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        by = np.argsort(bucket, kind="stable")
+        pairs = np.stack([sig[by], node[by]], axis=1).astype("<u8").view(np.uint8).reshape(-1, 2, 8)[:, :, :6].tobytes()
+        which, at = np.unique(bucket[by], return_index=True)
+        ends = np.append(at[1:], len(sig))
+        yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array([pairs[12 * i : 12 * j] for i, j in zip(at.tolist(), ends.tolist())], type=pa.binary())], names=["bucket", "pairs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, sign, met, sigs, nodes, held = Shingler(k), Signer(percent), set(), [], [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                s = shingle(text.as_py())
+                f = int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)[0])
                 if len(s) and f not in met:
                     if len(met) >= 500_000:
                         met.clear()
                     met.add(f)
-                    sigs = sign(s)
-                rows.add((key, len(s), f, g, sigs), 40 + (0 if sigs is None else 8 * len(sigs)))
-                if rows.full():
-                    yield from rows.take()
-            yield from rows.take()
+                    sigs.append(sign(s))
+                    nodes.append(f)
+                    held += len(sigs[-1])
+                    if held >= 1_000_000:
+                        yield from packed(sigs, nodes)
+                        sigs, nodes, held = [], [], 0
+        if nodes:
+            yield from packed(sigs, nodes)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"id {id_type}, n bigint, f bigint, g bigint, sigs array<bigint>")
+    return docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(tidy(run), "bucket int, pairs binary")
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) from the least set to each other set of a signature's list, streamed over sorted runs."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _candidates(signed: DataFrame, buckets: int) -> DataFrame:
+    """(sig, a, b): for each set with a signature that another set was first met with, that set (a)
+    and this one (b). A task holds one set for each signature of its buckets, however many share it."""
+    schema = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig = hub = None
+        seen, hubs = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        pending: list[bytes] = []
+        size = 0
+
+        def settle():
+            nonlocal seen, hubs
+            six = np.frombuffer(b"".join(pending), dtype=np.uint8).reshape(-1, 2, 6)
+            wide = np.zeros((len(six), 2, 8), dtype=np.uint8)
+            wide[:, :, :6] = six
+            sig, node = wide.reshape(-1, 16).view("<u8").T
+            by = np.argsort(sig, kind="stable")
+            sig, node = sig[by], node[by].astype(np.int64)
+            at = np.minimum(np.searchsorted(seen, sig), max(0, len(seen) - 1))
+            old = seen[at] == sig if len(seen) else np.zeros(len(sig), dtype=bool)
+            first = np.append(True, sig[1:] != sig[:-1])
+            head = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
+            hub = node[head]
+            if len(seen):
+                hub = np.where(old, hubs[at], hub)
+            new = first & ~old
+            merged = np.concatenate([seen, sig[new]])
+            order = np.argsort(merged, kind="stable")
+            seen, hubs = merged[order], np.concatenate([hubs, node[new]])[order]
+            link = hub != node
+            return np.unique(np.stack([sig[link].astype(np.int64), hub[link], node[link]]), axis=1)
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.append(True, sig[1:] != sig[:-1])
-            if sig[0] == last_sig:
-                new[0] = False
-            head = np.where(new, np.arange(len(sig)), -1)
-            head = np.maximum.accumulate(head)
-            hubs = np.where(head >= 0, f[head], hub if hub is not None else 0)
-            last_sig, hub = sig[-1], hubs[-1]
-            keep = hubs != f
-            if keep.any():
-                pairs = np.unique(np.stack([hubs[keep], f[keep]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
-
-    dealt = sets.filter("sigs IS NOT NULL").select(F.explode("sigs").alias("sig"), "f")
-    dealt = dealt.repartition(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sig").sortWithinPartitions("sig", "f")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+            for blob in batch.column(1):
+                pending.append(blob.as_py())
+                size += len(pending[-1]) // 12
+                # about as much as is seen already, so that all is merged a few times only
+                if size >= min(600_000, max(250_000, len(seen))):
+                    pairs = settle()
+                    pending, size = [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], schema=schema)
+        if pending:
+            pairs = settle()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], schema=schema)
+
+    return signed.repartition(buckets, "bucket").select("bucket", "pairs").mapInArrow(tidy(run), "sig bigint, a bigint, b bigint")
+
+
+def _blocks(signed: DataFrame, buckets: int, nodes: DataFrame) -> DataFrame:
+    """(short, block) for the sets that may link with another one.
+
+    Two sets that link agree on as many signatures as each of them must at least (z). Signatures
+    of up to LIST sets are counted for each pair of their sets. Those of more sets aren't: a pair
+    may agree on as many of them as either set has (many). So a pair that shares a short list is
+    kept where short + the smaller ``many`` reaches the larger z; a pair that shares long lists
+    only has ``many`` >= z for both, and such sets are tied to the first one of each long list."""
+    shared = materialize(_candidates(signed, buckets), "njac-shared")
+    rows = shared.select("sig", F.col("a").alias("short")).union(shared.select("sig", F.col("b").alias("short"))).distinct()
+    rows = materialize(rows, "njac-rows")
+    sizes = materialize(rows.groupBy("sig").agg(F.count("*").alias("size")), "njac-sizes")
+    rows_of = materialize(salted_join(rows, sizes, ["sig"], ["short"]), "njac-lists")
+    few, lot = rows_of.filter(F.col("size") <= LIST), rows_of.filter(F.col("size") > LIST)
+    least = nodes.select(F.col("f").bitwiseAND(F.lit((1 << 48) - 1)).alias("short"), "z").groupBy("short").agg(F.min("z").alias("z"))
+    many = lot.groupBy("short").agg(F.count("*").alias("many"))
+    info = rows_of.select("short").distinct().join(least, "short").join(many, "short", "left").select("short", "z", F.coalesce("many", F.lit(0)).alias("many"))
+    info = materialize(info, "njac-info")
+    lists = few.groupBy("sig").agg(F.sort_array(F.collect_set("short")).alias("l"))  # LIST sets at most
+    pairs = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    pairs = lists.select(F.explode(pairs).alias("p")).groupBy("p.x", "p.y").agg(F.count("*").alias("times"))
+    one = info.select(F.col("short").alias("x"), F.col("z").alias("zx"), F.col("many").alias("mx"))
+    two = info.select(F.col("short").alias("y"), F.col("z").alias("zy"), F.col("many").alias("my"))
+    kept = pairs.join(one, "x").join(two, "y").filter(F.col("times") >= F.greatest("zx", "zy") - F.least("mx", "my")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    heavy = salted_join(lot, materialize(info.filter("many >= z").select("short"), "njac-heavy"), ["short"], ["sig"], "left_semi")
+    first = materialize(heavy.groupBy("sig").agg(F.min("short").alias("hub")), "njac-first")
+    tied = salted_join(heavy, first, ["sig"], ["short"]).select(F.col("hub").alias("a"), F.col("short").alias("b"))
+    out = components(kept.union(tied)).withColumnsRenamed({"node": "short", "label": "block"})
+    for done in (shared, rows, sizes, rows_of, info, first):
+        release(done)
+    return out
 
 
 def _task(percent: int):
@@ -261,12 +386,15 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """One row per input row: id, ``n_shingles``, ``component_id`` (the least id reachable by
     links, its own included) and ``n_links`` (rows that it links with, equal sets included)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = materialize(_sets(docs, k, percent, id_col, text_col), "njac-sets")
-    nodes = materialize(rows.filter("n > 0").groupBy("f", "g").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.max("n").alias("n")), "njac-nodes")
-    blocks = components(_candidates(rows)).withColumnsRenamed({"node": "f", "label": "block"})
+    n_sigs = rows.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_sigs // BUCKET_SIGNATURES))
+    nodes = materialize(rows.filter("n > 0").groupBy("f", "g").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.max("n").alias("n"), F.max("z").alias("z")), "njac-nodes")
+    blocks = _blocks(_signed(docs, k, percent, buckets, text_col), buckets, nodes)
     # the blocks' texts, one for each node, back to sets
-    members = materialize(nodes.join(blocks, "f"), "njac-members")
+    members = materialize(nodes.withColumn("short", F.col("f").bitwiseAND(F.lit((1 << 48) - 1))).join(blocks, "short").drop("short", "z"), "njac-members")
     stats = members.groupBy("block").agg(F.expr(f"cast(greatest(ceil(count(*) / {BATCH_SETS}), ceil(sum(n) / {BATCH_SHINGLES})) as int)").alias("batches"))
     members = salted_join(members, stats, ["block"], ["f"]).withColumnsRenamed({"least": "_least"})
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -285,7 +413,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                         yield from out.take()
             yield from out.take()
 
-    found = texts.mapInArrow(again, "f bigint, g bigint, copies bigint, block bigint, batches int, shingles binary")
+    found = texts.mapInArrow(tidy(again), "f bigint, g bigint, copies bigint, block bigint, batches int, shingles binary")
     side = F.pmod(F.xxhash64("g"), F.col("batches")).cast("int")
     dealt = found.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
     dealt = dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
@@ -316,4 +444,16 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_ngram_jaccard": op7_ngram_jaccard}
-SQL: dict[str, str] = {}
+SQL = {
+    "op7_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY ALL),
+link AS (SELECT x, y FROM p WHERE 100 * i >= 90 * (nx + ny - i)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, link.y FROM r JOIN link ON link.x = r.y),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+d AS (SELECT x, count(*) AS n_links FROM link GROUP BY x)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM s JOIN c ON c.x = doc_id LEFT JOIN d ON d.x = doc_id"""
+}
