@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Rows, documents
+from gleaner.llm.common import Rows, bounded_batches, documents, tidy
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _MASK = (1 << 64) - 1
@@ -129,7 +129,7 @@ class ByteBPE:
 class _Memo(dict):
     """Pieces met lately; bounded, since it is emptied when full."""
 
-    def __init__(self, bpe: ByteBPE, most: int = 300_000, longest: int = 48):
+    def __init__(self, bpe: ByteBPE, most: int = 200_000, longest: int = 48):
         self.bpe, self.most, self.longest = bpe, most, longest
 
     def __missing__(self, text: str) -> bytes:
@@ -178,6 +178,7 @@ def load(path: str | None = None, pattern: str | None = None) -> ByteBPE:
 def encode_documents(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
     """One row per input row: the id, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit
     integers, packed) and, if asked for, ``decoded``: the bytes that these ids stand for."""
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     ranks, pattern = docs.sparkSession.sparkContext.broadcast(bpe.ranks), bpe.pattern
 
@@ -196,11 +197,12 @@ def encode_documents(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text
             yield from rows.take()
 
     shape = f"`{id_col}` {id_type.simpleString()}, n_tokens bigint, ids binary" + ", decoded binary" * decode
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col if text_col != id_col else "_text")).mapInArrow(run, shape)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col if text_col != id_col else "_text")).mapInArrow(tidy(run), shape)
 
 
 def decode_documents(encoded: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """The bytes that packed ids stand for, one row per input row; null ids decode to no bytes."""
+    bounded_batches(encoded.sparkSession)
     id_type = encoded.schema[id_col].dataType
     ranks, pattern = encoded.sparkSession.sparkContext.broadcast(bpe.ranks), bpe.pattern
 
@@ -216,7 +218,7 @@ def decode_documents(encoded: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", i
                     yield from rows.take()
             yield from rows.take()
 
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, decoded binary")
+    return encoded.select(id_col, ids_col).mapInArrow(tidy(run), f"`{id_col}` {id_type.simpleString()}, decoded binary")
 
 
 def digests(docs: DataFrame, bpe: ByteBPE) -> DataFrame:

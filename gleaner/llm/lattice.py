@@ -1,8 +1,8 @@
 """Operator 8: language-model scoring by subword lattices.
 
 The vocabulary is that of a public piece file. Its scores, which are ranks, give a first unigram
-distribution (rank to the power -1); one round of expectation over the training texts' words, with
-that distribution as prior, weights the pieces. A text's probability is the marginal over all
+distribution (rank to the power -1); rounds of expectation over the training texts' words, with
+that distribution as prior, weight the pieces. A text's probability is the marginal over all
 segmentations of all its words, by a forward recursion in log space, times that of the end piece.
 Pieces don't cross words, so a word's marginal is computed once, wherever it stands.
 
@@ -26,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Rows, documents, materialize, release
+from gleaner.llm.common import Rows, bounded_batches, documents, materialize, release, tidy
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Weight of the first distribution, in tokens, against the training texts' expectations.
 PRIOR = 2000.0
+#: Rounds of expectation.
+ROUNDS = 2
 #: A chunk ends at so many tokens, or documents.
 CHUNK_TOKENS = 2_000_000
 CHUNK_DOCS = 65_000
@@ -209,11 +211,18 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, held: F.Column) -> Da
             yield from flush()
 
     shape = f"chunk bigint, word binary, c bigint, post binary, at int, id {id_type}, held boolean, n bigint"
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), held.alias("_held")).mapInArrow(run, shape)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), held.alias("_held")).mapInArrow(tidy(run), shape)
 
 
-def fit(counts: DataFrame, n_train: int, start: Lattice, prior: float = PRIOR) -> Lattice:
-    """One round of expectation over ``counts`` (word, c), all of them, with the start as prior."""
+def fit(counts: DataFrame, n_train: int, start: Lattice, prior: float = PRIOR, rounds: int = ROUNDS) -> Lattice:
+    """Rounds of expectation over ``counts`` (word, c), all of them, with the start as prior."""
+    model = start
+    for _ in range(rounds):
+        model = _round(counts, n_train, model, prior * np.exp(start.logs))
+    return model
+
+
+def _round(counts: DataFrame, n_train: int, start: Lattice, prior: np.ndarray) -> Lattice:
     shared = counts.sparkSession.sparkContext.broadcast(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,12 +237,12 @@ def fit(counts: DataFrame, n_train: int, start: Lattice, prior: float = PRIOR) -
             some = np.nonzero(into)[0]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(into[some])], names=["piece", "times"])
 
-    rows = counts.select("word", "c").filter("c > 0").mapInArrow(run, "piece bigint, times double").groupBy("piece").agg(F.sum("times").alias("times"))
+    rows = counts.select("word", "c").filter("c > 0").mapInArrow(tidy(run), "piece bigint, times double").groupBy("piece").agg(F.sum("times").alias("times"))
     expected = np.zeros(len(start.pieces))
     for piece, times in rows.collect():  # a row per piece of the vocabulary at most
         expected[piece] = times
     expected[start.end] = n_train
-    weight = expected + prior * np.exp(start.logs)
+    weight = expected + prior
     with np.errstate(divide="ignore"):
         return Lattice(start.pieces, start.byte_piece, start.end, np.maximum(np.log(weight / weight.sum()), -1e300))
 
@@ -249,7 +258,7 @@ def score_words(counts: DataFrame, model: Lattice) -> DataFrame:
                 out[part] = shared.value.forward(codes) / np.log(10)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["word", "c", "lp"])
 
-    return counts.select("word", "c").mapInArrow(run, "word binary, c bigint, lp double")
+    return counts.select("word", "c").mapInArrow(tidy(run), "word binary, c bigint, lp double")
 
 
 def _sums(joined: DataFrame, size: float) -> DataFrame:
@@ -282,11 +291,12 @@ def _sums(joined: DataFrame, size: float) -> DataFrame:
             n = s.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tag)), pa.array(np.arange(n, dtype=np.int32)), pa.array(s[0]), pa.array(s[1]), pa.array(s[2].astype(np.int64))], names=["chunk", "at", "base", "score", "known"])
 
-    return joined.mapInArrow(run, "chunk bigint, at int, base double, score double, known bigint")
+    return joined.mapInArrow(tidy(run), "chunk bigint, at int, base double, score double, known bigint")
 
 
 def score_documents(docs: DataFrame, start: Lattice, held: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with its scores; the model learns from the rows that ``held`` isn't true for."""
+    bounded_batches(docs.sparkSession)
     held = held_out(F.col(id_col)) if held is None else held
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = materialize(_postings(docs, id_col, text_col, held), "lm-rows")

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Rows, documents
+from gleaner.llm.common import Rows, bounded_batches, documents, tidy
 
 #: Phrases of the base, and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -114,6 +114,7 @@ _SPAN = "array<struct<label:string,start_word:bigint,end_word:bigint,edits:bigin
 
 def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: counts, labels, score, and ``spans`` of the notices found."""
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     span = pa.struct([("label", pa.string()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int64()), ("matched", pa.string())])
 
@@ -130,7 +131,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str
             yield from rows.take()
 
     shape = f"`{id_col}` {id_type.simpleString()}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans {_SPAN}"
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, shape)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(tidy(run), shape)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Rows, materialize, release, table
+from gleaner.llm.common import Rows, materialize, release, table, tidy
 from gleaner.llm.graph import salted_join
 
 TABLES = 3
@@ -125,7 +125,7 @@ def _hashed(rows: DataFrame, options: tuple, reach: float | None) -> DataFrame:
                     yield from out.take()
         yield from out.take()
 
-    return rows.select("id", "ids", "vec").mapInArrow(run, _SHAPE)
+    return rows.select("id", "ids", "vec").mapInArrow(tidy(run), _SHAPE)
 
 
 def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:

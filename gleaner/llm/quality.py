@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import collections
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import documents, materialize, release
+from gleaner.llm.common import bounded_batches, documents, materialize, release, tidy
 
 SPACE = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
@@ -73,8 +74,8 @@ def text_stats(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 
 @F.pandas_udf(T.StructType([T.StructField(name, T.LongType()) for name in STATS]))
-def stats_udf(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([text_stats(t) for t in texts], columns=list(STATS), dtype="int64")
+def stats_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    yield from tidy(lambda each: (pd.DataFrame([text_stats(t) for t in texts], columns=list(STATS), dtype="int64") for texts in each))(batches)
 
 
 def features(s: Column) -> Column:
@@ -188,6 +189,7 @@ def fit(stats: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
     """``docs`` with all its columns, plus the struct ``_stats``, ``_base_failed``, ``_distance``
     (squared; null where the base rule failed) and ``_kept``. Statistics cover all rows."""
+    bounded_batches(docs.sparkSession)
     scored = docs.withColumn("_stats", stats_udf(F.col("text").cast("string")))
     s = F.col("_stats")
     failed = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Rows, table
+from gleaner.llm.common import Rows, table, tidy
 
 #: (host, path, verdict), applied longest first.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -147,7 +147,7 @@ def filter_urls(pages: DataFrame, model: UrlModel, rules=RULES, threshold: float
             yield from rows.take()
 
     shape = f"`{id_col}` {id_type.simpleString()}, host string, path string, rule string, verdict string, block_probability double"
-    return pages.select(F.col(id_col), F.col(url_col).cast("string").alias("_url")).mapInArrow(run, shape)
+    return pages.select(F.col(id_col), F.col(url_col).cast("string").alias("_url")).mapInArrow(tidy(run), shape)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
