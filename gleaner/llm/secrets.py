@@ -7,7 +7,8 @@ trained here from labelled findings (path, before, value, after, label).
 
 Cases. Null and empty texts have no findings. Findings are reported once for each distinct
 (id, path, text), so repeated rows don't repeat them; null ids and paths are kept as they are.
-Texts of any length are searched whole. Overlapping patterns: the leftmost match, by the order
+Texts of any length are searched whole, and values of any length are
+reported whole. Overlapping patterns: the leftmost match, by the order
 above. Extra columns are ignored. An empty table gives an empty result. The forest is fitted on at
 most ``MOST_TRAINING`` labelled findings, taken in the order of a hash.
 """
@@ -22,16 +23,22 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import documents
 
-#: Names whose assigned value is a candidate at 6 characters or more.
+#: Names whose assigned value is a candidate at 6 characters or more; a name may be the last part
+#: of a longer one (DB_PASSWORD, my-token, dbPassword).
 NAMES = "token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|credential|client[_-]?id"
+ASSIGNING = r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:" + NAMES + r")[\"']?[ ]?(?:=|:)[ ]?[\"']?[A-Za-z0-9+/_.~!@%^*\-]{6}"
+#: Values and runs have no upper bound. A run that ends in an assigning name leaves it to that name.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
-    r"|\b(?i:" + NAMES + r")[\"']?[ ]?(?:=|:)[ ]?[\"']?[A-Za-z0-9+/_.~!@%^*\-]{6,200}=?=?"
-    r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,24}[0-9])[A-Za-z0-9+/_\-]{16,200}=?=?"
+    r"|" + ASSIGNING + r"[A-Za-z0-9+/_.~!@%^*\-]*+=?=?"
+    r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])(?![A-Za-z0-9+/_\-]*" + ASSIGNING + r")[A-Za-z0-9+/_\-]{16,}+=?=?"
 )
 ASSIGNED = r"^((?i:" + NAMES + r")[\"']?[ ]?(?:=|:)[ ]?[\"']?)"
 CONTEXT = 40
 MOST_TRAINING = 20_000
+#: What a candidate's value consists of; distinct characters of values longer than LONG are looked up, not split out.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.~!@%^*-= "
+LONG = 10_000
 SEED = 23
 THRESHOLD = 0.5
 
@@ -77,6 +84,7 @@ def featured(rows: DataFrame) -> DataFrame:
     def share(pattern: str) -> Column:
         return (n - F.length(F.regexp_replace(v, pattern, ""))) / n
 
+    distinct = F.when(F.length(v) <= LONG, F.size(F.array_distinct(F.split(v, "")))).otherwise(F.size(F.filter(F.split(F.lit(ALPHABET), ""), lambda c: F.contains(v, c))))
     runs = F.length(F.regexp_replace(kinds, r"([abc])\1*|[^abc]+", "x"))
     before = F.concat(F.coalesce("before", F.lit("")), F.coalesce("name", F.lit("")))
     return rows.select(
@@ -87,7 +95,7 @@ def featured(rows: DataFrame) -> DataFrame:
         share("[0-9]").alias("digits"),
         share("[A-Z]").alias("uppers"),
         share("[a-z]").alias("lowers"),
-        (F.size(F.array_distinct(F.split(v, ""))) / n).cast("double").alias("distinct"),
+        (distinct / n).cast("double").alias("distinct"),
         flag(v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")).alias("hex"),
         flag(v.rlike("^[0-9-]+$")).alias("digits_only"),
         flag(F.col("name") != "").alias("assigned"),

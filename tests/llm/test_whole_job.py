@@ -1,0 +1,33 @@
+import pytest
+
+from gleaner.llm import secrets
+
+# secrets
+
+
+def test_long_values_and_late_digits_are_found_whole(spark):
+    run = "kQzWvtRrjYmhxDcb" * 44
+    late = "kQzWvtRrjYmhxDcbkQzWvtRrjYmhxDcbkQzWvt7"
+    rows = [
+        (1, "token=" + run[:699] + "7 end", [(6, 706, run[:699] + "7")]),
+        (2, "see " + run[:699] + "7 end", [(4, 704, run[:699] + "7")]),
+        (3, "see " + late + "== end", [(4, 45, late + "==")]),
+        (4, "a" * 300_000 + "1", [(0, 300_001, "a" * 300_000 + "1")]),
+    ]
+    df = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    got = secrets.findings(df, path_col=None).collect()
+    assert {k: [(r.start, r.end, r.value) for r in got if r.doc_id == k] for k, _, _ in rows} == {k: x for k, _, x in rows}
+
+
+def test_names_with_a_prefix_assign(spark):
+    texts = ["DB_PASSWORD=correcthorse", "my-token: correcthorse", "dbPassword='correcthorse'", "PROD_EU_WEST_2_LARGE_DB_PASSWORD=correcthorse", "x password=correcthorse"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.value for r in secrets.findings(df, path_col=None).orderBy("doc_id").collect()] == ["correcthorse"] * len(texts)
+    assert secrets.findings(spark.createDataFrame([(1, "no monkeyauth=correcthorse")], df.schema), path_col=None).count() == 0
+
+
+@pytest.mark.parametrize("length", [700, 300_000])
+def test_features_of_long_values(spark, length):
+    text = "token=" + ("kQz7" * length)[:length]
+    row = secrets.featured(secrets.findings(spark.createDataFrame([(1, text)], "doc_id long, text string"), path_col=None)).first()
+    assert (row.length, row.distinct, row.digits) == (length, 4 / length, 0.25)
