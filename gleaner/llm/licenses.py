@@ -12,6 +12,8 @@ are ignored.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -80,9 +82,14 @@ class LicenseScanner:
                     out.append((label, flat.count(" ", 0, m.start() + (flat[m.start()] == " ")) - 1, flat.count(" ", 0, m.end() - flat.endswith(" ", m.start(), m.end())), sum(m.fuzzy_counts), m[0]))
         # where notices differ by a word or two, the one with the fewest edits has the place
         kept: list[tuple[str, int, int, int, str]] = []
-        for span in sorted(out, key=lambda s: (s[3], s[0], s[1])):
-            if all(span[2] <= k[1] or k[2] <= span[1] or k[3] == span[3] for k in kept[:1000]):
-                kept.append(span)
+        for _, level in itertools.groupby(sorted(out, key=lambda s: s[3]), key=lambda s: s[3]):
+            # all spans kept with fewer edits, by first word, and how far those up to each reach
+            fewer = sorted((k[1], k[2]) for k in kept)
+            reach = list(itertools.accumulate((b for _, b in fewer), max))
+            for span in level:
+                n = bisect.bisect_left(fewer, (span[2],))
+                if not n or reach[n - 1] <= span[1]:
+                    kept.append(span)
         return sorted(kept)
 
     def scan(self, text: str | None) -> dict:

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from gleaner.llm import secrets
+from gleaner.llm import licenses, secrets
 
 # secrets
 
@@ -31,3 +33,29 @@ def test_features_of_long_values(spark, length):
     text = "token=" + ("kQz7" * length)[:length]
     row = secrets.featured(secrets.findings(spark.createDataFrame([(1, text)], "doc_id long, text string"), path_col=None)).first()
     assert (row.length, row.distinct, row.digits) == (length, 4 / length, 0.25)
+
+
+# licenses
+
+
+def test_labels_do_not_depend_on_the_number_of_notices():
+    scanner, notice = licenses.LicenseScanner(), "licensed under cc by nc 4 0 and "
+    for n in (1, 1200):
+        got = scanner.scan(notice * n)
+        assert got["labels"] == "cc-by,cc-by-nc-4.0" and [s["label"] for s in got["spans"]] == ["cc-by-nc-4.0"] * n
+
+
+def test_best_spans_equal_a_comparison_with_all():
+    scanner, rng = licenses.LicenseScanner(), random.Random(1)
+    alone = [licenses.LicenseScanner(notices=[n]) for n in licenses.NOTICES]
+    notices = [n for n, _ in licenses.NOTICES]
+    for _ in range(20):
+        words = " ".join(rng.choice(notices) for _ in range(30)).split()
+        for _ in range(20):
+            words[rng.randrange(len(words))] = rng.choice(["nc", "sa", "the", "general", "licence", "x"])
+        flat = " " + " ".join(words) + " "
+        every, kept = [span for one in alone for span in one.spans(flat)], []
+        for span in sorted(every, key=lambda s: (s[3], s[0], s[1])):
+            if all(span[2] <= k[1] or k[2] <= span[1] or k[3] == span[3] for k in kept):
+                kept.append(span)
+        assert scanner.spans(flat) == sorted(kept) and len(kept) > 10
