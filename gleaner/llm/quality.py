@@ -33,7 +33,8 @@ SYMBOLS = "#*$%&|<>"
 #: What each feature may vary by in any group; added to the estimated variance.
 FLOORS = (0.06, 0.35, 0.15, 0.10, 0.30)
 DIMS = len(FLOORS)
-CUTOFF = 50.0
+#: The 0.999 quantile of chi-square in 5 dimensions. The floors of the shares let each pass it alone: 1 / 0.15^2 = 44, 0.5^2 / 0.10^2 = 25.
+CUTOFF = 20.515
 KEEP_SHARE = 0.75
 STEPS = 4
 MIN_GROUP = 100

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from gleaner.llm import licenses, secrets
+from gleaner.llm import licenses, quality, secrets
 
 # secrets
 
@@ -59,3 +59,18 @@ def test_best_spans_equal_a_comparison_with_all():
             if all(span[2] <= k[1] or k[2] <= span[1] or k[3] == span[3] for k in kept):
                 kept.append(span)
         assert scanner.spans(flat) == sorted(kept) and len(kept) > 10
+
+
+# quality rules
+
+
+@pytest.mark.parametrize("smallest", [1, 10_000])
+def test_repeated_lines_and_repeated_words_can_reject_alone(spark, smallest):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    prose = lambda n: "\n".join(" ".join(rng.choices(words, k=n // 5)) for _ in range(5))
+    rows = [(i, prose(400), "en", "a") for i in range(200)]
+    rows += [(900, prose(400) + "\nShare" * 95, "en", "a"), (901, prose(205) + " " + " ".join(rng.choices(words, k=10) * 20), "en", "a")]
+    verdict = {r.doc_id: (r._base_failed, r._kept) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), min_group=smallest).collect()}
+    assert verdict[900] == verdict[901] == (False, False)
+    assert all(verdict[i] == (False, True) for i in range(200))
