@@ -10,7 +10,8 @@ percent * union. Every link is found:
    on enough of them tie blocks together. This step reads signatures only.
 3. In a block the ordered sets are put into a trie. A set's overlap with all others is counted on
    trie nodes, so that sets which share a beginning share its partial overlap, quarter by quarter
-   of the order; subtrees whose overlap and remaining lengths can't reach the threshold are pruned.
+   of the order; leaves whose overlap and remaining lengths can't reach the threshold are dropped
+   after each quarter. No subtree is skipped.
 4. Blocks above a bound are dealt out as pairs of bounded batches: no task holds more than two.
 
 Cases. Null and empty texts have no shingles, link with nothing and are their own class. Null ids
