@@ -3,9 +3,8 @@
 A document is the sequence of its lines that have a word, each hashed after trimming. A run of
 lines is long enough when it has ``min_words`` words or ``MIN_LINES`` lines. For each line, the
 shortest long-enough windows that start and that end there are taken; the least line hash of each
-window is its fingerprint (winnowing: any long-enough run that two places share holds a whole
-window, so they share its fingerprint). Positions are joined on fingerprints; where a fingerprint
-is shared, matches are extended both ways by comparing the windows around it. A line goes when a
+window is its fingerprint. Windows whose fingerprint stands at one place only are left out; the rest
+are compared whole, by their hash pairs, with the first place of each. A line goes when a
 long-enough run around it stands earlier in the corpus: in a document with a smaller id, or
 earlier in the same document without overlap. The union of matching windows is exactly that set.
 
