@@ -434,10 +434,20 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those that link, over any steps, with a smaller id."""
-    classes = jaccard_classes(docs, k, percent, id_col, text_col)
-    lost = classes.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(lost.hint("shuffle_hash"), id_col, "left_anti").select(*docs.columns)
+    """One row of ``docs`` for each class of rows that link over any steps, and all that link with
+    nothing: the row with the least id, null last; of those with one id, the one with the least
+    hash of the text, then of the row. Columns must be of kinds that can be hashed."""
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"))
+    classes = materialize(jaccard_classes(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), k, percent, "_key", "_text").filter("n_links > 0"), "njac-classes")
+    lost = classes.filter("component_id <> _key").select("_key").distinct()
+    twice = classes.filter("component_id = _key").groupBy("_key").count().filter("count > 1").select("_key")
+    own = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"))
+    kept = own.join(lost.hint("shuffle_hash"), "_key", "left_anti")
+    if not twice.isEmpty():
+        twice = materialize(twice, "njac-twice")
+        one = own.join(twice.hint("shuffle_hash"), "_key", "left_semi").groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+        kept = kept.join(twice.hint("shuffle_hash"), "_key", "left_anti").select("_row").union(one.select("_row"))
+    return kept.select("_row.*")
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

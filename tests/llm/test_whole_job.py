@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from gleaner.llm import licenses, quality, secrets
+from gleaner.llm import licenses, njaccard, quality, secrets
 
 # secrets
 
@@ -74,3 +74,17 @@ def test_repeated_lines_and_repeated_words_can_reject_alone(spark, smallest):
     verdict = {r.doc_id: (r._base_failed, r._kept) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), min_group=smallest).collect()}
     assert verdict[900] == verdict[901] == (False, False)
     assert all(verdict[i] == (False, True) for i in range(200))
+
+
+# near duplicates
+
+
+def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(5))
+    rows = [(None, a, 1), (None, a, 2), (None, a + " x", 3), (1, b, 4), (1, b, 5), (None, b, 6), (2, c, 7), (2, c + " x", 8), (1, d, 9), (3, d, 10), (3, e, 11), (None, None, 12), (None, None, 13), (None, "", 14)]
+    kept = [(r._key, r.n) for r in njaccard.keep_one(spark.createDataFrame(rows, "_key long, text string, n int"), id_col="_key").collect()]
+    groups = [{1, 2, 3}, {4, 5, 6}, {7, 8}, {9, 10}, {11}, {12}, {13}, {14}]
+    assert sorted(next(i for i, g in enumerate(groups) if n in g) for _, n in kept) == list(range(len(groups)))
+    ids = dict((n, k) for k, n in kept)
+    assert 11 in ids and 9 in ids and (4 in ids or 5 in ids)
