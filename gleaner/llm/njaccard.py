@@ -8,15 +8,15 @@ percent * union. Every link is found:
 2. Signatures split the hash range into so many parts that two sets that link must agree on
    several whole parts (pigeonhole over their symmetric difference). Pairs of sets that may agree
    on enough of them tie blocks together. This step reads signatures only.
-3. In a block the ordered sets are put into a trie. A set's overlap with all others is counted on
-   trie nodes, so that sets which share a beginning share its partial overlap, quarter by quarter
-   of the order; leaves whose overlap and remaining lengths can't reach the threshold are dropped
-   after each quarter. No subtree is skipped.
+3. In a block the ordered sets are put into a trie whose levels are parts of the hash range. A set
+   walks down the trie, so that sets which share a beginning share its partial overlap; a subtree is
+   left where that overlap and the remaining lengths, its own and the set's, can't reach the threshold.
 4. Blocks above a bound are dealt out as pairs of bounded batches: no task holds more than two.
 
 Cases. Null and empty texts have no shingles, link with nothing and are their own class. Null ids
 never name a class that has other ids. Rows with one id are rows of their own. Texts with fewer
-than k words have their word sequence as one shingle. Extra columns are ignored.
+than k words have their word sequence as one shingle. Texts of any length are taken whole: a set has
+8 bytes for each distinct shingle. Extra columns, also clashing ones, are ignored.
 An empty table gives an empty result.
 """
 
@@ -43,6 +43,8 @@ LIST = 16
 #: Bounds of a batch: sets, and shingles in all of them.
 BATCH_SETS = 2000
 BATCH_SHINGLES = 2_000_000
+#: Members of blocks that may be broadcast to the texts (about 200 bytes each).
+MOST_MEMBERS = 50_000
 #: Signatures of a bucket.
 BUCKET_SIGNATURES = 400_000
 
@@ -158,56 +160,82 @@ class Signer:
 
 
 class PrefixTrie:
-    """A trie over sorted sets, flat: nodes (token, first leaf, leaf after the last) by token."""
-
-    QUARTERS = np.array([1 << 62, 1 << 63, 3 << 62, (1 << 64) - 1], dtype=np.uint64)
+    """A trie over sorted sets. Level j holds the tokens of the j-th part of the hash range: a node
+    stands for the sets, neighbours in lexical order, that agree on all tokens up to there. Nodes of
+    a level are arrays: tokens, least and most size below, tokens left below, range of children."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        tokens, starts, ends, open_nodes, before, made = [], [], [], np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), 0
-        closed: list[tuple[np.ndarray, int]] = []
-        for leaf, i in enumerate(self.order):
-            s = sets[i]
-            m = min(len(s), len(before))
-            unlike = np.nonzero(s[:m] != before[:m])[0]
-            shared = int(unlike[0]) if len(unlike) else m
-            closed.append((open_nodes[shared:], leaf))
-            tokens.append(s[shared:])
-            starts.append(np.full(len(s) - shared, leaf))
-            open_nodes = np.concatenate([open_nodes[:shared], np.arange(made, made + len(s) - shared)])
-            made += len(s) - shared
-            before = s
-        closed.append((open_nodes, len(sets)))
-        end = np.empty(made, dtype=np.int64)
-        for nodes, leaf in closed:
-            end[nodes] = leaf
-        token = np.concatenate(tokens) if tokens else np.empty(0, dtype=np.uint64)
-        by = np.argsort(token, kind="stable")
-        self.token, self.start, self.end = token[by], (np.concatenate(starts) if starts else np.empty(0, dtype=np.int64))[by], end[by]
-        self.size = np.array([len(sets[i]) for i in self.order], dtype=np.int64)
-        self.left = np.stack([np.array([len(sets[i]) - int(np.searchsorted(sets[i], q, side="right")) for i in self.order], dtype=np.int64) for q in self.QUARTERS]) if sets else np.zeros((4, 0), dtype=np.int64)
+        m = len(sets)
+        self.order = np.array(sorted(range(m), key=lambda i: sets[i].astype(">u8").tobytes()), dtype=np.int64)
+        self.visited = 0  # nodes whose tokens were counted, over all queries
+        rows = [sets[i] for i in self.order]
+        self.size = np.array([len(s) for s in rows], dtype=np.int64)
+        self.levels = min(16, 2 * m.bit_length())
+        self.width = np.uint64((1 << 64) // max(1, self.levels) if self.levels > 1 else 0)
+        self.nodes: list[tuple] = []
+        if not m:
+            return
+        flat, at = np.concatenate(rows), np.concatenate([[0], np.cumsum(self.size)])
+        self.tokens, ids = np.unique(flat, return_inverse=True)
+        self.mask = np.zeros(len(self.tokens) + 1, dtype=bool)
+        part = np.minimum(flat // self.width, np.uint64(self.levels - 1)).astype(np.int64)
+        cut = np.zeros((m, self.levels + 1), dtype=np.int64)
+        cut[:, 1:] = np.cumsum(np.bincount(np.repeat(np.arange(m), self.size) * self.levels + part, minlength=m * self.levels).reshape(m, -1), axis=1)
+        shared = np.zeros(m, dtype=np.int64)
+        for i in range(1, m):
+            least = min(self.size[i - 1], self.size[i])
+            unlike = rows[i - 1][:least] != rows[i][:least]
+            shared[i] = int(unlike.argmax()) if unlike.any() else least
+        new = np.ones((m, self.levels), dtype=bool)
+        new[1:] = (shared[1:, None] < cut[1:, 1:]) | (cut[1:, 1:] != cut[:-1, 1:])
+        node = np.cumsum(new, axis=0) - 1
+        for j in range(self.levels):
+            first = np.nonzero(new[:, j])[0]
+            after = np.append(first[1:], m)
+            length = cut[first, j + 1] - cut[first, j]
+            spots = np.repeat(at[first] + cut[first, j], length) + _counted(length)
+            least, most = np.minimum.reduceat(self.size, first), np.maximum.reduceat(self.size, first)
+            down = (node[first, j + 1], node[after - 1, j + 1] + 1) if j + 1 < self.levels else (first, after)
+            self.nodes.append((ids[spots], np.concatenate([[0], np.cumsum(length)]), least, most, most - cut[first, j + 1], *down))
 
     def matches(self, s: np.ndarray, percent: int) -> np.ndarray:
         """Indices (into the given sets) of the sets that link with ``s``."""
-        m, n = len(self.size), len(s)
-        # 100 i >= percent (n + size - i)
-        need = -(-percent * (n + self.size) // (100 + percent))
-        alive = np.minimum(n, self.size) >= need
-        overlap, done = np.zeros(m, dtype=np.int64), 0
-        for quarter, q in enumerate(self.QUARTERS):
-            if not alive.any():
+        n = len(s)
+        if not len(self.size) or not n:
+            return np.empty(0, dtype=np.int64)
+
+        def need(size: np.ndarray) -> np.ndarray:  # 100 i >= percent (n + size - i)
+            return -(-percent * (n + size) // (100 + percent))
+
+        own = np.searchsorted(self.tokens, s)
+        own = own[(own < len(self.tokens)) & (self.tokens[np.minimum(own, len(self.tokens) - 1)] == s)]
+        self.mask[own] = True
+        upto = np.searchsorted(s, np.arange(1, self.levels, dtype=np.uint64) * self.width)
+        left = [*(n - upto).tolist(), 0]
+        # both bounds grow or fall with the size, so that one end of a subtree's sizes decides each
+        _, _, least, most, _, _, _ = self.nodes[0]
+        at = np.nonzero((n >= need(least)) & (most >= need(most)))[0]
+        overlap = np.zeros(len(at), dtype=np.int64)
+        for j, (tokens, start, least, most, rest, low, high) in enumerate(self.nodes):
+            if not len(at):
                 break
-            upto = int(np.searchsorted(s, q, side="right"))
-            part, done = s[done:upto], upto
-            a, b = np.searchsorted(self.token, part, side="left"), np.searchsorted(self.token, part, side="right")
-            count = b - a
-            total = int(count.sum())
-            if total:
-                nodes = np.arange(total) + np.repeat(a - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-                step = np.bincount(self.start[nodes], minlength=m + 1) - np.bincount(self.end[nodes], minlength=m + 1)
-                overlap += np.cumsum(step)[:m]
-            alive &= overlap + np.minimum(n - upto, self.left[quarter]) >= need
-        return np.array(self.order, dtype=np.int64)[np.nonzero(alive)[0]] if m else np.empty(0, dtype=np.int64)
+            self.visited += len(at)
+            length = start[at + 1] - start[at]
+            hits = np.concatenate([[0], np.cumsum(self.mask[tokens[np.repeat(start[at], length) + _counted(length)]])])
+            ends = np.cumsum(length)
+            overlap = overlap + hits[ends] - hits[ends - length]
+            alive = (overlap + left[j] >= need(least[at])) & (overlap + rest[at] >= need(most[at]))
+            at, overlap = at[alive], overlap[alive]
+            width = high[at] - low[at]
+            at, overlap = np.repeat(low[at], width) + _counted(width), np.repeat(overlap, width)
+        self.mask[own] = False
+        return self.order[at]
+
+
+def _counted(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the lengths, one after the other."""
+    total = int(lengths.sum())
+    return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
 def join_sets(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -218,29 +246,15 @@ def join_sets(left: list[np.ndarray], right: list[np.ndarray] | None, percent: i
         yield i, found if right is not None else found[found != i]
 
 
-def _sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, f, g, m, z): set size, 128 bits of the set, how many signatures it has at most, on how many it agrees with a linked set at least."""
+def _scan(docs: DataFrame, k: int, percent: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
+    """One pass over the texts, with two kinds of rows. Rows (id, n, f, g, z): set size, 128 bits of
+    the set, on how many signatures it agrees with a linked set at least. Rows (bucket, pairs):
+    signatures dealt out by bucket, packed as 48 bits of the signature and 48 bits of the set. A set
+    that a task has met before isn't sent again. (A signature or set that another one agrees with in
+    48 bits only adds a candidate.)"""
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, sign = Shingler(k), Signer(percent)
-        for batch in batches:
-            rows = Rows(pa.schema([("id", batch.schema.field(0).type), ("n", pa.int64()), ("f", pa.int64()), ("g", pa.int64()), ("m", pa.int64()), ("z", pa.int64())]))
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = shingle(text.as_py())
-                f, g = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64).tolist()
-                rows.add((key, len(s), f, g, sign.most(len(s)), sign.agree(s)))
-            yield from rows.take()
-
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(tidy(run), f"id {id_type}, n bigint, f bigint, g bigint, m bigint, z bigint")
-
-
-def _signed(docs: DataFrame, k: int, percent: int, buckets: int, text_col: str) -> DataFrame:
-    """(bucket, pairs): signatures dealt out by bucket, packed as 48 bits of the signature and 48
-    bits of the set. A set that a task has met before isn't sent again. (A signature or set that
-    another one agrees with in 48 bits only adds a candidate.)"""
-
-    def packed(sigs: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
+    def packed(sigs: list[np.ndarray], nodes: list[int], rows: Rows) -> None:
         sig = np.concatenate(sigs).view(np.uint64)
         node = np.repeat(np.array(nodes, dtype=np.int64).view(np.uint64), [len(x) for x in sigs])
         bucket = ((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -248,14 +262,19 @@ def _signed(docs: DataFrame, k: int, percent: int, buckets: int, text_col: str)
         pairs = np.stack([sig[by], node[by]], axis=1).astype("<u8").view(np.uint8).reshape(-1, 2, 8)[:, :, :6].tobytes()
         which, at = np.unique(bucket[by], return_index=True)
         ends = np.append(at[1:], len(sig))
-        yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array([pairs[12 * i : 12 * j] for i, j in zip(at.tolist(), ends.tolist())], type=pa.binary())], names=["bucket", "pairs"])
+        for b, i, j in zip(which.tolist(), at.tolist(), ends.tolist()):
+            rows.add((None, None, None, None, None, b, pairs[12 * i : 12 * j]), 60 + 12 * (j - i))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, sign, met, sigs, nodes, held = Shingler(k), Signer(percent), set(), [], [], 0
+        shingle, sign, met, sigs, nodes, held, rows = Shingler(k), Signer(percent), set(), [], [], 0, None
         for batch in batches:
-            for text in batch.column(0):
+            if rows is None:
+                whole = [(c, pa.int64()) for c in ("n", "f", "g", "z")]
+                rows = Rows(pa.schema([("id", batch.schema.field(0).type), *whole, ("bucket", pa.int32()), ("pairs", pa.binary())]))
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle(text.as_py())
-                f = int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)[0])
+                f, g = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64).tolist()
+                rows.add((key, len(s), f, g, sign.agree(s), None, None))
                 if len(s) and f not in met:
                     if len(met) >= 500_000:
                         met.clear()
@@ -264,12 +283,17 @@ def _signed(docs: DataFrame, k: int, percent: int, buckets: int, text_col: str)
                     nodes.append(f)
                     held += len(sigs[-1])
                     if held >= 1_000_000:
-                        yield from packed(sigs, nodes)
+                        packed(sigs, nodes, rows)
                         sigs, nodes, held = [], [], 0
+                if rows.full():
+                    yield from rows.take()
         if nodes:
-            yield from packed(sigs, nodes)
+            packed(sigs, nodes, rows)
+        if rows is not None:
+            yield from rows.take()
 
-    return docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(tidy(run), "bucket int, pairs binary")
+    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    return texts.mapInArrow(tidy(run), f"id {id_type}, n bigint, f bigint, g bigint, z bigint, bucket int, pairs binary")
 
 
 def _candidates(signed: DataFrame, buckets: int) -> DataFrame:
@@ -325,30 +349,34 @@ def _blocks(signed: DataFrame, buckets: int, nodes: DataFrame) -> DataFrame:
 
     Two sets that link agree on as many signatures as each of them must at least (z). Signatures
     of up to LIST sets are counted for each pair of their sets. Those of more sets aren't: a pair
-    may agree on as many of them as either set has (many). So a pair that shares a short list is
-    kept where short + the smaller ``many`` reaches the larger z; a pair that shares long lists
-    only has ``many`` >= z for both, and such sets are tied to the first one of each long list."""
+    may agree on as many of them as either set has. So a pair that shares a short list is kept
+    where the short ones and the smaller number of long ones reach the larger z; a pair that shares
+    long lists only has as many long ones as z for both. All such sets that share a long list are of
+    one block: each set joins its first long list, lists that a set joins to its first one are
+    contracted, and each set is tied once, to the least set of its contracted lists."""
     shared = materialize(_candidates(signed, buckets), "njac-shared")
     rows = shared.select("sig", F.col("a").alias("short")).union(shared.select("sig", F.col("b").alias("short"))).distinct()
     rows = materialize(rows, "njac-rows")
-    sizes = materialize(rows.groupBy("sig").agg(F.count("*").alias("size")), "njac-sizes")
-    rows_of = materialize(salted_join(rows, sizes, ["sig"], ["short"]), "njac-lists")
-    few, lot = rows_of.filter(F.col("size") <= LIST), rows_of.filter(F.col("size") > LIST)
+    long = materialize(rows.groupBy("sig").count().filter(F.col("count") > LIST).select("sig", F.lit(True).alias("long")), "njac-long")
+    rows_of = materialize(salted_join(rows, long, ["sig"], ["short"], "left"), "njac-lists")
     least = nodes.select(F.col("f").bitwiseAND(F.lit((1 << 48) - 1)).alias("short"), "z").groupBy("short").agg(F.min("z").alias("z"))
-    many = lot.groupBy("short").agg(F.count("*").alias("many"))
-    info = rows_of.select("short").distinct().join(least, "short").join(many, "short", "left").select("short", "z", F.coalesce("many", F.lit(0)).alias("many"))
-    info = materialize(info, "njac-info")
-    lists = few.groupBy("sig").agg(F.sort_array(F.collect_set("short")).alias("l"))  # LIST sets at most
+    # the long lists of a set: no more than it has signatures
+    own = rows_of.groupBy("short").agg(F.sort_array(F.collect_list(F.when(F.col("long"), F.col("sig")))).alias("sigs"))
+    info = materialize(own.join(least, "short").select("short", "z", F.size("sigs").alias("many"), F.when(F.size("sigs") >= F.col("z"), F.col("sigs")).alias("sigs")), "njac-info")
+    lists = rows_of.filter("long IS NULL").groupBy("sig").agg(F.sort_array(F.collect_set("short")).alias("l"))  # LIST sets at most
     pairs = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     pairs = lists.select(F.explode(pairs).alias("p")).groupBy("p.x", "p.y").agg(F.count("*").alias("times"))
     one = info.select(F.col("short").alias("x"), F.col("z").alias("zx"), F.col("many").alias("mx"))
     two = info.select(F.col("short").alias("y"), F.col("z").alias("zy"), F.col("many").alias("my"))
     kept = pairs.join(one, "x").join(two, "y").filter(F.col("times") >= F.greatest("zx", "zy") - F.least("mx", "my")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    heavy = salted_join(lot, materialize(info.filter("many >= z").select("short"), "njac-heavy"), ["short"], ["sig"], "left_semi")
-    first = materialize(heavy.groupBy("sig").agg(F.min("short").alias("hub")), "njac-first")
-    tied = salted_join(heavy, first, ["sig"], ["short"]).select(F.col("hub").alias("a"), F.col("short").alias("b"))
+    heavy = info.filter("sigs IS NOT NULL").select("short", F.col("sigs")[0].alias("pick"), "sigs")
+    joined = components(heavy.select(F.col("pick").alias("a"), F.explode("sigs").alias("b")).distinct()).withColumnsRenamed({"node": "pick"})
+    heavy = salted_join(heavy.select("short", "pick"), joined, ["pick"], ["short"], "left").select("short", F.coalesce("label", "pick").alias("label"))
+    heavy = materialize(heavy, "njac-heavy")
+    hubs = materialize(heavy.groupBy("label").agg(F.min("short").alias("hub")), "njac-hubs")
+    tied = salted_join(heavy, hubs, ["label"], ["short"]).select(F.col("hub").alias("a"), F.col("short").alias("b"))
     out = components(kept.union(tied)).withColumnsRenamed({"node": "short", "label": "block"})
-    for done in (shared, rows, sizes, rows_of, info, first):
+    for done in (shared, rows, long, rows_of, info, heavy, hubs):
         release(done)
     return out
 
@@ -389,17 +417,21 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     spark = docs.sparkSession
     bounded_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = materialize(_sets(docs, k, percent, id_col, text_col), "njac-sets")
-    n_sigs = rows.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_sigs // BUCKET_SIGNATURES))
+    # a text has about one signature for 16 bytes at most; the number only sizes the buckets
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // 16 // BUCKET_SIGNATURES))
+    scanned = materialize(_scan(docs, k, percent, buckets, id_col, text_col), "njac-scan")
+    rows = scanned.filter("bucket IS NULL")
     nodes = materialize(rows.filter("n > 0").groupBy("f", "g").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.max("n").alias("n"), F.max("z").alias("z")), "njac-nodes")
-    blocks = _blocks(_signed(docs, k, percent, buckets, text_col), buckets, nodes)
+    blocks = _blocks(scanned.filter("bucket IS NOT NULL").select("bucket", "pairs"), buckets, nodes)
     # the blocks' texts, one for each node, back to sets
     members = materialize(nodes.withColumn("short", F.col("f").bitwiseAND(F.lit((1 << 48) - 1))).join(blocks, "short").drop("short", "z"), "njac-members")
     stats = members.groupBy("block").agg(F.expr(f"cast(greatest(ceil(count(*) / {BATCH_SETS}), ceil(sum(n) / {BATCH_SHINGLES})) as int)").alias("batches"))
-    members = salted_join(members, stats, ["block"], ["f"]).withColumnsRenamed({"least": "_least"})
+    dealt = salted_join(members, stats, ["block"], ["f"]).withColumnsRenamed({"least": "_least"})
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    texts = texts.join(members.hint("shuffle_hash"), texts["_id"].eqNullSafe(members["_least"])).select("_text", "f", "g", "n", "copies", "block", "batches")
+    # few members go to the texts, else the texts go to them
+    dealt = F.broadcast(dealt) if members.count() <= MOST_MEMBERS else dealt.hint("shuffle_hash")
+    texts = texts.join(dealt, texts["_id"].eqNullSafe(dealt["_least"])).select("_text", "f", "g", "n", "copies", "block", "batches")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(k)
