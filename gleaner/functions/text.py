@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,9 @@ from gleaner.functions.stopwords import ENGLISH
 SPACED = "!\"#$%&()*+-./:;<=>?@[\\]^_`{|}~"
 DROPPED = ",'"
 SPACE = r"[ \t\n\r\f\x0B]+"
+#: Quotation marks that are words of their own, and words that are two words.
+QUOTES = "«“‘„»”’"
+TWO_WORDS = {"cannot": "can not", "gimme": "gim me", "gonna": "gon na", "gotta": "got ta", "lemme": "lem me", "wanna": "wan na"}
 SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
 SUBSCRIPTS = "₀₁₂₃₄₅₆₇₈₉"
 #: Families of enclosed numbers, as first code point, first value, last value.
@@ -71,14 +74,18 @@ def replace_subscripts(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Words between white space; null and empty texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    """Words between white space and quotation marks; some words are two. Null and empty texts have none.
+    (Quotation marks would be words of one character, which no profile keeps.)"""
+    plain = F.translate(F.coalesce(text, F.lit("")), QUOTES, " " * len(QUOTES))
+    halves = "|".join(f"{a}(?={b}(?![^ \\t\\n\\r\\f\\x0B]))" for a, b in (two.split() for two in TWO_WORDS.values()))
+    apart = F.regexp_replace(plain, f"(?<![^ \\t\\n\\r\\f\\x0B])({halves})", "$1 ")
+    return F.filter(F.split(F.when(plain.rlike("|".join(TWO_WORDS)), apart).otherwise(plain), SPACE), lambda w: w != "")
 
 
 def remove_stopwords(words: Column, stop: Iterable[str] = ENGLISH) -> Column:
     """Without stop words and words of one character."""
-    listed = F.array(*[F.lit(w) for w in stop])
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(listed, w))
+    listed = list(stop)
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(listed))  # a hash set
 
 
 def simple_words(text: Column) -> Column:
@@ -131,6 +138,21 @@ def number_words(words: list[str]) -> list[str]:
     return out
 
 
+def word_list(text: str) -> list[str]:
+    """The same words as :func:`tokens`."""
+    words = text.translate(_QUOTES).split()
+    return " ".join(TWO_WORDS.get(w, w) for w in words).split() if any(w in TWO_WORDS for w in words) else words
+
+
+def load_lemmas(table: DataFrame, most: int = 1_000_000) -> dict[str, str]:
+    """A lemma dictionary from rows (word, lemma); of several lemmas of a word the least. More than ``most`` words are an error: the dictionary goes to every worker."""
+    rows = table.filter("word IS NOT NULL AND lemma IS NOT NULL").groupBy("word").agg(F.min("lemma").alias("lemma")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} lemmas")
+    return {r.word: r.lemma for r in rows}
+
+
+_QUOTES = str.maketrans({c: " " for c in QUOTES})
 _SPELL = str.maketrans({**{c: " " for c in SPACED}, **{c: None for c in DROPPED}})
 
 
@@ -146,16 +168,16 @@ def full_words_of(text: str | None, lemmas: dict[str, str] | None = None, stop:
         for c in chars:
             if c in text:
                 text = text.replace(c, f"({value})")
-    words = kept(text.translate(_SPELL).split())
+    words = kept(word_list(text.translate(_SPELL)))
     text = " ".join(words)
     for digits in (SUPERSCRIPTS, SUBSCRIPTS):
         text = re.sub(f"[{digits}]+", lambda m: "^" + m[0].translate({ord(c): str(i) for i, c in enumerate(digits)}) + " ", text)  # noqa: B023
-    words = " ".join(number_words(text.split())).split()
+    words = " ".join(number_words(word_list(text))).split()
     words = [stem(lemmas.get(w, w)) for w in words]
     words = " ".join(words).translate(_SPELL).split()
     words = " ".join(number_words(words)).split()
     words = [stem(w) for w in words]
-    return kept(" ".join(words).translate(_SPELL).split())
+    return kept(word_list(" ".join(words).translate(_SPELL)))
 
 
 def full_words(lemmas: dict[str, str] | None = None, stop: Iterable[str] = ENGLISH):

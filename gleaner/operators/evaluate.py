@@ -19,6 +19,13 @@ def recall(ranks: DataFrame, cutoffs=CUTOFFS) -> DataFrame:
     return ranks.agg(F.count("*").alias("targets"), *[F.avg(((F.col("rank") > 0) & (F.col("rank") <= k)).cast("double")).alias(f"recall_at_{k}") for k in cutoffs])
 
 
+def questions(cases: DataFrame, search, cutoffs=CUTOFFS) -> DataFrame:
+    """Recall of general questions. ``cases``: (target, question), each question a query of its own;
+    ``search``: a function from queries (qid, text) to results (qid, doc, rank)."""
+    asked = cases.select(F.xxhash64("target", "question").alias("qid"), F.col("target").alias("doc"), F.col("question").alias("text")).distinct()
+    return recall(target_ranks(asked.select("qid", "doc"), search(asked.select("qid", "text"))), cutoffs)
+
+
 def average_latency(timings: DataFrame) -> DataFrame:
     return timings.groupBy("engine").agg(F.avg("elapsed").alias("avg_elapsed"))
 

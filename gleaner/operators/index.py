@@ -1,33 +1,42 @@
-"""Index operators: document ids, postings, lookups, shards."""
+"""Index operators: document ids, postings, lookups, shards, and the stored index that searches read."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators import stats as S
+from gleaner.sources.work import written
+
 #: Fixed value: postings of a shard; a longer word has a shard of its own.
 SHARD_LIMIT = 500_000
+#: Documents of a row of postings: a word of more documents has several rows.
+SPAN = 1 << 20
 
 
 def document_ids(docs: DataFrame) -> DataFrame:
     """(doc, doc_int): dense ids from 1 in document order.
 
     Ids are numbered within ranges of documents, and each range starts where the ones before it
-    end: no task sees more than a range."""
+    end: no task sees more than a range. The ranges are written, so that both readers see the same."""
     rows = docs.select("doc").distinct()
-    ranged = rows.repartitionByRange("doc").select("doc", F.spark_partition_id().alias("part"))
+    ranged = written(rows.repartitionByRange("doc").select("doc", F.spark_partition_id().alias("part")), "ranges")
     within = ranged.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("doc")))
     sizes = ranged.groupBy("part").agg(F.count("*").alias("size"))  # a row per partition
     starts = sizes.withColumn("start", F.sum("size").over(Window.orderBy("part")) - F.col("size")).drop("size")
     return within.join(F.broadcast(starts), "part").select("doc", (F.col("start") + F.col("n")).cast("bigint").alias("doc_int"))
 
 
-def postings(tf: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """(word, docs): sorted documents of each word, by number if ``ids`` is given."""
+def postings(tf: DataFrame, ids: DataFrame | None = None, span: int = SPAN) -> DataFrame:
+    """(word, part, docs): the sorted documents of each word, by number if ``ids`` is given, a row
+    for each ``span`` document numbers, so that no word's list is in one row or task. Documents that
+    aren't whole numbers are dealt out by hash."""
     rows = tf.select("word", "doc") if ids is None else tf.join(ids, "doc").select("word", F.col("doc_int").alias("doc"))
-    return rows.groupBy("word").agg(F.sort_array(F.collect_set("doc")).alias("docs"))
+    whole = rows.schema["doc"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    part = F.floor(F.col("doc") / span).cast("bigint") if whole else F.pmod(F.xxhash64("doc"), F.lit(16))
+    return rows.groupBy("word", part.alias("part")).agg(F.sort_array(F.collect_set("doc")).alias("docs"))
 
 
 def candidates(words: DataFrame, index: DataFrame) -> DataFrame:
@@ -35,6 +44,48 @@ def candidates(words: DataFrame, index: DataFrame) -> DataFrame:
     return words.join(index, "word").select("qid", F.explode("docs").alias("doc")).distinct()
 
 
+def build_index(docs: DataFrame, path: str, limit: int = SHARD_LIMIT) -> StoredIndex:
+    """Write the index of (doc, words) under ``path``: ``stats`` (one row), ``terms`` (word, df,
+    shard), sorted by word, and ``postings`` (word, doc, tf, doc_len) in a folder for each shard,
+    sorted by word and dealt out by ranges of (shard, word, doc), so that a hot word has many files.
+    Words are packed into shards of up to ``limit`` postings; for a large corpus raise it."""
+    spark = docs.sparkSession
+    rows = docs.select("doc", F.size("words").cast("bigint").alias("doc_len"), F.explode("words").alias("word"))
+    tf = written(rows.groupBy("doc", "word").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len")), "tf")
+    S.corpus_stats(S.document_lengths(docs)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    terms = written(pack_shards(S.document_frequencies(tf), limit), "terms")
+    terms.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/terms")
+    placed = tf.join(terms.select("word", "shard"), "word").repartitionByRange("shard", "word", "doc")
+    placed.sortWithinPartitions("shard", "word", "doc").write.partitionBy("shard").mode("overwrite").parquet(f"{path}/postings")
+    return StoredIndex(spark, path)
+
+
+class StoredIndex:
+    """What :func:`build_index` wrote."""
+
+    #: Words of a query set that go to the scan as literals; more of them are joined.
+    MOST_LITERALS = 2_000
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.stats, self.terms, self.postings = (spark.read.parquet(f"{path}/{name}") for name in ("stats", "terms", "postings"))
+
+    def read(self, words: DataFrame) -> DataFrame:
+        """(word, df, doc, tf, doc_len) of the words asked for: only their shards' folders are listed,
+        and in these only the row groups that may hold them are read."""
+        asked = words.select("word").distinct()
+        some = [r.word for r in asked.limit(self.MOST_LITERALS + 1).collect()]
+        if len(some) > self.MOST_LITERALS:
+            terms = asked.join(self.terms, "word")
+            return self.postings.join(terms, ["shard", "word"]).select("word", "df", "doc", "tf", "doc_len")
+        found = self.terms.filter(F.col("word").isin(some)).collect()  # a row per word asked for
+        if not found:
+            return self.postings.filter("false").select("word", F.lit(0).cast("bigint").alias("df"), "doc", "tf", "doc_len")
+        rows = self.postings.filter(F.col("shard").isin(sorted({r.shard for r in found})) & F.col("word").isin([r.word for r in found]))
+        known = self.spark.createDataFrame([(r.word, r.df) for r in found], "word string, df bigint")
+        return rows.join(F.broadcast(known), "word").select("word", "df", "doc", "tf", "doc_len")
+
+
 def lookup(index: DataFrame, words: Iterable[str]) -> DataFrame:
     """Rows of the given words; the filter reaches the scan."""
     return index.filter(F.col("word").isin(list(words)))
@@ -61,7 +112,9 @@ def pack_shards(df: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
     shard takes a fixed number of words, so only the list of distinct frequencies (which grows
     with the root of the corpus) is walked through, and words find their shard by their place
     in their frequency."""
-    steps = df.groupBy("df").agg(F.count("*").alias("n"))
+    # the ranges are written, so that both readers see the same
+    ranged = written(df.select("word", F.col("df").cast("bigint").alias("df")).repartitionByRange("df", "word").withColumn("part", F.spark_partition_id()), "ranges")
+    steps = ranged.groupBy("df").agg(F.count("*").alias("n"))
     walk = F.aggregate(
         F.sort_array(F.collect_list(F.struct((-F.col("df")).alias("neg"), "n"))),
         F.struct(F.lit(0).cast("bigint").alias("shard"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<df:bigint,shard:bigint,room:bigint,per:bigint>>").alias("out")),
@@ -70,7 +123,6 @@ def pack_shards(df: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
     )
     plan = steps.agg(walk.alias("plan")).select(F.explode("plan").alias("p")).select("p.*")
     # the place of a word in its frequency: numbered in ranges, then shifted by the ranges before
-    ranged = df.select("word", F.col("df").cast("bigint").alias("df")).repartitionByRange("df", "word").withColumn("part", F.spark_partition_id())
     within = ranged.withColumn("i", F.row_number().over(Window.partitionBy("part", "df").orderBy("word")))
     before = ranged.groupBy("part", "df").agg(F.count("*").alias("c"))
     before = before.withColumn("skip", F.sum("c").over(Window.partitionBy("df").orderBy("part")) - F.col("c")).drop("c")

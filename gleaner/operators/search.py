@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gleaner.config import DEFAULT_RESULTS, BM25Params, check_results
 from gleaner.functions.text import simple_words
 from gleaner.operators import stats as S
+from gleaner.operators.index import StoredIndex
 
 #: Query words that may be broadcast; beyond, the planner joins by shuffle.
 MOST_BROADCAST = 200_000
@@ -65,15 +66,40 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS, params:
     """(qid, doc, score, rank): sum of BM25 over a query's distinct words; unknown words add nothing. ``docs``: (doc, words)."""
     asked = query_words(queries, words).select("qid", "word")
     mark = marker(asked)
-    scored = weighted(docs, asked, params, mark).join(mark(asked), "word").groupBy("qid", "doc").agg(F.round(F.sum("bm25"), DIGITS).alias("score"))
-    return top(at_least(scored, min_score), k)
+    return _summed(weighted(docs, asked, params, mark), mark(asked), k, min_score)
 
 
 def tfidf(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS, words=simple_words, min_score: float | None = None) -> DataFrame:
     """(qid, doc, score, rank): cosine of the query's and the document's TF-IDF over the query's words; null where a norm is 0."""
     asked = query_words(queries, words)
     mark = marker(asked)
-    rows = weighted(docs, asked, mark=mark)
+    return _cosines(weighted(docs, asked, mark=mark), asked, mark, k, min_score)
+
+
+def stored_weights(index: StoredIndex, words: DataFrame, params: BM25Params = BM25Params()) -> DataFrame:
+    """The same as :func:`weighted` from a stored index, of which only the words' parts are read."""
+    rows = index.read(words).join(F.broadcast(index.stats)).withColumn("idf", F.log(F.col("corpus_size") / F.col("df")))  # one row of statistics
+    return rows.select("word", "doc", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"), S.bm25_weight(F.col("tf"), F.col("doc_len"), F.col("idf"), F.col("avg_doc_len"), params).alias("bm25"))
+
+
+def bm25_stored(index: StoredIndex, queries: DataFrame, k: int = DEFAULT_RESULTS, params: BM25Params = BM25Params(), words=simple_words, min_score: float | None = None) -> DataFrame:
+    """:func:`bm25` from a stored index; the parameters take effect, since frequencies and lengths are stored."""
+    asked = query_words(queries, words).select("qid", "word")
+    return _summed(stored_weights(index, asked, params), marker(asked)(asked), k, min_score)
+
+
+def tfidf_stored(index: StoredIndex, queries: DataFrame, k: int = DEFAULT_RESULTS, words=simple_words, min_score: float | None = None) -> DataFrame:
+    """:func:`tfidf` from a stored index."""
+    asked = query_words(queries, words)
+    return _cosines(stored_weights(index, asked), asked, marker(asked), k, min_score)
+
+
+def _summed(rows: DataFrame, asked: DataFrame, k: int, min_score: float | None) -> DataFrame:
+    scored = rows.join(asked, "word").groupBy("qid", "doc").agg(F.round(F.sum("bm25"), DIGITS).alias("score"))
+    return top(at_least(scored, min_score), k)
+
+
+def _cosines(rows: DataFrame, asked: DataFrame, mark, k: int, min_score: float | None) -> DataFrame:
     idf = mark(rows.select("word", "idf").distinct())
     vectors = asked.join(idf, "word").withColumn("qw", F.col("qtf") * F.col("idf"))
     norms = vectors.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))

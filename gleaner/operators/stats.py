@@ -63,9 +63,9 @@ def sparse_vectors(docs: DataFrame, params: BM25Params = BM25Params()) -> DataFr
     """(doc, word, tf, doc_len, idf, tf_idf, bm25). The vocabulary grows with the corpus, so it is joined by the planner's choice and never forced to be broadcast."""
     lengths = document_lengths(docs)
     stats = corpus_stats(lengths)
-    # the length travels with the words: no join on the document
+    # the length travels with the words: no join on the document; the frequencies are those of the same rows
     tf = docs.select("doc", F.size("words").cast("bigint").alias("doc_len"), F.explode("words").alias("word")).groupBy("doc", "word").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
-    weights = idf(document_frequencies(term_frequencies(docs)), stats)
+    weights = idf(document_frequencies(tf), stats)
     rows = tf.join(weights.select("word", "idf"), "word", "left").join(F.broadcast(stats))
     return rows.select(
         "doc", "word", "tf", "doc_len", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"), bm25_weight(F.col("tf"), F.col("doc_len"), F.col("idf"), F.col("avg_doc_len"), params).alias("bm25")

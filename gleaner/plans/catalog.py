@@ -7,10 +7,13 @@ vector whose id is divisible by 20; by convention a document's vector is that wi
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.config import ChunkParams
+from gleaner.config import ChunkParams, Config
 from gleaner.functions import text as T
 from gleaner.functions.html import article_text, article_text_sql
 from gleaner.functions.stopwords import ENGLISH
@@ -19,7 +22,10 @@ from gleaner.operators import index as I
 from gleaner.operators import search as Q
 from gleaner.operators import stats as S
 from gleaner.operators import vectors as V
+from gleaner.sources import articles as A
+from gleaner.sources import tables as B
 from gleaner.sources.articles import attach_text
+from gleaner.sources.work import work_folder
 
 K = 10
 ONE_QUERY = "station of the ereading thertion and erthe reening"
@@ -27,6 +33,9 @@ SHARD_LIMIT = 20_000
 PREFIX = "tion"
 CHUNKS = ChunkParams(ctx=64, overlap=8)
 VECTOR_STEP = 20
+#: Document numbers of a row of postings in the query, so that words have several rows.
+SPAN = 256
+CELLS = 16
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -58,6 +67,40 @@ def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> I.StoredIndex:
+    """The index of the documents, built where it isn't there yet. Its place is named by what the
+    documents' files are (path, size, time), so that other files get an index of their own."""
+    where, path = _input(spark, sf_dir, "documents")
+    files = where.listFiles(path, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    name = hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:24]
+    final = f"{work_folder(spark)}/gleaner-work/index-{name}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(final)
+    there = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not there.exists(target):
+        draft = f"{final}-{uuid.uuid4().hex}"
+        build_index(spark, sf_dir, draft)
+        if not there.rename(spark._jvm.org.apache.hadoop.fs.Path(draft), target) and not there.exists(target):
+            raise OSError(f"cannot move {draft} to {final}")
+    return I.StoredIndex(spark, final)
+
+
+def build_index(spark: SparkSession, sf_dir: str, path: str) -> I.StoredIndex:
+    return I.build_index(_docs(spark, sf_dir), path)
+
+
+def _input(spark: SparkSession, sf_dir: str, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{work_folder(spark)}/gleaner-work/{name}-{uuid.uuid4().hex}"
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"), "label")
 
@@ -73,9 +116,17 @@ _STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH) + "]"
 _SPACE = "'[ \\t\\n\\r\\f\\v]+'"
 
 
+_TWO = "CASE w " + " ".join(f"WHEN '{w}' THEN ['{two.split()[0]}', '{two.split()[1]}']" for w, two in T.TWO_WORDS.items()) + " ELSE [w] END"
+
+
+def _kept(plain: str) -> str:
+    """The words of a text without quotation marks, stop words and words of one character."""
+    words = f"string_split_regex(translate(coalesce({plain}, ''), '{T.QUOTES}', '{' ' * len(T.QUOTES)}'), {_SPACE})"
+    return f"list_filter(flatten(list_transform({words}, lambda w: {_TWO})), lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w))"
+
+
 def _words(text: str) -> str:
-    plain = f"translate(lower({text}), {_PUNCTUATION}, repeat(' ', {len(T.SPACED)}))"
-    return f"list_filter(string_split_regex(coalesce({plain}, ''), {_SPACE}), lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w))"
+    return _kept(f"translate(lower({text}), {_PUNCTUATION}, repeat(' ', {len(T.SPACED)}))")
 
 
 _D = f"d AS (SELECT doc_id AS doc, {_words('text')} AS words FROM documents)"
@@ -136,7 +187,7 @@ def remove_punctuation(spark, sf_dir):
 
 @query(
     "remove_stopwords",
-    f"SELECT item_id AS qid, array_to_string(list_filter(string_split_regex(lower(text), {_SPACE}), lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w)), ' ') AS text FROM benchmark",
+    f"SELECT item_id AS qid, array_to_string({_kept('lower(text)')}, ' ') AS text FROM benchmark",
 )
 def remove_stopwords(spark, sf_dir):
     return _batch(spark, sf_dir).select("qid", F.array_join(T.remove_stopwords(T.tokens(F.lower("text"))), " ").alias("text"))
@@ -175,7 +226,27 @@ def stem_vocabulary(spark, sf_dir):
     return words.select("word", T.stemmed("word").alias("stem"), "df")
 
 
-@query("number_words")
+def _cardinal_sql(n: str) -> str:
+    """Whole numbers below 10 ** 15 in words."""
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+    ones = listed("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen")
+    tens, scales = listed("twenty thirty forty fifty sixty seventy eighty ninety"), "['', ' thousand', ' million', ' billion', ' trillion']"
+    small = f"CASE WHEN r % 100 < 20 THEN {ones}[r % 100 + 1] ELSE {tens}[r % 100 // 10 - 1] || CASE WHEN r % 10 > 0 THEN '-' || {ones}[r % 10 + 1] ELSE '' END END"
+    group = f"CASE WHEN r < 100 THEN {small} ELSE {ones}[r // 100 + 1] || ' hundred' || CASE WHEN r % 100 > 0 THEN ' and ' || {small} ELSE '' END END"
+    groups = f"list_filter(list_transform([4, 3, 2, 1, 0], lambda p: struct_pack(p := p, r := CAST({n} // CAST(pow(1000, p) AS BIGINT) % 1000 AS BIGINT))), lambda x: x.r > 0)"
+    words = f"list_transform({groups}, lambda x: list_transform([x.r], lambda r: {group})[1] || {scales}[x.p + 1])"
+    last = f"CASE WHEN {n} > 999 AND {n} % 1000 BETWEEN 1 AND 99 THEN ' and ' ELSE ', ' END"
+    many = f"CASE WHEN len({words}) > 1 THEN array_to_string(({words})[1:-2], ', ') || {last} || ({words})[-1] ELSE ({words})[1] END"
+    return f"CASE WHEN {n} = 0 THEN 'zero' ELSE {many} END"
+
+
+@query(
+    "number_words",
+    f"""WITH x AS (SELECT item_id AS qid, text FROM benchmark UNION ALL SELECT page_id, url FROM pages),
+w AS (SELECT qid, string_split_regex(trim(translate(lower(text), {_PUNCTUATION}, repeat(' ', {len(T.SPACED)}))), {_SPACE}) AS ws, row_number() OVER () AS line FROM x),
+e AS (SELECT qid, line, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM w)
+SELECT qid, string_agg(CASE WHEN regexp_full_match(w, '[0-9]+') THEN {_cardinal_sql("CAST(CASE WHEN regexp_full_match(w, '[0-9]+') THEN w ELSE '0' END AS BIGINT)")} ELSE w END, ' ' ORDER BY k) AS text FROM e GROUP BY qid, line""",
+)
 def number_words(spark, sf_dir):
     text = T.remove_punctuation(F.lower("text"))
     return _batch(spark, sf_dir).unionByName(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("qid"), F.col("url").alias("text"))).select("qid", T.spelled(text).alias("text"))
@@ -288,11 +359,25 @@ def doc_ids(spark, sf_dir):
     return I.document_ids(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc")))
 
 
-@query("postings", f"WITH {_TF}, ids AS (SELECT doc_id AS doc, row_number() OVER (ORDER BY doc_id) AS i FROM documents) SELECT word, array_to_string(list(i ORDER BY i), ' ') AS docs, count(*) AS df FROM tf JOIN ids USING (doc) GROUP BY word")
+@query(
+    "postings",
+    f"WITH {_TF}, ids AS (SELECT doc_id AS doc, row_number() OVER (ORDER BY doc_id) AS i FROM documents) SELECT word, i // {SPAN} AS part, array_to_string(list(i ORDER BY i), ' ') AS docs, count(*) AS n FROM tf JOIN ids USING (doc) GROUP BY word, part",
+)
 def postings(spark, sf_dir):
+    """Lists of document numbers, a row for each word and range of numbers."""
     docs = _docs(spark, sf_dir)
-    lists = I.postings(S.term_frequencies(docs), I.document_ids(docs))
-    return lists.select("word", F.array_join(F.col("docs").cast("array<string>"), " ").alias("docs"), F.size("docs").cast("bigint").alias("df"))
+    lists = I.postings(S.term_frequencies(docs), I.document_ids(docs), SPAN)
+    return lists.select("word", "part", F.array_join(F.col("docs").cast("array<string>"), " ").alias("docs"), F.size("docs").cast("bigint").alias("n"))
+
+
+@query(
+    "index_postings",
+    f"WITH {_STATS} SELECT word, doc, tf, doc_len, df.df FROM tf JOIN l USING (doc) JOIN df USING (word)",
+)
+def index_postings(spark, sf_dir):
+    """All postings of the stored index, with the frequencies of its terms."""
+    index = stored_index(spark, sf_dir)
+    return index.postings.join(index.terms, ["shard", "word"]).select("word", "doc", "tf", "doc_len", "df")
 
 
 @query("candidates_or", f"WITH {_TF}, {_MANY}, {_QW} SELECT DISTINCT qid, doc FROM tf JOIN qw USING (word)")
@@ -348,33 +433,45 @@ def shard_pack(spark, sf_dir):
 
 @query("bm25_topk", f"WITH {_bm25(_ONE, 50)} SELECT qid, doc, round(score, 6) AS score, rank FROM hits")
 def bm25_topk(spark, sf_dir):
-    return _shown(Q.bm25(_docs(spark, sf_dir), _one_query(spark), 50))
+    return _shown(Q.bm25_stored(stored_index(spark, sf_dir), _one_query(spark), 50))
 
 
 @query("bm25_batch", f"WITH {_bm25(_MANY, K)} SELECT qid, doc, round(score, 6) AS score, rank FROM hits")
 def bm25_batch(spark, sf_dir):
+    return _shown(Q.bm25_stored(stored_index(spark, sf_dir), _batch(spark, sf_dir), K))
+
+
+@query("bm25_scan", f"WITH {_bm25(_MANY, K)} SELECT qid, doc, round(score, 6) AS score, rank FROM hits")
+def bm25_scan(spark, sf_dir):
+    """The same without an index."""
     return _shown(Q.bm25(_docs(spark, sf_dir), _batch(spark, sf_dir), K))
 
 
 @query("bm25_index", f"WITH {_bm25(_MANY, K)} SELECT qid, doc, round(score, 6) AS score, rank FROM hits")
 def bm25_index(spark, sf_dir):
-    """The same from the sparse vectors of the whole corpus."""
+    """The same from sparse vectors with precomputed weights."""
     return _shown(Q.search_index(S.sparse_vectors(_docs(spark, sf_dir)), _batch(spark, sf_dir), K))
 
 
 @query("tfidf_topk", f"WITH {_tfidf(_ONE, 50)} SELECT qid, doc, round(score, 6) AS score, rank FROM hits")
 def tfidf_topk(spark, sf_dir):
-    return _shown(Q.tfidf(_docs(spark, sf_dir), _one_query(spark), 50))
+    return _shown(Q.tfidf_stored(stored_index(spark, sf_dir), _one_query(spark), 50))
 
 
 @query("tfidf_batch", f"WITH {_tfidf(_MANY, K)} SELECT qid, doc, round(score, 6) AS score, rank FROM hits")
 def tfidf_batch(spark, sf_dir):
+    return _shown(Q.tfidf_stored(stored_index(spark, sf_dir), _batch(spark, sf_dir), K))
+
+
+@query("tfidf_scan", f"WITH {_tfidf(_MANY, K)} SELECT qid, doc, round(score, 6) AS score, rank FROM hits")
+def tfidf_scan(spark, sf_dir):
+    """The same without an index."""
     return _shown(Q.tfidf(_docs(spark, sf_dir), _batch(spark, sf_dir), K))
 
 
 @query("min_score", f"WITH {_bm25(_MANY, K)} SELECT qid, doc, round(score, 6) AS score, rank FROM hits WHERE score >= 20")
 def min_score(spark, sf_dir):
-    return _shown(Q.bm25(_docs(spark, sf_dir), _batch(spark, sf_dir), K, min_score=20.0))
+    return _shown(Q.bm25_stored(stored_index(spark, sf_dir), _batch(spark, sf_dir), K, min_score=20.0))
 
 
 @query(
@@ -383,7 +480,7 @@ def min_score(spark, sf_dir):
 )
 def attach_texts(spark, sf_dir):
     """Hits with their texts; those of other languages count as missing."""
-    hits = Q.bm25(_docs(spark, sf_dir), _one_query(spark), 50)
+    hits = Q.bm25_stored(stored_index(spark, sf_dir), _one_query(spark), 50)
     texts = _table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("doc"), "text")
     return attach_text(hits, texts).select("qid", "doc", "rank", "text")
 
@@ -402,6 +499,14 @@ def vector_knn_filtered(spark, sf_dir):
     return _shown(V.nearest(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), K, keep=keep), "distance")
 
 
+@query("vector_cells", f"WITH {_NEAR}, {_knn('v CROSS JOIN qv')} SELECT qid, doc, round(distance, 6) AS distance, rank FROM near")
+def vector_cells(spark, sf_dir):
+    """From the index in cells; with all cells as probes the search is exact."""
+    path = _fresh(spark, "cells")
+    V.build_cells(_vectors(spark, sf_dir), path, CELLS)
+    return _shown(V.nearest_in_cells(spark, path, _query_vectors(spark, sf_dir), K, probes=CELLS), "distance")
+
+
 @query("mean_pool", "SELECT label, CAST(pos - 1 AS INT) AS pos, round(avg(CAST(x AS DOUBLE)), 9) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos")
 def mean_pool(spark, sf_dir):
     return V.mean_pool(_vectors(spark, sf_dir), ["label"]).select("label", "pos", F.round("mean", 9).alias("mean"))
@@ -413,7 +518,7 @@ _RERANK = f"{_bm25(_MANY, 50)}, {_V}, qv AS (SELECT item_id AS qid, x AS q FROM
 @query("rerank", f"WITH {_RERANK} SELECT qid, doc, round(distance, 6) AS distance, rank FROM near")
 def rerank(spark, sf_dir):
     """BM25, then cosine distance to the vector with the query's number."""
-    first = Q.bm25(_docs(spark, sf_dir), _batch(spark, sf_dir), 50)
+    first = Q.bm25_stored(stored_index(spark, sf_dir), _batch(spark, sf_dir), 50)
     vectors = _vectors(spark, sf_dir).select("doc", "vector")
     asked = _batch(spark, sf_dir).join(vectors, F.col("qid") == F.col("doc")).select("qid", "vector")
     return _shown(V.rerank(first, vectors, asked, K), "distance")
@@ -431,6 +536,20 @@ def chunk_windows(spark, sf_dir):
     return rows.select("doc", "para", "chunk", F.array_join("tokens", " ").alias("tokens"), "para_offset")
 
 
+_SPANS = f"""WITH p AS (SELECT doc_id AS doc, ps, i, ps[i] AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ps, generate_subscripts(ps, 1) AS i FROM documents)),
+t AS (SELECT doc, CAST(i - 1 AS INT) AS para, p, regexp_extract_all(p, '[^ \\t\\n\\r\\f\\v]+') AS t, string_split_regex(p, '[^ \\t\\n\\r\\f\\v]+') AS g FROM p WHERE p <> ''),
+e AS (SELECT doc, para, k, sum(length(g) + length(t)) OVER (PARTITION BY doc, para ORDER BY k) AS e, length(t) AS n FROM (SELECT doc, para, unnest(t) AS t, unnest(g[1:len(t)]) AS g, generate_subscripts(t, 1) AS k FROM t WHERE len(t) > 0)),
+w AS (SELECT doc, para, len(t) AS n, CASE WHEN len(t) < {CHUNKS.ctx} THEN [0] ELSE range(0, len(t), {CHUNKS.ctx - CHUNKS.overlap}) END AS starts FROM t WHERE len(t) > 0),
+c AS (SELECT doc, para, n, unnest(starts) AS s, generate_subscripts(starts, 1) - 1 AS chunk FROM w)
+SELECT c.doc, c.para, CAST(chunk AS INT) AS chunk, CAST(a.e - a.n AS INT) AS "start", CAST(b.e AS INT) AS "end" FROM c JOIN e a ON a.doc = c.doc AND a.para = c.para AND a.k = c.s + 1 JOIN e b ON b.doc = c.doc AND b.para = c.para AND b.k = least(c.s + {CHUNKS.ctx}, c.n)"""
+
+
+@query("chunk_spans", _SPANS)
+def chunk_spans(spark, sf_dir):
+    """Where each chunk's tokens begin and end in their paragraph."""
+    return V.chunks(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), CHUNKS, separator="\n").select("doc", "para", "chunk", "start", "end")
+
+
 @query("chunk_embeddings")
 def chunk_embeddings(spark, sf_dir):
     """Chunks with their spans in the article and a vector."""
@@ -445,16 +564,19 @@ _TARGETS = "target AS (SELECT item_id AS qid, doc_id AS doc FROM benchmark b JOI
 
 
 def _targets(spark, sf_dir) -> DataFrame:
-    """(qid, doc): the documents that hold a passage. They share its first three words, which is what the join is on."""
-    def triples(text):
-        words = F.split(text, " ")
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - 3)), lambda i: F.array_join(F.slice(words, i + 1, 3), " "))
-
-    passages = _batch(spark, sf_dir).select("qid", F.col("text").alias("passage"), F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("key"))
+    """(qid, doc): the documents that hold a passage. All words of a passage but its first and last
+    stand in such a document as they are, whatever white space is around them; documents are found
+    by the first three of these and verified. Passages with fewer words are looked for in all documents."""
+    space = r"[ \t\n\x0B\f\r]+"
+    triples = lambda words: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - 3)), lambda i: F.array_join(F.slice(words, i + 1, 3), " "))
+    passages = _batch(spark, sf_dir).select("qid", F.col("text").alias("passage")).withColumn("w", F.split("passage", space))
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    keyed = docs.select("doc", F.explode(F.array_distinct(F.flatten(F.transform(F.split("text", "\n"), triples)))).alias("key"))
-    found = keyed.join(Q.small(passages), "key").select("qid", "doc", "passage").distinct()
-    return found.join(docs, "doc").filter(F.contains(F.col("text"), F.col("passage"))).select("qid", "doc")
+    keyed = docs.select("doc", F.explode(F.array_distinct(triples(F.split("text", space)))).alias("key"))
+    long = passages.filter(F.size("w") >= 5).select("qid", "passage", F.array_join(F.slice("w", 2, 3), " ").alias("key"))
+    found = keyed.join(Q.small(long), "key").select("qid", "doc", "passage").distinct()
+    out = found.join(docs, "doc").filter(F.contains(F.col("text"), F.col("passage"))).select("qid", "doc")
+    short = passages.filter(F.size("w") < 5).select("qid", "passage")
+    return out.union(docs.join(Q.small(short), F.contains(F.col("text"), F.col("passage"))).select("qid", "doc"))
 
 
 @query("passage_targets", f"WITH {_TARGETS} SELECT qid, doc FROM target")
@@ -464,7 +586,7 @@ def passage_targets(spark, sf_dir):
 
 @query("rank_position", f"WITH {_bm25(_MANY, 50)}, {_TARGETS} SELECT qid, doc, CAST(coalesce(rank, -1) AS INT) AS rank FROM target LEFT JOIN hits USING (qid, doc)")
 def rank_position(spark, sf_dir):
-    return E.target_ranks(_targets(spark, sf_dir), Q.bm25(_docs(spark, sf_dir), _batch(spark, sf_dir), 50))
+    return E.target_ranks(_targets(spark, sf_dir), Q.bm25_stored(stored_index(spark, sf_dir), _batch(spark, sf_dir), 50))
 
 
 @query(
@@ -474,7 +596,7 @@ def rank_position(spark, sf_dir):
     + " FROM r",
 )
 def passage_recall(spark, sf_dir):
-    ranks = E.target_ranks(_targets(spark, sf_dir), Q.bm25(_docs(spark, sf_dir), _batch(spark, sf_dir), 50))
+    ranks = E.target_ranks(_targets(spark, sf_dir), Q.bm25_stored(stored_index(spark, sf_dir), _batch(spark, sf_dir), 50))
     return E.recall(ranks).select("targets", *[F.round(f"recall_at_{k}", 9).alias(f"recall_at_{k}") for k in E.CUTOFFS])
 
 
@@ -489,3 +611,113 @@ def sample_documents(spark, sf_dir):
 )
 def exact_passages(spark, sf_dir):
     return E.exact_passages(_docs(spark, sf_dir))
+
+
+# sources, sinks and small functions ------------------------------------------------------------
+
+
+@query("parquet_sink", "SELECT doc_id, text, lang, source FROM documents")
+def parquet_sink(spark, sf_dir):
+    """Written as Parquet, in a folder for each language, and read back."""
+    path = _fresh(spark, "parquet")
+    B.save(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), path, partition_by=["lang"])
+    return B.load(spark, path).select("doc_id", "text", "lang", "source")
+
+
+@query("json_sink", "SELECT item_id, text FROM benchmark")
+def json_sink(spark, sf_dir):
+    """Written as JSON lines and read back by the format switch."""
+    path = _fresh(spark, "json")
+    B.save(_table(spark, sf_dir, "benchmark"), path, "json")
+    return B.load(spark, path, "json", "item_id bigint, text string")
+
+
+@query("json_map", "SELECT CAST(item_id AS VARCHAR) AS key, CAST(length(text) AS BIGINT) AS value FROM benchmark")
+def json_map(spark, sf_dir):
+    """One JSON object as a map, written as text and read back."""
+    path = _fresh(spark, "map")
+    rows = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("key"), F.length("text").cast("bigint").alias("value"))
+    whole = rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "value")))).alias("value"))  # a map is one value
+    whole.coalesce(1).write.text(path)
+    return B.load_map(spark, path)
+
+
+@query("article_map", "SELECT 'page ' || page_id AS title, 'en/' || page_id || '.html' AS path FROM pages WHERE page_id % 3 > 0")
+def article_map(spark, sf_dir):
+    """A map of articles: its data folder cut off, links between articles left out, those that are listed kept."""
+    path = _fresh(spark, "articles")
+    pages = _table(spark, sf_dir, "pages")
+    at = F.concat(F.lit("./data/en/"), F.col("page_id").cast("string"), F.lit(".html"))
+    entries = pages.select(F.struct(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("key"), F.struct(at.alias("path")).alias("value")).alias("e"))
+    links = pages.select(F.struct(F.concat(F.lit("link "), F.col("page_id").cast("string")).alias("key"), F.struct(F.concat(F.lit("./data/a_to_"), F.col("page_id").cast("string")).alias("path")).alias("value")).alias("e"))
+    entries.union(links).agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")).coalesce(1).write.text(path)
+    listed = pages.filter("page_id % 3 > 0").select(F.concat(F.lit("en/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"))
+    return A.existing(A.read_article_map(spark, path), listed)
+
+
+@query("postings_sink", f"WITH {_TF} SELECT word, count(*) AS df FROM tf WHERE word IN ('tion', 'station') GROUP BY word")
+def postings_sink(spark, sf_dir):
+    """Postings written by word; a lookup reads the row groups that may hold its words."""
+    path = _fresh(spark, "postings")
+    B.save_postings(I.postings(S.term_frequencies(_docs(spark, sf_dir))), path)
+    return I.lookup(B.load(spark, path), ["tion", "station"]).groupBy("word").agg(F.sum(F.size("docs")).cast("bigint").alias("df"))
+
+
+@query("vector_table", "SELECT CAST(vec_id AS VARCHAR) AS file, vec_id AS a, vec_id + 9 AS b, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings")
+def vector_table(spark, sf_dir):
+    """A vector table created from one half and appended with all: nothing is there twice."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("file"), F.array(F.col("vec_id").cast("int"), (F.col("vec_id") + 9).cast("int")).alias("start_end"), F.col("embedding").alias("vector"))
+    table = B.VectorTable(spark, _fresh(spark, "vectors"), 64)
+    table.create(rows.filter("cast(file as int) % 2 = 0"))
+    table.append(rows)
+    return table.read().select("file", F.col("start_end")[0].cast("bigint").alias("a"), F.col("start_end")[1].cast("bigint").alias("b"), F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
+
+
+@query("config_round_trip", f"SELECT CAST(1.5 AS DOUBLE) AS k1, CAST(0.75 AS DOUBLE) AS b, '{'/root/depth_2/idf'}' AS path")
+def config_round_trip(spark, sf_dir):
+    """A configuration written, read, changed and asked for a place."""
+    path = _fresh(spark, "config")
+    spark.range(1).select(F.lit(Config(Q.BM25Params(1.5, 0.75)).dump()).alias("value")).coalesce(1).write.text(path)
+    config = Config.parse(spark.read.text(path).first().value).at_depth(2)
+    return spark.range(1).select(F.lit(config.bm25.k1).alias("k1"), F.lit(config.bm25.b).alias("b"), F.lit(config.path("/root", "idf")).alias("path"))
+
+
+@query("shard_numbers", "SELECT event_id, CAST(CASE WHEN event_id % 2 = 0 THEN event_id ELSE -1 END AS INT) AS shard FROM events")
+def shard_numbers(spark, sf_dir):
+    """Shard numbers of file names; -1 for other files."""
+    name = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("x/inverted_index_"), F.col("event_id").cast("string"), F.lit(".msgpack"))).otherwise(F.concat(F.lit("x/other_"), F.col("event_id").cast("string")))
+    return _table(spark, sf_dir, "events").select("event_id", T.shard_number(name).alias("shard"))
+
+
+@query("file_hashes", "SELECT 'wiki_' || page_id % 7 || '.xml' AS file, count(*) AS n, min(md5(url)) AS first FROM pages GROUP BY 1")
+def file_hashes(spark, sf_dir):
+    """Paths cut into file and hash, and grouped by file."""
+    at = T.file_and_hash(F.concat(F.lit("data/wiki_"), (F.col("page_id") % 7).cast("string"), F.lit(".xml_"), F.md5("url")))
+    return _table(spark, sf_dir, "pages").select(at.alias("p")).groupBy("p.file").agg(F.count("*").alias("n"), F.min("p.hash").alias("first"))
+
+
+@query("redirects", "SELECT md5(url) AS sha1 FROM pages WHERE page_id % 4 = 0")
+def redirects(spark, sf_dir):
+    """The hashes of pages that are redirects."""
+    mark = F.when(F.col("page_id") % 4 == 0, F.lit('<redirect title="x"/>')).otherwise(F.lit(""))
+    pages = _table(spark, sf_dir, "pages").select(F.concat(mark, F.lit("<sha1> "), F.md5("url"), F.lit(" </sha1>")).alias("page"))
+    return A.isolate_redirects(pages, T.redirect_hash(F.col("page")))
+
+
+@query("average_latency", "SELECT event_type AS engine, round(avg(value), 6) AS avg_elapsed FROM events GROUP BY event_type")
+def average_latency(spark, sf_dir):
+    timings = _table(spark, sf_dir, "events").select(F.col("event_type").alias("engine"), F.col("value").alias("elapsed"))
+    return E.average_latency(timings).select("engine", F.round("avg_elapsed", 6).alias("avg_elapsed"))
+
+
+_PARAGRAPHS = "p AS (SELECT doc_id AS doc, CAST(i - 1 AS INT) AS para, p AS text FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ps, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM documents))"
+
+
+@query(
+    "weighted_paragraph",
+    f"WITH {_PARAGRAPHS}, k AS (SELECT doc, para, text, -ln((CAST(('0x' || substring(md5('4321:' || doc || ':' || para), 1, 8)) AS BIGINT) + 1) / 4294967297.0::DOUBLE) / length(text) AS key FROM p) SELECT doc, arg_min(para, key) AS para, arg_min(text, key) AS text FROM k GROUP BY doc",
+)
+def weighted_paragraph(spark, sf_dir):
+    """One paragraph of each document, the longer the likelier."""
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(T.paragraphs(F.col("text"), "\n")).alias("para", "text"))
+    return E.weighted_paragraph(rows)

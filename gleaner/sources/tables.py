@@ -52,7 +52,9 @@ class VectorTable:
         self._checked(rows).write.mode("overwrite").parquet(self.path)
 
     def append(self, rows: DataFrame) -> None:
-        self._checked(rows).write.mode("append").parquet(self.path)
+        """Add the rows whose (file, start_end) isn't there yet: a run that is repeated adds nothing."""
+        there = self.read().select("file", "start_end").distinct()
+        self._checked(rows).dropDuplicates(["file", "start_end"]).join(there, ["file", "start_end"], "left_anti").select("file", "start_end", "vector").write.mode("append").parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)

@@ -23,6 +23,17 @@ def one(spark, value, expression):
     ("probate", "probat"), ("rate", "rate"), ("cease", "ceas"), ("controll", "control"), ("roll", "roll"), ("at", "at"),
 ])
 def test_stems(word, expected):
+    assert stem(word, extended=False) == expected
+
+
+@pytest.mark.parametrize("word, expected", [
+    ("caresses", "caress"), ("ponies", "poni"), ("ties", "tie"), ("dies", "die"), ("flies", "fli"), ("tied", "tie"), ("died", "die"), ("cried", "cri"),
+    ("dying", "die"), ("lying", "lie"), ("tying", "tie"), ("news", "news"), ("innings", "inning"), ("outing", "outing"), ("cannings", "canning"), ("howe", "howe"),
+    ("proceed", "proceed"), ("exceed", "exceed"), ("succeed", "succeed"), ("agreed", "agre"), ("sky", "sky"), ("skies", "sky"), ("happy", "happi"), ("enjoy", "enjoy"),
+    ("by", "by"), ("spy", "spi"), ("say", "say"), ("aged", "age"), ("using", "use"), ("used", "use"), ("hopping", "hop"), ("falling", "fall"), ("fizzed", "fizz"),
+    ("sensibly", "sensibl"), ("hopefully", "hope"), ("rationally", "ration"), ("geology", "geolog"), ("geological", "geolog"), ("relational", "relat"), ("controlling", "control"),
+])
+def test_extended_stems(word, expected):
     assert stem(word) == expected
 
 
@@ -57,6 +68,23 @@ def test_simple_words(spark):
     assert one(spark, "", T.simple_words) == []
 
 
+@pytest.mark.parametrize("text, expected", [
+    ("i cannot go", ["i", "can", "not", "go"]), ("gonna wannabe", ["gon", "na", "wannabe"]), ("“smart” «quotes» and ‘these’", ["smart", "quotes", "and", "these"]),
+    ("xcannot cannotx lemme", ["xcannot", "cannotx", "lem", "me"]), ("gimme\tgotta", ["gim", "me", "got", "ta"]), (None, []), ("", []),
+])
+def test_words(spark, text, expected):
+    assert one(spark, text, T.tokens) == expected
+    assert T.word_list(text or "") == expected
+
+
+def test_lemmas(spark):
+    rows = spark.createDataFrame([("geese", "goose"), ("mice", "mouse"), ("mice", "mice"), (None, "x"), ("y", None)], "word string, lemma string")
+    lemmas = T.load_lemmas(rows)
+    assert lemmas == {"geese": "goose", "mice": "mice"} and T.full_words_of("geese", lemmas) == ["goo"]
+    with pytest.raises(ValueError):
+        T.load_lemmas(rows, most=1)
+
+
 def test_full_profile(spark):
     assert T.full_words_of("x² squared") == ["two", "squar"]
     assert T.full_words_of("He walked 25 miles, don't stop") == ["walk", "twenti", "mile", "dont", "stop"]  # a hyphenated cardinal is stemmed as one word first: twenty-f

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,49 @@ def test_index(spark, docs):
     assert [r.word for r in I.new_words(lists, new).collect()] == ["eta"]
 
 
+def test_long_lists_have_several_rows(spark):
+    tf = spark.createDataFrame([("w", i) for i in range(10)], "word string, doc long")
+    got = {r.part: r.docs for r in I.postings(tf, span=4).collect()}
+    assert got == {0: [0, 1, 2, 3], 1: [4, 5, 6, 7], 2: [8, 9]}
+    words = spark.createDataFrame([(1, "w")], "qid int, word string")
+    assert I.candidates(words, I.postings(tf, span=4)).count() == 10
+    named = I.postings(tf.select("word", F.concat(F.lit("d"), "doc").alias("doc")))
+    assert sorted(d for r in named.collect() for d in r.docs) == sorted(f"d{i}" for i in range(10)) and named.count() > 1
+
+
+@pytest.fixture(scope="module")
+def stored(spark, docs, tmp_path_factory):
+    return I.build_index(docs, str(tmp_path_factory.mktemp("index")), limit=3)
+
+
+def test_stored_index_gives_the_same(spark, docs, stored):
+    asked = queries(spark, "alpha beta", "alpha", "zzz", "alpha zzz", "delta gamma beta beta")
+    for direct, from_index in ((Q.bm25, Q.bm25_stored), (Q.tfidf, Q.tfidf_stored)):
+        assert sorted(from_index(stored, asked, 50, words=plain).collect()) == sorted(direct(docs, asked, 50, words=plain).collect())
+    assert Q.bm25_stored(stored, queries(spark, "zzz"), 5, words=plain).count() == 0
+    flat = Q.bm25_stored(stored, queries(spark, "delta"), 5, BM25Params(k1=0.0, b=0.0), words=plain).first()
+    assert flat.score == round(math.log(3), 9)
+
+
+def test_stored_index_reads_the_words_only(spark, docs, stored, monkeypatch):
+    asked = spark.createDataFrame([("beta",)], "word string")
+    plan = stored.read(asked)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan or "PartitionFilters: [shard" in plan or "shard#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "word" in plan.split("PushedFilters: [")[1].split("]")[0]
+    few = {tuple(r) for r in stored.read(asked).collect()}
+    monkeypatch.setattr(I.StoredIndex, "MOST_LITERALS", 0)  # words beyond the literals are joined
+    assert {tuple(r) for r in stored.read(asked).collect()} == few == {("beta", 2, 1, 2, 3), ("beta", 2, 3, 1, 4)}
+
+
+def test_the_index_of_other_files_is_another(spark, tmp_path):
+    from gleaner.plans import catalog
+
+    for text, n in (("cat dog", 1), ("cat cat bird", 2)):
+        spark.createDataFrame([(i, text) for i in range(n)], "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        assert catalog.stored_index(spark, str(tmp_path)).stats.first().corpus_size == n
+        assert catalog.stored_index(spark, str(tmp_path)).terms.count() == 2
+
+
 def greedy(df, limit):
     shards, used = [[]], 0
     for word, n in sorted(df.items(), key=lambda x: (-x[1], x[0])):
@@ -131,6 +175,19 @@ def test_chunks(spark):
         ChunkParams(4, 4)
 
 
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
+def test_running_sums(spark, n):
+    lengths = [(7 * i) % 11 for i in range(n)]
+    got = spark.createDataFrame([(lengths,)], "a array<bigint>").select(V.running(F.col("a")).alias("r")).first().r
+    assert got == [sum(lengths[:i]) for i in range(n)]
+
+
+def test_spans_of_many_paragraphs_and_tokens(spark):
+    text = "\n".join(["a " * 3000, *(f"p{i} x" for i in range(2000)), ""])
+    rows = V.chunks(spark.createDataFrame([(1, text)], "doc int, text string"), ChunkParams(64, 8), separator="\n").collect()
+    assert len(rows) > 2000 and all(text[r.para_offset + r.start : r.para_offset + r.end].split() == r.tokens for r in rows)
+
+
 def test_embedding_and_pooling(spark):
     rows = spark.createDataFrame([(1, ["a", "b", ""]), (2, ["a"]), (3, [])], "doc int, tokens array<string>")
     got = {r.doc: r.vector for r in V.embed(rows, V.HashingEncoder(4)).collect()}
@@ -155,6 +212,67 @@ def test_nearest_and_rerank(spark):
     assert len(best) == 2
 
 
+def exact_nearest(vectors, asked, k):
+    out = {}
+    for q, v in asked:
+        unit = lambda x: np.array(x) / max(float(np.linalg.norm(x)), 1e-300)
+        out[q] = sorted((round(1 - float(unit(v) @ unit(x)), 9), i) for i, x in vectors if x is not None)[:k]
+    return out
+
+
+def found(df):
+    out = {}
+    for r in df.orderBy("qid", "rank").collect():
+        out.setdefault(r.qid, []).append((r.distance, r.doc))
+    return out
+
+
+@pytest.mark.parametrize("name", [int, str])
+def test_nearest_in_many_blocks(spark, monkeypatch, name):
+    """Ties across blocks go to the smaller id; blocks of queries and vectors don't show."""
+    monkeypatch.setattr(V, "VECTOR_BLOCK", 7)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(V, "MOST_KEPT", 40)
+    rng = np.random.default_rng(3)
+    vectors = [(name(i), [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(150)] + [(name(900), None), (name(901), [0.0, 0.0, 0.0])]
+    asked = [(i, [float(x) for x in rng.integers(1, 4, 3)]) for i in range(23)]
+    kind = "long" if name is int else "string"
+    got = V.nearest(spark.createDataFrame(vectors, f"doc {kind}, vector array<float>"), spark.createDataFrame(asked, "qid long, vector array<float>"), 6)
+    assert found(got) == exact_nearest(vectors, asked, 6)
+
+
+def test_nearest_in_cells(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(8, 16))
+    vectors = [(i, [float(np.float32(x)) for x in centres[i % 8] + 0.3 * rng.normal(size=16)]) for i in range(600)]
+    asked = [(i, v) for i, v in vectors[:40]]
+    df, queries_ = spark.createDataFrame(vectors, "doc long, vector array<float>"), spark.createDataFrame(asked, "qid long, vector array<float>")
+    V.build_cells(df, str(tmp_path / "cells"), 12)
+    expected = exact_nearest(vectors, asked, 5)
+    assert found(V.nearest_in_cells(spark, str(tmp_path / "cells"), queries_, 5, probes=12)) == expected
+    some = found(V.nearest_in_cells(spark, str(tmp_path / "cells"), queries_, 5, probes=3))
+    assert sum(len(set(some[q]) & set(expected[q])) for q in expected) / 200 >= 0.9
+    plan = V.nearest_in_cells(spark, str(tmp_path / "cells"), queries_.limit(1), 5, probes=1)._jdf.queryExecution().executedPlan().toString()
+    assert "cell#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_questions(spark, docs):
+    cases = spark.createDataFrame([(1, "beta"), (3, "delta delta"), (2, "zzz")], "target long, question string")
+    r = E.questions(cases, lambda asked: Q.bm25(docs, asked, 50, words=plain)).first()
+    assert r.targets == 3 and r.recall_at_5 == pytest.approx(2 / 3)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from gleaner.sources.work import work_folder
+
+    elsewhere = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x:7077", getConf=lambda: SimpleNamespace(get=lambda *a: None)))
+    with pytest.raises(ValueError):
+        work_folder(elsewhere)
+    assert work_folder(spark) == work_folder(spark)
+
+
 def test_evaluation(spark):
     targets = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "qid int, doc int")
     results = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 20, 7)], "qid int, doc int, rank int")

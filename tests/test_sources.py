@@ -67,12 +67,14 @@ def test_vector_table(spark, tmp_path):
     table = B.VectorTable(spark, str(tmp_path / "v"), 2)
     row = spark.createDataFrame([("f", [0, 3], [1.0, 2.0])], "file string, start_end array<int>, vector array<float>")
     table.create(row)
-    table.append(row)
+    table.append(row.union(row))
+    assert table.read().count() == 1
+    table.append(row.withColumn("file", F.lit("g")))
     assert table.read().count() == 2
     table.create(row)
     assert table.read().count() == 1
     with pytest.raises(Exception, match="2 components"):
-        table.append(row.withColumn("vector", F.array(F.lit(1.0))))
+        table.append(row.withColumn("vector", F.array(F.lit(1.0))).withColumn("file", F.lit("h")))
 
 
 def test_print_results(spark, capsys):
