@@ -1,20 +1,26 @@
 """Operator 2: line dedup, by DataFrame and SQL functions alone.
 
 A document is the sequence of its lines that have a word, each hashed after trimming. A run of
-lines is long enough when it has ``min_words`` words or ``MIN_LINES`` lines. For each line, the
-shortest long-enough windows that start and that end there are taken; the least line hash of each
-window is its fingerprint. Windows whose fingerprint stands at one place only are left out; the rest
-are compared whole, by their hash pairs, with the first place of each. A line goes when a
-long-enough run around it stands earlier in the corpus: in a document with a smaller id, or
-earlier in the same document without overlap. The union of matching windows is exactly that set.
-
-Hashes are pairs of 64 bits. Scale: the narrow rows of shared fingerprints are few; counts and
-first positions are aggregated before the shuffle (a hot line is one row per task), and the joins
-that bring them back are salted. A passage's copies are compared with its first place only.
+lines is long enough when it has ``min_words`` words or ``MIN_LINES`` lines. Winnowing: of each
+shortest long-enough window, the leftmost least line hash is selected; the selected positions of
+a document, each with the windows that selected it, are its fingerprints. Any run that two places
+share holds a shortest window, so both places have selected its least line: no run is missed.
+Fingerprints that stand at one position only are left out. From the joined positions the match is
+extended to the left and to the right, line by line as far as the windows of that position reach,
+and compared with the first place of each extension. A line goes when a long-enough run around it
+stands earlier in the corpus: in a document with a smaller id, or earlier in the same document
+without overlap. The union of matching windows is exactly that set of lines.
+
+Hashes are pairs of 64 bits. Scale: a document gives a row for each selected position; positions
+are counted and first places found by aggregates before the shuffle (a hot line is one row per
+task), and the joins that bring them back are broadcast behind a check of their size, else salted.
+A passage's copies are compared with its first place only, whatever their number.
 
 Cases. Null ids come first. Null and empty texts stay as they are. Rows with the same id and text
-are one document: they are no repeat of each other and get the same result. Lines without a word
-stay where they are. Extra columns, also clashing ones, are kept; own columns start with ``_ln``.
+are one document: they are no repeat of each other and get the same result; rows with one id and
+other texts are ordered by a hash of the text. Lines without a word stay where they are. Texts and
+lines of any length are taken whole, in time that grows with their length. An empty table gives an
+empty result. Extra columns, also clashing ones, are kept; own columns start with ``_ln``.
 """
 
 from __future__ import annotations
@@ -23,81 +29,93 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import documents, materialize, release
+from gleaner.llm.graph import salted_join
 
 MIN_LINES = 3
 MIN_WORDS = 50
-SALTS = 16
+#: Deletions that may be broadcast to the texts: documents, and lines in all of them.
+MOST_DOCUMENTS = 100_000
+MOST_LINES = 1_000_000
 
 
 def _lines(text: Column) -> Column:
-    """Structs of place, two hashes and words for the lines that have a word."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda line, i: F.struct(i.alias("i"), F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("s")))
-    full = F.filter(parts, lambda p: p["s"] != "")
-    return F.transform(full, lambda p: F.struct(p["i"].alias("i"), F.xxhash64(p["s"]).alias("a"), F.xxhash64(F.lit(1), p["s"]).alias("b"), F.size(F.split(p["s"], r"[\x20\x09-\x0D]+")).alias("w")))
+    """Structs of two hashes and words for the lines that have a word."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda line: F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    full = F.filter(parts, lambda p: p != "")
+    return F.transform(full, lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(F.lit(1), p).alias("b"), F.size(F.split(p, r"[\x20\x09-\x0D]+")).alias("w")))
 
 
-def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (_ln_id, _ln_t: the document; s: place of the first line among those with a word; n:
-    number of lines; fp: fingerprint; a, b: the window's hashes; lines: their places in the text)."""
-    rows = docs.select(F.col(id_col).alias("_ln_id"), F.xxhash64(text_col).alias("_ln_t"), _lines(F.col(text_col)).alias("L")).filter(F.size("L") > 0)
-    rows = rows.withColumn("m", F.size("L"))
-    # with at most MIN_LINES = 3 lines to a window, both kinds are spelled out
-    starts = (
-        "transform(sequence(0, m - 1), i -> struct(i AS s, CASE WHEN L[i].w >= {w} THEN 1 WHEN i + 1 < m AND L[i].w + L[i + 1].w >= {w} THEN 2 WHEN i + 2 < m THEN 3 ELSE 0 END AS n))"
-    ).format(w=min_words)
-    ends = (
-        "transform(sequence(0, m - 1), i -> struct(i - CASE WHEN L[i].w >= {w} THEN 0 WHEN i >= 1 AND L[i].w + L[i - 1].w >= {w} THEN 1 ELSE 2 END AS s,"
-        " CASE WHEN L[i].w >= {w} THEN 1 WHEN i >= 1 AND L[i].w + L[i - 1].w >= {w} THEN 2 WHEN i >= 2 THEN 3 ELSE 0 END AS n))"
-    ).format(w=min_words)
-    rows = rows.withColumn("W", F.expr(f"array_distinct(filter(concat({starts}, {ends}), x -> x.n > 0))"))
-    each = rows.select("_ln_id", "_ln_t", F.explode(F.expr("transform(W, x -> struct(x.s AS s, x.n AS n, slice(L, x.s + 1, x.n) AS l))")).alias("x"))
-    return each.select(
-        "_ln_id", "_ln_t", "x.s", "x.n", F.array_min("x.l.a").alias("fp"), F.xxhash64("x.l.a").alias("a"), F.xxhash64(F.lit(2), F.col("x.l.b")).alias("b"), F.col("x.l.i").alias("lines")
+def _least(start: str, n: str) -> str:
+    """Place of the leftmost least hash of A in a window of up to three lines."""
+    return (
+        f"CASE {n} WHEN 1 THEN {start} WHEN 2 THEN IF(A[{start}] <= A[{start} + 1], {start}, {start} + 1) WHEN 3 THEN"
+        f" CASE WHEN A[{start}] <= A[{start} + 1] AND A[{start}] <= A[{start} + 2] THEN {start} WHEN A[{start} + 1] <= A[{start} + 2] THEN {start} + 1 ELSE {start} + 2 END END"
     )
 
 
-def _salted(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join rows to one row per key; a hot key spreads over SALTS tasks."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64("_ln_id", "_ln_t", "s"), F.lit(SALTS)).cast("int"))
-    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows (_ln_id, _ln_t: the document; p: a selected position among its lines with a word; fp:
+    the line's hash; W: the shortest windows that selected it, as s: place of the first line, n:
+    number of lines, a, b: hashes)."""
+    rows = docs.select(F.col(id_col).alias("_ln_id"), F.xxhash64(text_col).alias("_ln_t"), _lines(F.col(text_col)).alias("L")).filter(F.size("L") > 0)
+    rows = rows.select("_ln_id", "_ln_t", F.size("L").alias("m"), F.col("L.a").alias("A"), F.col("L.b").alias("B"), F.col("L.w").alias("w"))
+    # with at most MIN_LINES = 3 lines to a window, the shortest one from a line on and up to it are spelled out
+    ahead = f"CASE WHEN w[i] >= {min_words} THEN 1 WHEN i + 1 < m AND w[i] + w[i + 1] >= {min_words} THEN 2 WHEN i + 2 < m THEN 3 ELSE 0 END"
+    back = f"CASE WHEN w[i] >= {min_words} THEN 1 WHEN i >= 1 AND w[i] + w[i - 1] >= {min_words} THEN 2 WHEN i >= 2 THEN 3 ELSE 0 END"
+    rows = rows.withColumn("N", F.expr(f"transform(sequence(0, m - 1), i -> struct({ahead} AS f, {back} AS g))"))
+    rows = rows.withColumn("V", F.expr(f"transform(N, (x, i) -> struct({_least('i', 'x.f')} AS f, {_least('(i - x.g + 1)', 'x.g')} AS g))"))
+    # the windows that begin up to two lines before a position and those that end up to two lines after it
+    begin = ", ".join(f"IF(get(V, p - {d}).f = p, struct(p - {d} AS s, N[p - {d}].f AS n), null)" for d in (0, 1, 2))
+    end = ", ".join(f"IF(get(V, p + {d}).g = p, struct(p + {d} - N[p + {d}].g + 1 AS s, N[p + {d}].g AS n), null)" for d in (0, 1, 2))
+    window = "struct(x.s AS s, x.n AS n, xxhash64(slice(A, x.s + 1, x.n)) AS a, xxhash64(2, slice(B, x.s + 1, x.n)) AS b)"
+    chosen = f"filter(transform(A, (fp, p) -> struct(p AS p, fp AS fp, array_distinct(filter(array({begin}, {end}), x -> x IS NOT NULL)) AS W)), x -> size(x.W) > 0)"
+    each = rows.select("_ln_id", "_ln_t", "A", "B", F.explode(F.expr(chosen)).alias("c"))
+    return each.select("_ln_id", "_ln_t", "c.p", "c.fp", F.expr(f"transform(c.W, x -> {window})").alias("W"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(_ln_id, _ln_t, _ln_gone): for each document that repeats something, the sorted places of the lines to delete."""
-    every = materialize(windows(docs, id_col, text_col, min_words), "lines")
-    place = F.struct("_ln_id", "_ln_t", "s")
-    # join positions: fingerprints that stand at two places or more
-    shared = every.groupBy("fp").agg(F.min(place).alias("p"), F.max(place).alias("q")).filter(~F.col("p").eqNullSafe(F.col("q"))).select("fp")
-    near = _salted(every, shared, ["fp"], "left_semi")
-    # extend both ways: windows around a shared fingerprint, and the first place of each
+    """(_ln_id, _ln_t, _ln_gone): for each document that repeats something, the sorted places, among its lines with a word, of the lines to delete."""
+    every = materialize(fingerprints(docs, id_col, text_col, min_words), "lines")
+    # join positions: fingerprints that stand at two positions or more
+    spot = F.xxhash64("_ln_id", "_ln_t", "p")
+    shared = materialize(every.groupBy("fp").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).filter("x <> y").select("fp"), "lines-shared")
+    near = salted_join(every, shared, ["fp"], ["_ln_id", "_ln_t", "p"], "left_semi")
+    # extend both ways from a shared position, and find the first place of each extension
+    near = materialize(near.select("_ln_id", "_ln_t", "fp", F.inline("W")), "lines-near")
     key = ["fp", "n", "a", "b"]
-    near = materialize(near, "lines-near")
-    first = near.groupBy(*key).agg(F.min(place).alias("p"), F.max(place).alias("q")).filter(~F.col("p").eqNullSafe(F.col("q"))).drop("q")
-    later = _salted(near, first, key, "inner").filter(
-        ~(F.col("_ln_id").eqNullSafe(F.col("p._ln_id")) & F.col("_ln_t").eqNullSafe(F.col("p._ln_t"))) | (F.col("s") >= F.col("p.s") + F.col("n"))
+    place = F.struct("_ln_id", "_ln_t", "s")
+    first = near.groupBy(*key).agg(F.min(place).alias("at"), F.max(place).alias("last")).filter(~F.col("at").eqNullSafe(F.col("last"))).drop("last")
+    first = materialize(first, "lines-first")
+    later = salted_join(near, first, key, ["_ln_id", "_ln_t", "s"]).filter(
+        ~(F.col("_ln_id").eqNullSafe(F.col("at._ln_id")) & F.col("_ln_t").eqNullSafe(F.col("at._ln_t"))) | (F.col("s") >= F.col("at.s") + F.col("n"))
     )
-    gone = later.select("_ln_id", "_ln_t", F.explode("lines").alias("i")).groupBy("_ln_id", "_ln_t").agg(F.sort_array(F.collect_set("i")).alias("_ln_gone"))
+    gone = later.select("_ln_id", "_ln_t", F.explode(F.expr("sequence(s, s + n - 1)")).alias("i")).groupBy("_ln_id", "_ln_t").agg(F.sort_array(F.collect_set("i")).alias("_ln_gone"))
     gone = materialize(gone, "lines-gone")
-    release(every)
-    release(near)
+    for done in (every, shared, near, first):
+        release(done)
     return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the text without its later repeated runs, and ``_ln_gone``: the places of the deleted lines, null if none."""
-    gone = repeats(docs, id_col, text_col, min_words).withColumnsRenamed({"_ln_id": "_ln_id2", "_ln_t": "_ln_t2"})
+    """``docs`` with the text without its later repeated runs, and ``_ln_gone``: the places of the deleted lines in the text, null if none."""
+    gone = repeats(docs, id_col, text_col, min_words).withColumnsRenamed({"_ln_id": "_ln_id2", "_ln_t": "_ln_t2", "_ln_gone": "_ln_spots"})
+    n_docs, n_lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_ln_spots")), F.lit(0))).first()
+    gone = F.broadcast(gone) if n_docs <= MOST_DOCUMENTS and n_lines <= MOST_LINES else gone.hint("shuffle_hash")
     rows = docs.withColumn("_ln_t", F.xxhash64(text_col))
-    joined = rows.join(gone.hint("shuffle_hash"), rows[id_col].eqNullSafe(gone["_ln_id2"]) & (rows["_ln_t"] == gone["_ln_t2"]), "left")
-    places = F.map_from_arrays(F.col("_ln_gone"), F.transform("_ln_gone", lambda x: F.lit(True)))
-    kept = F.array_join(F.transform(F.filter(F.transform(F.split(text_col, "\n", -1), lambda line, i: F.struct(line.alias("s"), i.alias("i"))), lambda p: ~F.map_contains_key(F.col("_ln_map"), p["i"])), lambda p: p["s"]), "\n")
-    out = joined.withColumn("_ln_map", places).withColumn(text_col, F.when(F.col("_ln_gone").isNull(), F.col(text_col)).otherwise(kept))
+    joined = rows.join(gone, rows[id_col].eqNullSafe(gone["_ln_id2"]) & (rows["_ln_t"] == gone["_ln_t2"]), "left")
+    lines = F.split(text_col, "\n", -1)
+    full = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    joined = joined.withColumn("_ln_full", F.when(F.col("_ln_spots").isNotNull(), full))
+    joined = joined.withColumn("_ln_gone", F.expr("transform(_ln_spots, x -> _ln_full[x])"))
+    joined = joined.withColumn("_ln_map", F.map_from_arrays(F.col("_ln_gone"), F.transform("_ln_gone", lambda x: F.lit(True))))
+    numbered = F.transform(lines, lambda line, i: F.struct(line.alias("s"), i.alias("i")))
+    kept = F.array_join(F.transform(F.filter(numbered, lambda p: ~F.map_contains_key(F.col("_ln_map"), p["i"])), lambda p: p["s"]), "\n")
+    out = joined.withColumn(text_col, F.when(F.col("_ln_gone").isNull(), F.col(text_col)).otherwise(kept))
     return out.select(*docs.columns, "_ln_gone")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    n_lines = F.size(F.split("text", "\n", -1)).cast("bigint")
     out = dedup_lines(docs)
     n_gone = F.coalesce(F.size("_ln_gone"), F.lit(0)).cast("bigint")
     return out.select("doc_id", n_gone.alias("n_deleted"), "text")

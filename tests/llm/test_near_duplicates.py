@@ -93,6 +93,34 @@ def test_trie_matches():
             assert sorted(found.tolist()) == expected
 
 
+def test_subtrees_are_left_where_the_bound_cannot_be_reached():
+    """Sets in families that differ early: a query counts tokens in its own family's subtree, and at most once in the others."""
+    rng = np.random.default_rng(2)
+    bases = [np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64) * np.uint64(2)) for _ in range(30)]
+    sets = [np.unique(np.concatenate([rng.permutation(b)[3:], rng.integers(0, 1 << 63, 3, dtype=np.uint64)])) for b in bases for _ in range(10)]
+    trie = njaccard.PrefixTrie(sets)
+    every = sum(len(start) - 1 for _, start, *_ in trie.nodes)
+    for s in sets:
+        trie.visited = 0
+        found = trie.matches(s, 80)
+        assert len(found) == 10 and trie.visited < every / 4
+    trie.visited = 0
+    assert not len(trie.matches(sets[0][:20], 80)) and trie.visited == 0
+
+
+def test_long_lists_tie_a_set_once(spark):
+    """All sets of a group of near copies, whatever its size, are tied in one row each."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        words[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    expected = [(key, *got) for (key, _), got in zip(rows, brute.jaccard_classes(rows, 5, 80))]
+    assert classes(frame(spark, rows), k=5, percent=80) == sorted(expected, key=repr)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(500 + i, 501 + i) for i in range(40)] + [(900, 900 + i) for i in range(1, 60)]
@@ -134,4 +162,34 @@ def test_a_long_passage_goes_and_clean_text_stays(spark):
     rows = [(1, f"one two\n{passage}\nthree"), (2, f"four five\n{passage}\nsix seven"), (3, "one two\nfour")]
     got = {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, rows)).collect()}
     assert got == {1: rows[0][1], 2: "four five\nsix seven", 3: "one two\nfour"}
-    assert lines.windows(frame(spark, rows)).filter(F.col("n") > lines.MIN_LINES).count() == 0
+
+
+def windows_of(hashes, words, least):
+    """Shortest long-enough windows (start, length), by trying all."""
+    m, out = len(hashes), set()
+    long_enough = lambda a, b: b - a >= lines.MIN_LINES or sum(words[a:b]) >= least
+    for a in range(m):
+        out |= {(a, b - a) for b in range(a + 1, m + 1) if long_enough(a, b)} and {min(((a, b - a) for b in range(a + 1, m + 1) if long_enough(a, b)), key=lambda x: x[1])}
+        out |= {min(((c, a + 1 - c) for c in range(a + 1) if long_enough(c, a + 1)), key=lambda x: x[1])} if any(long_enough(c, a + 1) for c in range(a + 1)) else set()
+    return out
+
+
+def test_fingerprints_are_the_minima_of_the_windows(spark):
+    rows = passages(9) + [(900, "\n".join("ab"[i % 2] for i in range(12))), (901, "one line")]
+    df = frame(spark, rows)
+    hashed = {r.doc_id: ([x.a for x in r.L], [x.w for x in r.L]) for r in df.select("doc_id", lines._lines(F.col("text")).alias("L")).collect()}
+    expected = {}
+    for key, (hashes, words) in hashed.items():
+        for s, n in windows_of(hashes, words, 50):
+            p = min(range(s, s + n), key=lambda i: (hashes[i], i))
+            expected.setdefault((key, p, hashes[p]), set()).add((s, n))
+    got = {(r._ln_id, r.p, r.fp): {(x.s, x.n) for x in r.W} for r in lines.fingerprints(df).collect()}
+    assert got == expected and len(got) > 50
+
+
+def test_a_run_that_comes_after_a_lone_copy_of_its_least_line_is_found(spark):
+    """The first place of each fingerprint need not hold the run: extensions have first places of their own."""
+    run = ["alpha one", "beta two", "gamma three"]
+    rows = [(i, line) for i, line in enumerate(run)] + [(10, "\n".join(run)), (11, "x\n" + "\n".join(run) + "\ny")]
+    got = {r.doc_id: (r.text, r._ln_gone) for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert got[10] == ("\n".join(run), None) and got[11] == ("x\ny", [1, 2, 3])
