@@ -6,17 +6,20 @@ the projected difference to a neighbour as normal with the neighbours' usual dis
 chances sum to ``reach``; candidates of all tables are ranked by exact cosine in double precision
 on the original vectors.
 
-Every row is indexed. Only the usual distance is fitted on a sample: at most ``MOST_SAMPLE`` rows.
-Tables of up to ``SMALL`` vectors have a single cell, which is an exact search.
+Every row is indexed, by the same method at every size. Only the usual distance is fitted on a
+sample: at most ``MOST_SAMPLE`` rows. A query that finds fewer neighbours than asked for searches on,
+all but everywhere.
 
-Scale. Equal vectors are one entry with its smallest ids (more can't be among the nearest). Cells
-are cut into blocks of bounded size, hot cells into many; a task compares one block of vectors
-with one block of queries. The number of projections grows with the logarithm of the rows.
+Scale. Equal vectors are one entry with its smallest ids (more can't be among the nearest). Queries
+of one home cell go together, in parts of bounded size; a cell's vectors go to those parts only of
+which a query visits the cell. Cells are cut into blocks of bounded size, hot cells into many; a
+task compares one block of vectors with one part of the queries. The number of projections grows
+with the logarithm of the rows.
 
 Cases. Vectors that are null, empty, zero or hold null or non-finite components, and null ids, take
 no part. Vectors of other lengths are compared among themselves. A query's own id is no candidate,
 also where it is repeated; other rows with one id count as one if they are equal. Ties go to the
-smaller id. Extra columns are ignored. An empty table gives an empty result.
+smaller id. Extra columns, also clashing ones, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,24 +30,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Rows, materialize, release, table, tidy
+from gleaner.llm.common import FLUSH_BYTES, materialize, release, table, tidy
 from gleaner.llm.graph import salted_join
 
 TABLES = 3
-REACH = 0.6
+REACH = 0.7
 WIDTH = 2.0
-SMALL = 2000
 CELL_ROWS = 250
 MOST_SAMPLE = 2000
 BLOCK_VECTORS = 1024
 BLOCK_QUERIES = 1024
 SEED = 41
 
-_SHAPE = "t int, cell bigint, id bigint, ids array<bigint>, vec array<double>"
-_SCHEMA = pa.schema([("t", pa.int32()), ("cell", pa.int64()), ("id", pa.int64()), ("ids", pa.list_(pa.int64())), ("vec", pa.list_(pa.float64()))])
+_SHAPE = "t int, cell bigint, home bigint, id bigint, ids array<bigint>, vec array<double>"
+_SCHEMA = pa.schema([("t", pa.int32()), ("cell", pa.int64()), ("home", pa.int64()), ("id", pa.int64()), ("ids", pa.list_(pa.int64())), ("vec", pa.list_(pa.float64()))])
 
 
 def usable(vec: Column) -> Column:
@@ -104,26 +107,40 @@ class Hasher:
 
 
 def _hashed(rows: DataFrame, options: tuple, reach: float | None) -> DataFrame:
-    """Rows (id, ids, vec) with each of their cells; with ``reach``, the cells to visit."""
+    """Rows (id, ids, vec) with their home cell in each table; with ``reach``, a row for each cell to visit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers: dict[int, Hasher] = {}
-        out = Rows(_SCHEMA)
         for batch in batches:
-            for key, ids, vec in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                dims = len(vec)
-                if dims not in hashers:
-                    hashers[dims] = Hasher(dims, *options)
-                h = hashers[dims]
-                v = np.array(vec)
-                place = h.places((v / np.linalg.norm(v / np.abs(v).max()) / np.abs(v).max())[None])[0]
-                for t in range(h.tables):
-                    cells = np.floor(place[t])[None].astype(np.int64) if reach is None else h.visit(place[t], reach)
-                    for name in h.names(np.concatenate([np.full((len(cells), 1), dims), cells], axis=1)).tolist():
-                        out.add((t, name, key, ids, vec), 40 + 8 * dims)
-                if out.full():
-                    yield from out.take()
-        yield from out.take()
+            lists = batch.column(2)
+            sizes, flat = pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            for dims in np.unique(sizes).tolist():
+                h = hashers.setdefault(dims, Hasher(dims, *options))
+                step = max(1, FLUSH_BYTES // (h.tables * (48 + 8 * dims)))
+                mine = np.nonzero(sizes == dims)[0]
+                for at in range(0, len(mine), step):
+                    yield from spread(h, batch, mine[at : at + step], flat[starts[mine[at : at + step], None] + np.arange(dims)])
+
+    def spread(h: Hasher, batch: pa.RecordBatch, mine: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        place = h.places(x / np.linalg.norm(x, axis=1, keepdims=True))
+        own = np.concatenate([np.full((*place.shape[:2], 1), x.shape[1]), np.floor(place)], axis=2)
+        home = h.names(own)
+        if reach is None:
+            who, table, cell = np.repeat(np.arange(len(x)), h.tables), np.tile(np.arange(h.tables), len(x)), home.ravel()
+        else:
+            seen = [h.visit(place[i, t], reach) for i in range(len(x)) for t in range(h.tables)]
+            which = np.repeat(np.arange(len(seen)), [len(c) for c in seen])
+            who, table = which // h.tables, which % h.tables
+            cells = np.concatenate(seen)
+            cell = h.names(np.concatenate([np.full((len(cells), 1), x.shape[1]), cells], axis=1))
+        step = max(1, FLUSH_BYTES // (48 + 8 * x.shape[1]))
+        for at in range(0, len(who), step):
+            w, t = who[at : at + step], table[at : at + step]
+            some = batch.take(pa.array(mine[w]))
+            arrays = [pa.array(t.astype(np.int32)), pa.array(cell[at : at + step]), pa.array(home[w, t]), some.column(0), some.column(1), some.column(2)]
+            yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, _SCHEMA)], schema=_SCHEMA)
 
     return rows.select("id", "ids", "vec").mapInArrow(tidy(run), _SHAPE)
 
@@ -183,38 +200,37 @@ def search(vectors: DataFrame, queries: Column, most: int = 5, tables: int = TAB
     entries = materialize(ranked.groupBy("vec").agg(F.sort_array(F.collect_set("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "ids", "vec"), "ann-entries")
     asked = materialize(rows.filter("ask").dropDuplicates(["id", "vec"]).select("id", F.lit(None).cast("array<bigint>").alias("ids"), "vec"), "ann-queries")
     n, n_asked = entries.count(), asked.count()
-    if n <= SMALL:
-        tables, projections, spread = 1, 0, 1.0
-    else:
-        projections, spread = max(1, round(math.log(n / CELL_ROWS, 4))), _spread(entries, most)
-    options = (tables, projections, WIDTH, spread)
-    index = materialize(_hashed(entries, options, None), "ann-index")
-    sizes = index.groupBy("t", "cell").agg(F.expr(f"cast(ceil(count(*) / {BLOCK_VECTORS}) as int)").alias("blocks"))
-    sizes = materialize(sizes, "ann-sizes")
-    query_blocks = max(1, -(-n_asked // BLOCK_QUERIES))
-    dealt = salted_join(index, sizes, ["t", "cell"], ["id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    options = (tables, max(1, round(math.log(max(n, 1) / CELL_ROWS, 4)) if n else 1), WIDTH, _spread(entries, most))
+    index = materialize(_hashed(entries, options, None).drop("home"), "ann-index")
+    sizes = materialize(index.groupBy("t", "cell").agg(F.expr(f"cast(ceil(count(*) / {BLOCK_VECTORS}) as int)").alias("blocks")), "ann-sizes")
+    query_parts = max(1, -(-n_asked // BLOCK_QUERIES))
     columns = ["t", "cell", "block", "part", "id", "ids", "vec"]
 
     def found(some: DataFrame, how_far: float) -> DataFrame:
-        probes = salted_join(_hashed(some, options, how_far), sizes, ["t", "cell"], ["id"])
-        probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int"))
-        both = dealt.select(*columns).unionByName(probes.select(*columns))
+        probes = materialize(_hashed(some, options, how_far), "ann-probes")
+        # queries of one home go together; a home of many is split
+        homes = materialize(probes.groupBy("t", "home").agg(F.expr(f"cast(ceil(approx_count_distinct(id) / {BLOCK_QUERIES}) as int)").alias("split")), "ann-homes")
+        part = F.struct(F.pmod(F.xxhash64("t", "home"), F.lit(query_parts)).alias("group"), F.pmod(F.xxhash64("id"), F.col("split")).alias("split"))
+        probes = salted_join(probes, homes, ["t", "home"], ["id", "cell"]).withColumn("part", part)
+        # the parts that visit a cell: no more than there are parts of queries
+        asking = materialize(probes.groupBy("t", "cell").agg(F.collect_set("part").alias("parts")).join(sizes, ["t", "cell"]), "ann-asking")
+        probes = salted_join(probes, sizes, ["t", "cell"], ["id"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = salted_join(index, asking, ["t", "cell"], ["id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        both = dealt.withColumn("part", F.explode("parts")).select(*columns).unionByName(probes.select(*columns))
         each = both.groupBy("t", "cell", "block", "part").applyInArrow(_compare(most), "query_id bigint, vec_id bigint, score double")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return each.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
 
     first = materialize(found(asked, reach), "ann-found")
-    if projections:
-        # queries in sparse surroundings: search on, all but everywhere
-        full = first.groupBy("query_id").count().filter(F.col("count") >= most)
-        sparse = asked.join(full.select(F.col("query_id").alias("id")), "id", "left_anti")
-        sparse = materialize(sparse, "ann-sparse")
-        if not sparse.isEmpty():
-            more = materialize(found(sparse, 1 - 1e-9), "ann-more")
-            first = first.join(sparse.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)
-    release(index)
+    # queries in sparse surroundings: search on, all but everywhere
+    full = first.groupBy("query_id").count().filter(F.col("count") >= most)
+    sparse = materialize(asked.join(full.select(F.col("query_id").alias("id")), "id", "left_anti"), "ann-sparse")
+    if not sparse.isEmpty():
+        more = materialize(found(sparse, 1 - 1e-9), "ann-more")
+        first = first.join(sparse.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)
+    for done in (entries, asked, index, sizes):
+        release(done)
     return first.select("query_id", "rank", "vec_id", "score")
 
 
