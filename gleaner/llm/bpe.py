@@ -2,12 +2,14 @@
 
 Two tiers. A minimal perfect hash (hash, displace, compare) resolves every pre-token that is a
 vocabulary entry as it stands; a pre-token that it misses is merged with a heap of ranked pairs
-over doubly linked bytes. The vocabulary (bounded: one rank file) is read on the driver and sent
-to the workers; no tokenizer is trained.
+over doubly linked bytes. The vocabulary (bounded: one rank file) is read on the driver, where the
+hash is built, and both are sent to the workers; no tokenizer is trained. Pieces met lately are kept,
+so that both tiers are asked once for them.
 
 Cases. Null text counts as empty: no ids, empty bytes. Repeated rows and null ids give a row each.
-Texts of any length are encoded whole, a bounded number of pre-tokens at a time. Extra columns
-are ignored. An empty table gives an empty result.
+Texts of any length are encoded whole, a bounded number of pre-tokens at a time. Ties: of pairs of
+equal rank the leftmost is joined first. Extra columns, also clashing ones, are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,9 +48,13 @@ class MinimalPerfectHash:
     """n keys in n slots: keys are hashed to buckets, and each bucket, largest first, gets the
     first displacement that puts all its keys on free slots. A bucket of one key names its slot."""
 
-    def __init__(self, keys: Iterable[bytes]):
+    def __init__(self, keys: Iterable[bytes], shift: list[int] | None = None):
+        """With ``shift``, the displacements, ``keys`` are in the order of their slots already."""
         keys = list(keys)
         self.size, self.n_buckets = len(keys), len(keys) // 3 + 1
+        if shift is not None:
+            self.shift, self.keys = shift, keys
+            return
         buckets: list[list[tuple[int, bytes]]] = [[] for _ in range(self.n_buckets)]
         for key in keys:
             high, low = divmod(xxhash.xxh3_128_intdigest(key), 1 << 64)
@@ -85,14 +91,19 @@ class MinimalPerfectHash:
 
 
 class ByteBPE:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, shift: list[int] | None = None):
+        """``shift``: the displacements of the hash, if ``ranks`` are in the order of its slots already."""
         self.ranks, self.pattern = ranks, pattern
-        self.whole = MinimalPerfectHash(ranks)
+        self.whole = MinimalPerfectHash(ranks, shift)
         self.slot_rank = [ranks[k] for k in self.whole.keys]
         self.vocabulary = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.vocabulary[rank] = token
 
+    def tables(self) -> dict:
+        """What makes this object again without building the hash."""
+        return {"ranks": {k: self.ranks[k] for k in self.whole.keys}, "pattern": self.pattern, "shift": self.whole.shift}
+
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece that is no vocabulary entry: the pair of lowest rank, leftmost first, is
         joined until none is left. Stale heap entries are known by the end that they noted."""
@@ -142,13 +153,20 @@ class _Memo(dict):
 
 
 class Codec:
-    """Encodes and decodes whole texts with bounded extra memory; one for each worker."""
+    """Encodes and decodes whole texts with bounded extra memory."""
 
     BLOCK = 1 << 20
 
     def __init__(self, bpe: ByteBPE):
         self.bpe, self.compiled, self.memo = bpe, regex.compile(bpe.pattern), _Memo(bpe)
 
+    @staticmethod
+    def of(tables: dict) -> Codec:
+        """The codec of a worker process: broadcast tables stay there from task to task, and with them the codec and the pieces that it met."""
+        if "codec" not in tables:
+            tables["codec"] = Codec(ByteBPE(**tables))
+        return tables["codec"]
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -180,12 +198,12 @@ def encode_documents(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text
     integers, packed) and, if asked for, ``decoded``: the bytes that these ids stand for."""
     bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
-    ranks, pattern = docs.sparkSession.sparkContext.broadcast(bpe.ranks), bpe.pattern
+    shared = docs.sparkSession.sparkContext.broadcast(bpe.tables())  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or Codec(ByteBPE(ranks.value, pattern))
+            codec = codec or Codec.of(shared.value)
             schema = pa.schema([(id_col, batch.schema.field(0).type), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())][: 4 if decode else 3])
             rows, keys, texts = Rows(schema), batch.column(0).to_pylist(), batch.column(1)
             for key, text in zip(keys, texts):
@@ -204,12 +222,12 @@ def decode_documents(encoded: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", i
     """The bytes that packed ids stand for, one row per input row; null ids decode to no bytes."""
     bounded_batches(encoded.sparkSession)
     id_type = encoded.schema[id_col].dataType
-    ranks, pattern = encoded.sparkSession.sparkContext.broadcast(bpe.ranks), bpe.pattern
+    shared = encoded.sparkSession.sparkContext.broadcast(bpe.tables())  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or Codec(ByteBPE(ranks.value, pattern))
+            codec = codec or Codec.of(shared.value)
             rows = Rows(pa.schema([(id_col, batch.schema.field(0).type), ("decoded", pa.binary())]))
             for key, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = codec.decode(ids.as_py() or b"")
