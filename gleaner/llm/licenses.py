@@ -3,16 +3,20 @@
 Known phrases are counted where their words stand consecutively. Beyond them, short notices are
 searched with up to a few edits: a notice allowing e edits is split into e + 1 pieces, of which
 one must stand exactly (pigeonhole); an automaton finds the pieces, and around each the ``regex``
-library matches the whole notice with bounded errors and reports its span.
+library matches the whole notice with bounded errors and reports its span. A place where more of the
+notice's letters are missing than edits are allowed is passed over without that search.
 
 Cases. Null and empty texts have no words: counts 0, no labels, null first and last word, score 0.
-Null ids and repeated rows get a row each. Texts of any length are searched whole. Extra columns
-are ignored.
+Null ids and repeated rows get a row each. Texts of any length are searched whole, in time that
+grows with their length and the places of pieces. Ties: of overlapping matches of one notice the
+one in the first place found counts; of different notices those with the fewest edits, all of them
+if equal. Extra columns, also clashing ones, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import bisect
+import collections
 import itertools
 from collections.abc import Iterator
 
@@ -55,7 +59,7 @@ class LicenseScanner:
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, (notice, label) in enumerate(notices):
             errors = max(0, min(MOST_ERRORS, len(notice) // PIECE - 1))
-            self.notices.append((regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={errors}}}"), label, len(notice), errors))
+            self.notices.append((regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={errors}}}"), label, len(notice), errors, collections.Counter(notice)))
             cuts = [len(notice) * i // (errors + 1) for i in range(errors + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 seeds.setdefault(notice[a:b], []).append((k, a))
@@ -66,20 +70,25 @@ class LicenseScanner:
     def spans(self, flat: str) -> list[tuple[str, int, int, int, str]]:
         """(label, first word, word after the last, edits, matched text), in order of label and
         place, of words joined by single spaces with a space at both ends. Overlapping matches of one notice count once."""
-        windows: dict[int, list[tuple[int, int]]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
         for end, (size, places) in self.seeds.iter(flat):
             for k, offset in places:
-                _, _, length, errors = self.notices[k]
+                _, _, length, errors, _ = self.notices[k]
                 start = end - size + 1 - offset
-                windows.setdefault(k, []).append((max(0, start - errors), start + length + errors))
+                windows.setdefault(k, set()).add((max(0, start - errors), start + length + errors))
         out = []
+        spaces = [i for i, c in enumerate(flat) if c == " "] if windows else []
         for k, found in windows.items():
-            pattern, label, _, _ = self.notices[k]
+            pattern, label, _, errors, letters = self.notices[k]
             done = 0
             for a, b in sorted(found):
-                if (m := pattern.search(flat, max(a, done), b)) and b > done:
+                # all but ``errors`` letters of the notice are in a match
+                if b <= done or sum(n - have for c, n in letters.items() if (have := flat.count(c, a, b)) < n) > errors:
+                    continue
+                if m := pattern.search(flat, max(a, done), b):
                     done = m.end()
-                    out.append((label, flat.count(" ", 0, m.start() + (flat[m.start()] == " ")) - 1, flat.count(" ", 0, m.end() - flat.endswith(" ", m.start(), m.end())), sum(m.fuzzy_counts), m[0]))
+                    first = bisect.bisect_left(spaces, m.start() + (flat[m.start()] == " ")) - 1
+                    out.append((label, first, bisect.bisect_left(spaces, m.end() - flat.endswith(" ", m.start(), m.end())), sum(m.fuzzy_counts), m[0]))
         # where notices differ by a word or two, the one with the fewest edits has the place
         kept: list[tuple[str, int, int, int, str]] = []
         for _, level in itertools.groupby(sorted(out, key=lambda s: s[3]), key=lambda s: s[3]):
@@ -97,9 +106,10 @@ class LicenseScanner:
         flat = b" " + b" ".join(words) + b" "
         starts, base = [], set()
         for phrase, label in self.phrases:
-            at = flat.find(phrase)
+            at, before, word = flat.find(phrase), 0, 0
             while at >= 0:
-                starts.append(flat.count(b" ", 0, at))
+                word, before = word + flat.count(b" ", before, at), at
+                starts.append(word)
                 base.add(label)
                 at = flat.find(phrase, at + 1)
         spans = self.spans(flat.decode("utf-8", "replace")) if words else []
