@@ -1,7 +1,7 @@
 """Operator 1: secret scans, by DataFrame and SQL functions alone.
 
-A pattern finds candidates: values assigned to a telling name, provider formats, key headers, and
-long runs of token characters with a digit. A random forest on the candidate's length, character
+A pattern finds candidates: values assigned to a telling name, key headers, signed tokens of parts
+between dots, and long runs of token characters with a digit. A random forest on the candidate's length, character
 transitions, dictionary coverage, path and neighbouring words then removes false positives. It is
 trained here from labelled findings (path, before, value, after, label).
 
@@ -30,6 +30,7 @@ ASSIGNING = r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:" + NAMES + r")[\"'
 #: Values and runs have no upper bound. A run that ends in an assigning name leaves it to that name.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+    r"|(?<![A-Za-z0-9+/_.\-])eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]++(?:\.[A-Za-z0-9_\-]++)?"
     r"|" + ASSIGNING + r"[A-Za-z0-9+/_.~!@%^*\-]*+=?=?"
     r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])(?![A-Za-z0-9+/_\-]*" + ASSIGNING + r")[A-Za-z0-9+/_\-]{16,}+=?=?"
 )
@@ -123,6 +124,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (f"concat('AKIA', substring({up}, 1, 16))", name, lead, 1),
         (f"concat('ghp_', substring({hexes}, 1, 36))", "''", lead, 1),
         ("'-----BEGIN RSA PRIVATE KEY-----'", "''", "''", 1),
+        (f"concat('eyJ', {b64}, '.', substring({hexes}, 1, 30), '.', substring({up}, 1, 20))", "''", lead, 1),
         (b64, "''", f"concat({lead}, 'secret key ')", 1),
         (plain.format("-"), "''", lead, 0),
         (f"concat({plain.format('_')}, id % 100)", "''", lead, 0),
