@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_FOLDER: dict[str, str] = {}
+#: Lists that the paths of written tables go to, see written().
+_OPEN: list[list[str]] = []
 
 #: One word: a run of anything but ASCII white space (Java and DuckDB regex alike).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,11 +28,13 @@ FLUSH_BYTES = 8 << 20
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: ``spark.checkpoint.dir`` where the session has
-    it, else (tests on one machine only) a temporary folder."""
+    """The folder shared by driver and executors: ``spark.checkpoint.dir``. Where it is unset, a
+    session on this machine alone gets a temporary folder; on a cluster that is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDER:
         _OWN_FOLDER[app] = tempfile.mkdtemp(prefix="gleaner-")
@@ -41,19 +47,35 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     ``written_path`` is for :func:`release`."""
     spark = df.sparkSession
     path = f"{work_folder(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
+    for opened in _OPEN:
+        opened.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
 
 
+@contextlib.contextmanager
+def written(spark: SparkSession) -> Iterator[list[str]]:
+    """The paths of all tables that are written meanwhile; whoever consumes an operator's result
+    can :func:`delete` them afterwards, also those that the result itself reads."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN[:] = [x for x in _OPEN if x is not paths]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(df: DataFrame | None) -> None:
     """Delete a table written by :func:`materialize` that no later plan reads."""
-    path = getattr(df, "written_path", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path := getattr(df, "written_path", None):
+        delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,8 +4,11 @@ Ordered rules on host and path decide what they fit; the rest is decided by a lo
 on hashed character n-grams of host and path, trained here from a small labelled URL table.
 
 Cases. A null url, or one without ``://``, has empty host and path; the model then judges by its
-bias alone. Repeated rows and null ids get a row each. Extra columns are ignored. The model is
-fitted on at most ``MOST_TRAINING`` labelled rows; every url is judged.
+bias alone. Repeated rows and null ids get a row each. Urls of any length are judged whole. Ties:
+of rules that fit, the longest string counts, host and path together, and the first named of equal
+ones; a probability equal to the threshold blocks. Extra columns, also clashing ones, are ignored.
+An empty table gives an empty result. The model is fitted on at most ``MOST_TRAINING`` labelled
+rows; every url is judged.
 """
 
 from __future__ import annotations
@@ -77,7 +80,7 @@ def rule_for(host: str, path: str, rules=RULES) -> tuple[str, str] | None:
 def _grams(part: str, text: str) -> list[int]:
     if not text:
         return []
-    raw = f"{part}^{text[:4096]}$".encode("utf-8", "surrogatepass") if len(text) <= 4096 else f"{part}^{text}$".encode("utf-8", "surrogatepass")
+    raw = f"{part}^{text}$".encode("utf-8", "surrogatepass")
     return [zlib.crc32(raw[i : i + n], ord(part)) % BUCKETS for n in SIZES for i in range(1, len(raw) - n + 1)]
 
 

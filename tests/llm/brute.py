@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from fractions import Fraction
@@ -132,3 +133,33 @@ def mix(rows, weights, percent, epochs, seed):
             upto = sum(rows[j][2] for j in mine if keys[j] <= keys[i])
             copies[i] = whole + (upto <= rest)
     return copies
+
+
+def piece_weights(pieces, logs, usable, byte_piece, end, counts, n_train, prior, rounds):
+    """Rounds of expectation over words (text: times) by plain probabilities; gives log weights by piece."""
+    first = [math.exp(x) for x in logs]
+    p = list(first)
+    for _ in range(rounds):
+        known = {pieces[i]: i for i in usable if p[i] > 0}
+        got = [0.0] * len(pieces)
+        for word, times in counts.items():
+            a, b, edges = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0], []
+            for j in range(1, len(word) + 1):
+                for i in range(max(0, j - 40), j):
+                    if (piece := known.get(word[i:j])) is not None:
+                        edges.append((i, j, [piece], p[piece]))
+                    elif j == i + 1:
+                        parts = [byte_piece[x] for x in word[i:j].encode()]
+                        edges.append((i, j, parts, math.prod(p[x] for x in parts)))
+            for i, j, _, w in edges:
+                a[j] += a[i] * w
+            for i, j, _, w in reversed(edges):
+                b[i] += w * b[j]
+            for i, j, parts, w in edges:
+                for x in parts:
+                    got[x] += times * a[i] * w * b[j] / a[-1]
+        got[end] = n_train
+        p = [g + prior * f for g, f in zip(got, first)]
+        total = sum(p)
+        p = [x / total for x in p]
+    return [math.log(x) if x else -1e300 for x in p]

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -84,19 +85,53 @@ def quality_rows(junk):
     return rows
 
 
-@pytest.mark.parametrize("smallest", [1, 60, 10_000])
-def test_outliers_go_and_clean_documents_stay(spark, monkeypatch, smallest):
-    if smallest == 60:  # joins by salted shuffle
+@pytest.mark.parametrize("prior", [1, 60, 10_000])
+def test_outliers_go_and_clean_documents_stay(spark, monkeypatch, prior):
+    if prior == 60:  # joins by salted shuffle
         monkeypatch.setattr(quality, "MOST_BROADCAST", 0)
     rows = quality_rows(26) + [(900, None, None, None, "own"), (901, "", "en", "a", "own"), (None, "x " * 200, None, "zz", "own"), (902, " ".join(f"v{i}" for i in range(40_000)), "en", "a", "own")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, distance string")
-    got = quality.judge(df, min_group=smallest)
+    clashing = "_q_row int, _stats string, _kept string, _m_centre int, x int, n int"
+    df = spark.createDataFrame([(*r, 1, "own", "own", 2, 3, 4) for r in rows], f"doc_id long, text string, lang string, source string, distance string, {clashing}")
+    got = quality.judge(df, prior=prior)
     verdict = {r.doc_id: r._kept for r in got.collect()}
     assert [i for i in range(260) if not verdict[i]] == list(range(26))
     assert not verdict[900] and not verdict[901] and not verdict[None]
-    kept = quality.keep_good(df, min_group=smallest)
-    assert kept.columns == df.columns
-    assert quality.judge(df.limit(0)).count() == 0
+    kept = quality.keep_good(df, prior=prior)
+    assert kept.columns == df.columns and {tuple(r)[5:] for r in kept.collect()} == {(1, "own", "own", 2, 3, 4)}
+    if prior == 1:
+        narrow = quality.judge_texts(df, prior=prior)
+        assert "text" not in narrow.columns and {r.doc_id: r._kept for r in narrow.collect()} == verdict
+        assert quality.judge(df.limit(0)).count() == 0
+
+
+def test_small_groups_lean_on_their_language(spark):
+    """A group's estimate is the mean of its own and that of the level above, by rows."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, quality.DIMS))
+    rows = [("en", "big" if i >= 20 else "small", [float(v) + (3.0 if i < 20 else 0.0) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "lang string, source string, x array<double>")
+    own, leant = ({(r.level, r.source): np.array(r.centre) for r in quality.fit(df, prior).collect()} for prior in (0, 100))
+    whole = (own[(1, None)] * 300 + own[(2, None)] * 100) / 400
+    assert leant[(1, None)] == pytest.approx(whole) and leant[(2, None)] == pytest.approx(own[(2, None)])
+    assert leant[(0, "small")] == pytest.approx((own[(0, "small")] * 20 + whole * 100) / 120)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_least_determinant_equals_a_search_of_all_subsets(spark, seed):
+    """13 rows, a quarter of them far off in one direction: the subset found is the best of all."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(13, quality.DIMS)) @ rng.normal(size=(quality.DIMS, quality.DIMS))
+    x[:3] += 12 * rng.normal(size=quality.DIMS)
+    floor, factor = np.diag(np.square(quality.FLOORS)), quality.consistency(quality.KEEP_SHARE, quality.DIMS)
+
+    def logdet(rows):
+        y = x[list(rows)]
+        return np.linalg.slogdet(np.cov(y.T, bias=True) * factor + floor)[1]
+
+    best = min(itertools.combinations(range(13), 10), key=logdet)
+    df = spark.createDataFrame([(0, "en", "s", [float(v) for v in row]) for row in x], "level int, lang string, source string, x array<double>")
+    found = quality.search(df).first()
+    assert found.logdet == pytest.approx(logdet(best), abs=1e-6) and list(found.centre) == pytest.approx(list(x[list(best)].mean(axis=0)))
 
 
 def test_estimates_are_those_of_the_core(spark):
@@ -228,17 +263,16 @@ def start():
     return lattice.load()
 
 
-def marginal(model, word):
-    """All segmentations, by the recursion on plain probabilities."""
-    text, known = lattice.SPACE + word, {model.pieces[i]: model.logs[i] for i in model.ids.tolist()}
-    p = [1.0] + [0.0] * len(text)
+def marginal(model, word, known=None):
+    """All segmentations, by the recursion on the pieces' log weights in a dictionary."""
+    text, known = lattice.SPACE + word, known or {model.pieces[i]: model.logs[i] for i in model.ids.tolist()}
+    p = [0.0]
     for j in range(1, len(text) + 1):
-        for i in range(j):
-            if text[i:j] in known:
-                p[j] += p[i] * np.exp(known[text[i:j]])
-            elif j == i + 1:
-                p[j] += p[i] * np.exp(sum(model.logs[model.byte_piece[b]] for b in text[i:j].encode()))
-    return np.log(p[-1])
+        into = [p[i] + known[text[i:j]] for i in range(max(0, j - 40), j) if text[i:j] in known]
+        if text[j - 1] not in known:
+            into.append(p[j - 1] + sum(model.logs[model.byte_piece[b]] for b in text[j - 1].encode()))
+        p.append(np.logaddexp.reduce(into))
+    return p[-1]
 
 
 def test_marginals_equal_brute_force(start):
@@ -282,15 +316,49 @@ def test_scores_equal_brute_force(spark, start, monkeypatch):
         base = sum(np.log10((count[w] + 1) / size) for w in tokens[i]) + np.log10((ends + 1) / size)
         expected.append((k, held(k), len(tokens[i]) + 1, sum(count[w] > 0 for w in tokens[i]) + 1, total, round(float(base), 6)))
     assert sorted([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got], key=repr) == sorted(expected, key=repr)
-    # the model's score, from its word marginals
-    model = lattice.fit(spark.createDataFrame([(w, c) for w, c in count.items()], "word binary, c long"), ends, start)
-    for r in got:
-        if r.doc_id in (5000, 5001):
-            options = [sum(marginal(model, w.decode()) for w in t) + model.logs[model.end] for t in ([], [b"the"] * 3, [b"again"])]
-            assert min(abs(r.score - o / np.log(10)) for o in options) < 1e-6
+    # the model's score of every text, from weights that are fitted by plain probabilities
+    by_word = {lattice.SPACE + w.decode(): c for w, c in count.items()}
+    logs = brute.piece_weights(start.pieces, start.logs.tolist(), start.ids.tolist(), start.byte_piece.tolist(), start.end, by_word, ends, lattice.PRIOR, lattice.ROUNDS)
+    fitted = lattice.Lattice(start.pieces, start.byte_piece, start.end, np.array(logs))
+    known = {fitted.pieces[i]: fitted.logs[i] for i in fitted.ids.tolist()}
+    value = {w: marginal(fitted, w.decode(), known) / np.log(10) for t in tokens.values() for w in set(t)}
+    scores = sorted((sum(value[w] for w in tokens[i]) + logs[start.end] / np.log(10)) for i in range(len(rows)))
+    assert sorted(r.score for r in got) == pytest.approx(scores, rel=1e-9)
     assert lattice.score_documents(df.limit(0), start).count() == 0
 
 
+@pytest.mark.parametrize("size", [1_000, 300_000])
+def test_long_words_in_bounded_memory(start, size):
+    """A long word's marginal and expectations equal those of its parts looked up at once or bit by bit."""
+    import tracemalloc
+
+    word = ("thereoukeit日x" * (size // 12 + 1))[:size]
+    (_, codes), = start.words([word.encode()])
+    tracemalloc.start()
+    into, whole = np.zeros(len(start.pieces)), start.forward(codes)
+    start.expect(codes, np.array([1.0]), into)
+    assert tracemalloc.get_traced_memory()[1] < 600 * 2**20
+    tracemalloc.stop()
+    if size == 1_000:
+        assert whole[0] == pytest.approx(marginal(start, word), rel=1e-9)
+        bits, lattice.PART_PLACES = lattice.PART_PLACES, 1_000
+        try:
+            again = np.zeros(len(start.pieces))
+            start.expect(codes, np.array([1.0]), again)
+        finally:
+            lattice.PART_PLACES = bits
+        assert again == pytest.approx(into)
+    # each character is covered once
+    length = np.array([len(p) for p in start.pieces], dtype=float)
+    length[start.byte_piece] = 1 / 3  # 日 has three bytes
+    assert into @ length == pytest.approx(size + 1, rel=1e-6)
+
+
+def test_words_are_taken_together_by_characters(start):
+    parts = list(start.words([b"x" * 100_000] * 9))
+    assert sum(len(p) for p, _ in parts) == 9 and max(c.size for _, c in parts) <= lattice.PART_CHARS
+
+
 def test_training_helps(spark, start):
     """Held-out texts get likelier than under the first distribution."""
     df = spark.read.parquet(f"{SF}/documents.parquet")

@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -27,6 +29,59 @@ def test_rules(host, path, rule):
         assert found[1] == {h + p: v for h, p, v in urls.RULES}[rule]
 
 
+def plain_verdict(url, labelled):
+    """Host, path, rule and verdict by regular expressions, with a regression fitted by plain loops."""
+    found = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), found[1]), found[2]) if found else ("", "")
+    best = None
+    for rule, verdict in (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")):
+        on, start = re.match(r"([^/]*)(.*)", rule).groups()
+        if path.startswith(start) and f".{host}".endswith(f".{on}") and (best is None or len(rule) > len(best[0])):
+            best = (rule, verdict)
+    if best:
+        return host, path, *best
+    return host, path, None, "block" if labelled(host, path) >= 0.5 else "allow"
+
+
+def plain_regression(rows):
+    """The same model by dictionaries: gradient descent with momentum over normalised n-gram counts."""
+    def counts(url):
+        got, bias = {}, 1.0
+        for part, text in zip("hp", urls.split_url(url) if isinstance(url, str) else url):
+            raw = f"{part}^{text}$".encode() if text else b""
+            grams = [zlib.crc32(raw[i : i + n], ord(part)) % urls.BUCKETS for n in (3, 4, 5) for i in range(1, len(raw) - n + 1)]
+            for g in grams:
+                got[g] = got.get(g, 0.0) + len(grams) ** -0.5
+        return got, bias
+
+    data = [(counts(u)[0], y) for u, y in rows]
+    n = [sum(1 for _, y in data if y == k) for k in (0, 1)]
+    w, step, bias, bias_step = {g: 0.0 for x, _ in data for g in x}, {}, 0.0, 0.0
+    for _ in range(400):
+        fall, total = {}, 0.0
+        for x, y in data:
+            p = 1 / (1 + math.exp(-bias - sum(w[g] * v for g, v in x.items())))
+            miss = (p - y) * 0.5 / max(1, n[y])
+            total += miss
+            for g, v in x.items():
+                fall[g] = fall.get(g, 0.0) + miss * v
+        step = {g: 0.9 * step.get(g, 0.0) - 2.0 * (fall.get(g, 0.0) + 3e-4 * w[g]) for g in w}
+        bias_step = 0.9 * bias_step - 0.5 * total
+        w, bias = {g: v + step[g] for g, v in w.items()}, bias + bias_step
+    return lambda host, path: 1 / (1 + math.exp(-bias - sum(w.get(g, 0.0) * v for g, v in counts((host, path))[0].items())))
+
+
+def test_verdicts_equal_brute_force(spark):
+    labelled = urls.labelled_urls()[::19]
+    own = plain_regression(labelled)
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url")
+    extra = ["HTTP://WWW.Example.COM/en/x", "a://net/fr/", "a://b.net/fr/?q", "no scheme", "", None, "x://casino-win.example.org?x", "x://EXAMPLE.com", "x://y.example.net/es/#t"]
+    rows = [(r.page_id, r.url) for r in pages.collect()] + list(enumerate(extra, 9000))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(spark.createDataFrame(rows, pages.schema), urls.train(labelled)).collect()}
+    assert got == {k: plain_verdict(u, own) for k, u in rows}
+    assert len({v[3] for v in got.values()}) == 2 and None in {v[2] for v in got.values()}
+
+
 def test_held_out_urls():
     rows = urls.labelled_urls()
     random.Random(0).shuffle(rows)
@@ -77,15 +132,19 @@ def test_hard_vectors(spark):
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(40)]
     rows += [(50, None), (100, []), (150, [0.0] * 4), (200, [1.0, None, 0.0, 0.0]), (250, [float("nan"), 1.0, 0.0, 0.0]), (300, [float("inf"), 1.0, 0.0, 0.0]), (None, [1.0] * 4), (350, [1.0, 2.0])]
     rows += [(400 + i, rows[0][1]) for i in range(12)] + [(0, rows[0][1]), (600, [1.0, 1.0]), (650, [1e-3, 2e-3])]
-    got = run(spark, rows, F.col("vec_id") % 50 == 0)
+    got = run(spark, rows, F.col("vec_id") % 50 == 0, reach=1 - 1e-9)
     assert got == exact(rows, lambda k: k % 50 == 0)
     assert [v for _, v in got[0]] == [400, 401, 402, 403, 404]
     assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_recall_of_the_index(spark, monkeypatch):
+@pytest.mark.parametrize("n, parts", [(500, 1024), (2000, 1024), (3000, 7)])
+def test_recall_of_the_index(spark, monkeypatch, n, parts):
+    """The same method at every size; with small parts and blocks, many tasks for a cell."""
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", parts)
+    monkeypatch.setattr(neighbours, "BLOCK_VECTORS", 60 if parts == 7 else 1024)
     rng = np.random.default_rng(1)
-    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=16)]) for i in range(3000)]
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=16)]) for i in range(n)]
     got, expected = run(spark, rows, F.col("vec_id") % 50 == 0), exact(rows, lambda k: k % 50 == 0)
     assert set(got) == set(expected) and all(len(v) == 5 for v in got.values())
     hits = sum(len(set(got[k]) & set(expected[k])) for k in got)
