@@ -2,8 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows
 as Parquet in the shared folder and reads them back for the next. All stages but the last return
-the columns of ``documents``. Null and empty texts fail the quality rules; the other cases are
-those of the operators.
+the columns of ``documents``; what a stage has written on the way is deleted when its rows are there.
+
+Cases. Null and empty texts fail the quality rules. Null and repeated ids: a row is told apart by its
+id and text; of equal rows one stays in the Jaccard stage. Null language or source is a value of its
+own. Very long texts are taken whole. Extra columns, also clashing ones, are left out by the first
+stage. An empty table gives an empty result of each stage.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import bpe, lines, mixing, njaccard, quality
-from gleaner.llm.common import documents, materialize, release
+from gleaner.llm.common import delete, documents, materialize, release, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -60,6 +64,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
-        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{i}")
+        with written(spark) as paths:
+            before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{i}")
+        for path in paths:
+            if path != docs.written_path:
+                delete(spark, path)
         release(before)
     return docs
