@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -252,15 +253,15 @@ def number_words(spark, sf_dir):
     return _batch(spark, sf_dir).unionByName(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("qid"), F.col("url").alias("text"))).select("qid", T.spelled(text).alias("text"))
 
 
-@query("extract_article_parser")
+_ARTICLES = "SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '(?is)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&') AS text FROM pages"
+
+
+@query("extract_article_parser", _ARTICLES)
 def extract_article_parser(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", article_text("html").alias("text")).filter(F.col("text").isNotNull())
 
 
-@query(
-    "extract_article",
-    "SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '(?is)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&') AS text FROM pages",
-)
+@query("extract_article", _ARTICLES)
 def extract_article(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", article_text_sql(F.col("html")).alias("text"))
 
@@ -550,6 +551,35 @@ def chunk_spans(spark, sf_dir):
     return V.chunks(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), CHUNKS, separator="\n").select("doc", "para", "chunk", "start", "end")
 
 
+class LengthEncoder:
+    """An encoder that SQL can follow: the shares of tokens of up to 3, 4 to 6, 7 to 9 and more characters."""
+
+    def __call__(self, batch: list[list[str]]) -> np.ndarray:
+        out = np.zeros((len(batch), 4))
+        for row, tokens in zip(out, batch):
+            for t in tokens:
+                row[min(3, max(0, (len(t) - 1) // 3))] += 1 / len(tokens)
+        return out
+
+
+_TOKENS = f"""p AS (SELECT doc_id AS doc, ps, i, ps[i] AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ps, generate_subscripts(ps, 1) AS i FROM documents)),
+t AS (SELECT doc, CAST(i - 1 AS INT) AS para, regexp_extract_all(p, '[^ \\t\\n\\r\\f\\v]+') AS t FROM p WHERE p <> ''),
+w AS (SELECT doc, para, t, CASE WHEN len(t) < {CHUNKS.ctx} THEN [0] ELSE range(0, len(t), {CHUNKS.ctx - CHUNKS.overlap}) END AS starts FROM t WHERE len(t) > 0),
+c AS (SELECT doc, para, CAST(k - 1 AS INT) AS chunk, t[s + 1:least(s + {CHUNKS.ctx}, len(t))] AS t FROM (SELECT doc, para, t, unnest(starts) AS s, generate_subscripts(starts, 1) AS k FROM w))"""
+
+
+@query(
+    "chunk_vectors",
+    f"WITH {_TOKENS} SELECT doc, para, chunk, "
+    + ", ".join(f"round(len(list_filter(t, lambda x: least(3, greatest(0, (length(x) - 1) // 3)) = {i})) / len(t)::DOUBLE, 5) AS v{i}" for i in range(4))
+    + " FROM c",
+)
+def chunk_vectors(spark, sf_dir):
+    """Chunks through the encoder's path, batch by batch."""
+    rows = V.chunks(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), CHUNKS, separator="\n")
+    return V.embed(rows, LengthEncoder()).select("doc", "para", "chunk", *[F.round(F.col("vector")[i].cast("double"), 5).alias(f"v{i}") for i in range(4)])
+
+
 @query("chunk_embeddings")
 def chunk_embeddings(spark, sf_dir):
     """Chunks with their spans in the article and a vector."""
