@@ -13,7 +13,8 @@ leaf, joined to the rows by broadcast behind a check of the number of leaves, el
 
 Cases. Null levels count as ``''``. Null and empty texts have no tokens: they are in a prefix if
 their place is. Rows with one id and one leaf share an order key and are taken together. A null id
-counts as ``''``. Fractions of tokens are rounded down at each node. An empty table gives an
+counts as ``''``. Texts of any length are counted whole. Fractions of tokens are rounded down at
+each node; of siblings that fill up alike, the least by name comes first. An empty table gives an
 empty result. Clashing extra columns are kept; own columns start with ``_mix``.
 """
 
