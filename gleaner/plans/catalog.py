@@ -601,7 +601,8 @@ def _targets(spark, sf_dir) -> DataFrame:
     triples = lambda words: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - 3)), lambda i: F.array_join(F.slice(words, i + 1, 3), " "))
     passages = _batch(spark, sf_dir).select("qid", F.col("text").alias("passage")).withColumn("w", F.split("passage", space))
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    keyed = docs.select("doc", F.explode(F.array_distinct(triples(F.split("text", space)))).alias("key"))
+    # the words as a column of their own, so that a text is split once and not at each place
+    keyed = docs.select("doc", F.split("text", space).alias("w")).select("doc", F.explode(F.array_distinct(triples(F.col("w")))).alias("key"))
     long = passages.filter(F.size("w") >= 5).select("qid", "passage", F.array_join(F.slice("w", 2, 3), " ").alias("key"))
     found = keyed.join(Q.small(long), "key").select("qid", "doc", "passage").distinct()
     out = found.join(docs, "doc").filter(F.contains(F.col("text"), F.col("passage"))).select("qid", "doc")
