@@ -23,6 +23,7 @@ from gleaner.operators import index as I
 from gleaner.operators import search as Q
 from gleaner.operators import stats as S
 from gleaner.operators import vectors as V
+from gleaner.plans.stem_sql import stems
 from gleaner.sources import articles as A
 from gleaner.sources import tables as B
 from gleaner.sources.articles import attach_text
@@ -214,27 +215,18 @@ def subscripts(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.replace_subscripts(F.translate("text", "0123456789", T.SUBSCRIPTS)).alias("text"))
 
 
-@query("full_analysis")
-def full_analysis(spark, sf_dir):
-    """The full profile: number words, stems."""
-    return S.analyzed(_table(spark, sf_dir, "documents"), words=T.full_words()).select("doc", F.array_join("words", " ").alias("words"))
-
-
-@query("stem_vocabulary")
-def stem_vocabulary(spark, sf_dir):
-    """Stems of the distinct words."""
-    words = S.document_frequencies(S.term_frequencies(_docs(spark, sf_dir)))
-    return words.select("word", T.stemmed("word").alias("stem"), "df")
+_SCALES = "thousand million billion trillion quadrillion quintillion sextillion septillion octillion nonillion decillion".split()
 
 
 def _cardinal_sql(n: str) -> str:
-    """Whole numbers below 10 ** 15 in words."""
+    """Whole numbers below 10 ** 36 in words."""
     listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
     ones = listed("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen")
-    tens, scales = listed("twenty thirty forty fifty sixty seventy eighty ninety"), "['', ' thousand', ' million', ' billion', ' trillion']"
+    tens, scales = listed("twenty thirty forty fifty sixty seventy eighty ninety"), "['', " + ", ".join(f"' {w}'" for w in _SCALES) + "]"
+    powers = "[" + ", ".join(f"struct_pack(p := {p}, m := '{1000**p}'::HUGEINT)" for p in range(11, -1, -1)) + "]"
     small = f"CASE WHEN r % 100 < 20 THEN {ones}[r % 100 + 1] ELSE {tens}[r % 100 // 10 - 1] || CASE WHEN r % 10 > 0 THEN '-' || {ones}[r % 10 + 1] ELSE '' END END"
     group = f"CASE WHEN r < 100 THEN {small} ELSE {ones}[r // 100 + 1] || ' hundred' || CASE WHEN r % 100 > 0 THEN ' and ' || {small} ELSE '' END END"
-    groups = f"list_filter(list_transform([4, 3, 2, 1, 0], lambda p: struct_pack(p := p, r := CAST({n} // CAST(pow(1000, p) AS BIGINT) % 1000 AS BIGINT))), lambda x: x.r > 0)"
+    groups = f"list_filter(list_transform({powers}, lambda x: struct_pack(p := x.p, r := CAST({n} // x.m % 1000 AS BIGINT))), lambda x: x.r > 0)"
     words = f"list_transform({groups}, lambda x: list_transform([x.r], lambda r: {group})[1] || {scales}[x.p + 1])"
     last = f"CASE WHEN {n} > 999 AND {n} % 1000 BETWEEN 1 AND 99 THEN ' and ' ELSE ', ' END"
     many = f"CASE WHEN len({words}) > 1 THEN array_to_string(({words})[1:-2], ', ') || {last} || ({words})[-1] ELSE ({words})[1] END"
@@ -246,13 +238,40 @@ def _cardinal_sql(n: str) -> str:
     f"""WITH x AS (SELECT item_id AS qid, text FROM benchmark UNION ALL SELECT page_id, url FROM pages),
 w AS (SELECT qid, string_split_regex(trim(translate(lower(text), {_PUNCTUATION}, repeat(' ', {len(T.SPACED)}))), {_SPACE}) AS ws, row_number() OVER () AS line FROM x),
 e AS (SELECT qid, line, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM w)
-SELECT qid, string_agg(CASE WHEN regexp_full_match(w, '[0-9]+') THEN {_cardinal_sql("CAST(CASE WHEN regexp_full_match(w, '[0-9]+') THEN w ELSE '0' END AS BIGINT)")} ELSE w END, ' ' ORDER BY k) AS text FROM e GROUP BY qid, line""",
+SELECT qid, string_agg(CASE WHEN regexp_full_match(w, '[0-9]+') THEN {_cardinal_sql("CAST(CASE WHEN regexp_full_match(w, '[0-9]+') THEN w ELSE '0' END AS HUGEINT)")} ELSE w END, ' ' ORDER BY k) AS text FROM e GROUP BY qid, line""",
 )
 def number_words(spark, sf_dir):
     text = T.remove_punctuation(F.lower("text"))
     return _batch(spark, sf_dir).unionByName(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("qid"), F.col("url").alias("text"))).select("qid", T.spelled(text).alias("text"))
 
 
+_NUMBER = "CAST(CASE WHEN regexp_full_match(word, '[0-9]+') THEN word ELSE '0' END AS HUGEINT)"
+_BLANK = f"translate(word, {_PUNCTUATION}, repeat(' ', {len(T.SPACED)}))"
+
+
+@query("stem_vocabulary", f"WITH {_STATS}, {stems('z', 'df')} SELECT word, stem, df FROM df JOIN z USING (word)")
+def stem_vocabulary(spark, sf_dir):
+    """Stems of the distinct words."""
+    words = S.document_frequencies(S.term_frequencies(_docs(spark, sf_dir)))
+    return words.select("word", T.stemmed("word").alias("stem"), "df")
+
+
+#: For texts without enclosed, raised or lowered digits, of numbers below 10 ** 36.
+@query(
+    "full_analysis",
+    f"""WITH {_D}, a AS (SELECT doc, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+b AS (SELECT doc, i, string_split(CASE WHEN regexp_full_match(word, '[0-9]+') THEN {_cardinal_sql(_NUMBER)} ELSE word END, ' ') AS ws FROM a),
+c AS (SELECT doc, i, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM b), {stems('y', 'c')},
+e AS (SELECT doc, i, j, string_split(trim({_BLANK.replace('word', 'stem')}), ' ') AS ws FROM c JOIN y USING (word)),
+f AS (SELECT doc, i, j, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM e), {stems('z', 'f')},
+g AS (SELECT doc, i, j, k, unnest({_kept(_BLANK.replace('word', 'stem'))}) AS word FROM f JOIN z USING (word))
+SELECT d.doc, coalesce(t, '') AS words FROM d LEFT JOIN (SELECT doc, string_agg(word, ' ' ORDER BY i, j, k) AS t FROM g GROUP BY doc) USING (doc)""",
+)
+def full_analysis(spark, sf_dir):
+    """The full profile: number words, stems."""
+    return S.analyzed(_table(spark, sf_dir, "documents"), words=T.full_words()).select("doc", F.array_join("words", " ").alias("words"))
+
+
 _ARTICLES = "SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '(?is)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&') AS text FROM pages"
 
 
@@ -665,12 +684,18 @@ def json_sink(spark, sf_dir):
 
 @query("json_map", "SELECT CAST(item_id AS VARCHAR) AS key, CAST(length(text) AS BIGINT) AS value FROM benchmark")
 def json_map(spark, sf_dir):
-    """One JSON object as a map, written as text and read back."""
+    """A map written in both formats, and read back from JSON."""
     path = _fresh(spark, "map")
-    rows = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("key"), F.length("text").cast("bigint").alias("value"))
-    whole = rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "value")))).alias("value"))  # a map is one value
-    whole.coalesce(1).write.text(path)
-    return B.load_map(spark, path)
+    B.save_map(_table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("key"), F.length("text").cast("bigint").alias("value")), path)
+    return B.load_map(spark, f"{path}/json")
+
+
+@query("msgpack_map", f"WITH {_TF} SELECT word AS key, count(*) AS value FROM tf GROUP BY word")
+def msgpack_map(spark, sf_dir):
+    """Document frequencies written as MessagePack maps and read back."""
+    path = _fresh(spark, "msgpack")
+    B.save_map(S.document_frequencies(S.term_frequencies(_docs(spark, sf_dir))), path, ("msgpack",))
+    return B.load_map(spark, f"{path}/msgpack", fmt="msgpack")
 
 
 @query("article_map", "SELECT 'page ' || page_id AS title, 'en/' || page_id || '.html' AS path FROM pages WHERE page_id % 3 > 0")

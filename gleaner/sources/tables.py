@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.sources.msgpack import load_msgpack, save_msgpack
+
 FORMATS = ("parquet", "json", "orc", "csv", "avro")
 
 
@@ -18,12 +21,34 @@ def load(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | Non
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def load_map(spark: SparkSession, path: str, value: str = "bigint") -> DataFrame:
-    """(key, value) of a file that holds one JSON object."""
+def load_map(spark: SparkSession, path: str, value: str = "bigint", fmt: str = "json") -> DataFrame:
+    """(key, value) of files that hold one JSON object each, or one MessagePack map."""
+    if fmt == "msgpack":
+        return load_msgpack(spark, path, value)
     raw = spark.read.option("wholetext", True).text(path)
     return raw.select(F.explode(F.from_json("value", f"map<string, {value}>")).alias("key", "value"))
 
 
+def save_map(df: DataFrame, path: str, formats: tuple[str, ...] = ("json", "msgpack")) -> None:
+    """Rows (key, value) as maps, a file for each task, in a folder for each format."""
+    key, value = df.columns
+    for fmt in formats:
+        if fmt not in ("json", "msgpack"):
+            raise ValueError(f"unknown format {fmt!r} of a map")
+        if fmt == "msgpack":
+            save_msgpack(df, f"{path}/msgpack")
+            continue
+
+        def run(batches):
+            parts = [p for batch in batches for p in batch.column(0).to_pylist()]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(["{" + ",".join(parts) + "}"])], names=["value"])
+
+        # "key":value, as the part of a struct between its braces
+        pair = F.concat(F.regexp_replace(F.to_json(F.struct(F.col(key).cast("string").alias("k"))), r"^\{\"k\":|\}$", ""), F.lit(":"), F.coalesce(F.regexp_replace(F.to_json(F.struct(F.col(value).alias("v")), {"ignoreNullFields": "false"}), r"^\{\"v\":|\}$", ""), F.lit("null")))
+        df.select(pair.alias("pair")).mapInArrow(run, "value string").write.mode("overwrite").text(f"{path}/json")
+
+
 def save_postings(postings: DataFrame, path: str) -> None:
     """Postings sorted by word, so that a lookup reads few row groups."""
     postings.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(path)

@@ -68,6 +68,18 @@ def test_simple_words(spark):
     assert one(spark, "", T.simple_words) == []
 
 
+def test_stems_in_sql_are_the_same():
+    import duckdb
+
+    from gleaner.plans.stem_sql import stems
+
+    parts = ["", "re", "con", "syll", "y", "happ", "hop", "fall", "fizz", "agre", "geo", "rat", "x", "bl", "ti", "sky"]
+    endings = "s es ies ied ed eed ing ational tional enci izer bli alli fulli entli eli ousli ization ator alism iveness ousness aliti biliti logi icate ative alize iciti ical ful ness ement ance ion tion sion e ll y ate iti".split()
+    words = sorted({a + b + c for a in parts for b in parts for c in endings if "yy" not in a + b + c} | {"dying", "news", "proceed", "skies"})
+    got = duckdb.connect().execute("WITH w AS (SELECT unnest($1) AS word), " + stems("z", "w") + " SELECT word, stem FROM z", [words]).fetchall()
+    assert dict(got) == {w: stem(w) for w in words}
+
+
 @pytest.mark.parametrize("text, expected", [
     ("i cannot go", ["i", "can", "not", "go"]), ("gonna wannabe", ["gon", "na", "wannabe"]), ("“smart” «quotes» and ‘these’", ["smart", "quotes", "and", "these"]),
     ("xcannot cannotx lemme", ["xcannot", "cannotx", "lem", "me"]), ("gimme\tgotta", ["gim", "me", "got", "ta"]), (None, []), ("", []),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.text import redirect_hash
 from gleaner.operators import stats as S
 from gleaner.sources import articles as A
+from gleaner.sources import msgpack as M
 from gleaner.sources import tables as B
 from gleaner.streaming import incremental as N
 
@@ -63,6 +64,54 @@ def test_map_file_and_postings(spark, tmp_path):
     assert "EqualTo(word,a)" in plan
 
 
+@pytest.mark.parametrize("value, raw", [
+    (None, b"\xc0"), (True, b"\xc3"), (5, b"\x05"), (-3, b"\xfd"), (200, b"\xcc\xc8"), (70_000, b"\xce\x00\x01\x11p"), (-300, b"\xd1\xfe\xd4"), (1.5, b"\xcb?\xf8" + b"\x00" * 6),
+    ("ab", b"\xa2ab"), ("x" * 40, b"\xd9(" + b"x" * 40), ([1, "b"], b"\x92\x01\xa1b"), ({"a": 1}, b"\x81\xa1a\x01"), (b"z", b"\xc4\x01z"),
+])
+def test_msgpack_values(value, raw):
+    """Bytes by the public format."""
+    assert M.encode(value) == raw and M.Decoder(raw).value() == value
+
+
+def test_msgpack_long_values():
+    for value in ("y" * 70_000, list(range(70_000)), {str(i): i for i in range(70_000)}, 2**63, -(2**63), "é" * 300, [[]] * 20):
+        assert M.Decoder(M.encode(value)).value() == value
+    assert M.Decoder(b"\xca?\xc0\x00\x00").value() == 1.5
+    with pytest.raises(ValueError):
+        M.Decoder(b"\xc1").value()
+    with pytest.raises(ValueError):
+        M.Decoder(b"\xa5ab").value()
+
+
+def test_msgpack_files(spark, tmp_path):
+    (tmp_path / "one.msgpack").write_bytes(M.encode({"a": 3, "b": 1, 7: 2}))
+    assert sorted(map(tuple, M.load_msgpack(spark, str(tmp_path / "one.msgpack")).collect())) == [("7", 2), ("a", 3), ("b", 1)]
+    (tmp_path / "posts.msgpack").write_bytes(M.encode({"w": [1, 2], "v": []}))
+    assert {r.key: r.value for r in M.load_msgpack(spark, str(tmp_path / "posts.msgpack"), "array<bigint>").collect()} == {"w": [1, 2], "v": []}
+    (tmp_path / "articles.msgpack").write_bytes(M.encode({"A": {"path": "x"}}))
+    assert M.load_msgpack(spark, str(tmp_path / "articles.msgpack"), "struct<path: string>").first().value.path == "x"
+
+
+def test_msgpack_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{i}", [i, None, i * 10**12]) for i in range(50)] + [("none", None), ("é", [])], "word string, docs array<long>").repartition(3)
+    path = str(tmp_path / "m")
+    M.save_msgpack(df, path)
+    M.save_msgpack(df, path)  # overwrites
+    assert sorted(map(str, M.load_msgpack(spark, path, "array<bigint>").collect())) == sorted(map(str, df.selectExpr("word AS key", "docs AS value").collect()))
+    assert len(list((tmp_path / "m").glob("*.msgpack"))) == 3
+    M.save_msgpack(df.limit(0), path)
+
+
+def test_maps_in_both_formats(spark, tmp_path):
+    df = spark.createDataFrame([(f'k"{i}', [i, 2]) for i in range(20)] + [("none", None)], "word string, docs array<long>").repartition(3)
+    B.save_map(df, str(tmp_path / "both"))
+    expected = sorted(map(str, df.selectExpr("word AS key", "docs AS value").collect()))
+    for fmt in ("json", "msgpack"):
+        assert sorted(map(str, B.load_map(spark, str(tmp_path / "both" / fmt), "array<bigint>", fmt).collect())) == expected
+    with pytest.raises(ValueError):
+        B.save_map(df, str(tmp_path / "x"), ("yaml",))
+
+
 def test_vector_table(spark, tmp_path):
     table = B.VectorTable(spark, str(tmp_path / "v"), 2)
     row = spark.createDataFrame([("f", [0, 3], [1.0, 2.0])], "file string, start_end array<int>, vector array<float>")
