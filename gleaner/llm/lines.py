@@ -103,15 +103,29 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = F.broadcast(gone) if n_docs <= MOST_DOCUMENTS and n_lines <= MOST_LINES else gone.hint("shuffle_hash")
     rows = docs.withColumn("_ln_t", F.xxhash64(text_col))
     joined = rows.join(gone, rows[id_col].eqNullSafe(gone["_ln_id2"]) & (rows["_ln_t"] == gone["_ln_t2"]), "left")
-    lines = F.split(text_col, "\n", -1)
-    full = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
-    joined = joined.withColumn("_ln_full", F.when(F.col("_ln_spots").isNotNull(), full))
-    joined = joined.withColumn("_ln_gone", F.expr("transform(_ln_spots, x -> _ln_full[x])"))
-    joined = joined.withColumn("_ln_map", F.map_from_arrays(F.col("_ln_gone"), F.transform("_ln_gone", lambda x: F.lit(True))))
-    numbered = F.transform(lines, lambda line, i: F.struct(line.alias("s"), i.alias("i")))
-    kept = F.array_join(F.transform(F.filter(numbered, lambda p: ~F.map_contains_key(F.col("_ln_map"), p["i"])), lambda p: p["s"]), "\n")
-    out = joined.withColumn(text_col, F.when(F.col("_ln_gone").isNull(), F.col(text_col)).otherwise(kept))
-    return out.select(*docs.columns, "_ln_gone")
+    out = joined.withColumn("_ln_new", F.when(F.col("_ln_spots").isNotNull(), _without(F.split(text_col, "\n", -1), F.col("_ln_spots"))))
+    out = out.withColumn(text_col, F.when(F.col("_ln_spots").isNull(), F.col(text_col)).otherwise(F.col("_ln_new.text")))
+    return out.select(*docs.columns, F.col("_ln_new.gone").alias("_ln_gone"))
+
+
+def _without(lines: Column, spots: Column) -> Column:
+    """A text's lines without those at ``spots`` among the ones with a word: ``gone``, their places, and the ``text`` that is left.
+
+    Each step is bound to the element of a list of one: named columns would be put into the functions
+    of the elements by the optimizer, and made again for each of them."""
+
+    def bind(parts: Column, then) -> Column:
+        return F.transform(F.array(parts), then)[0]
+
+    word = lambda line, i: F.when(line.rlike(r"[^\x20\x09-\x0D]"), i)
+    left = lambda h: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(h["lines"]) - 1), h["gone"]), lambda i: h["lines"][i]), "\n")
+    return bind(
+        F.struct(lines.alias("lines"), spots.alias("spots")),
+        lambda a: bind(
+            F.struct(a["lines"].alias("lines"), a["spots"].alias("spots"), F.filter(F.transform(a["lines"], word), lambda i: i.isNotNull()).alias("full")),
+            lambda b: bind(F.struct(b["lines"].alias("lines"), F.transform(b["spots"], lambda x: b["full"][x]).alias("gone")), lambda h: F.struct(h["gone"].alias("gone"), left(h).alias("text"))),
+        ),
+    )
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,17 @@ def test_a_long_passage_goes_and_clean_text_stays(spark):
     assert got == {1: rows[0][1], 2: "four five\nsix seven", 3: "one two\nfour"}
 
 
+def test_a_text_of_many_repeated_lines_takes_time_by_its_length(spark):
+    """All lines of a long text go, also where more columns are made from the result."""
+    import time
+
+    long = "\n".join(f"line {i} of many" for i in range(30_000))
+    out = lines.dedup_lines(frame(spark, [(1, long), (2, "x\n" + long + "\ny")])).withColumn("n_chars", F.length("text")).filter(F.col("text").rlike("[a-z]"))
+    began = time.time()
+    got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    assert got == {1: (long, len(long)), 2: ("x\ny", 3)} and time.time() - began < 30
+
+
 def windows_of(hashes, words, least):
     """Shortest long-enough windows (start, length), by trying all."""
     m, out = len(hashes), set()
