@@ -97,6 +97,10 @@ def stats_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     yield from tidy(lambda each: (pd.DataFrame([text_stats(t) for t in texts], columns=list(STATS), dtype="int64") for texts in each))(batches)
 
 
+#: Marked so that the optimizer doesn't evaluate it once for a filter and once more for what is selected.
+stats_udf = stats_udf.asNondeterministic()
+
+
 def features(s: Column) -> Column:
     n = F.greatest(s["n_words"], F.lit(1)).cast("double")
     lines = F.greatest(s["n_lines"], F.lit(1)).cast("double")
