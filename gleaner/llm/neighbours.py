@@ -7,7 +7,7 @@ chances sum to ``reach``; candidates of all tables are ranked by exact cosine in
 on the original vectors.
 
 Every row is indexed, by the same method at every size. Only the usual distance is fitted on a
-sample: at most ``MOST_SAMPLE`` rows. A query that finds fewer neighbours than asked for searches on,
+sample: that of at most ``MOST_SAMPLE`` rows to their neighbours among all rows. A query that finds fewer neighbours than asked for searches on,
 all but everywhere.
 
 Scale. Equal vectors are one entry with its smallest ids (more can't be among the nearest). Queries
@@ -38,10 +38,10 @@ from gleaner.llm.common import FLUSH_BYTES, materialize, release, table, tidy
 from gleaner.llm.graph import salted_join
 
 TABLES = 3
-REACH = 0.7
+REACH = 0.65
 WIDTH = 2.0
-CELL_ROWS = 250
-MOST_SAMPLE = 2000
+CELL_ROWS = 60
+MOST_SAMPLE = 200
 BLOCK_VECTORS = 1024
 BLOCK_QUERIES = 1024
 SEED = 41
@@ -178,18 +178,36 @@ def _compare(most: int):
 
 
 def _spread(entries: DataFrame, most: int) -> float:
-    """The usual distance of a unit vector's ``most``-th neighbour, on a bounded sample; in the whole table it is no larger."""
-    rows = entries.select("vec").orderBy(F.xxhash64("id")).limit(MOST_SAMPLE).collect()
+    """The usual distance of a unit vector's ``most``-th neighbour: that of a bounded sample of vectors among all vectors."""
+    rows = entries.select("id", "vec").orderBy(F.xxhash64("id")).limit(MOST_SAMPLE).collect()
     sizes = [len(r.vec) for r in rows]
     dims = max(set(sizes), key=sizes.count) if sizes else 0
-    x = np.array([r.vec for r in rows if len(r.vec) == dims])
-    if len(x) <= most:
+    rows = [r for r in rows if len(r.vec) == dims]
+    if not rows:
         return 1.0
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    s = x @ x.T
-    np.fill_diagonal(s, -2)
-    near = np.partition(s, len(x) - most, axis=1)[:, len(x) - most]
-    return max(0.05, float(np.sqrt(np.maximum(0, 2 - 2 * np.quantile(near, 0.25)))))
+    probes = np.array([r.vec for r in rows])
+    probes = probes / np.abs(probes).max(axis=1, keepdims=True)
+    probes /= np.linalg.norm(probes, axis=1, keepdims=True)
+    shared, own = entries.sparkSession.sparkContext.broadcast(probes), np.array([r.id for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(own), most), -2.0)
+        for batch in batches:
+            sizes, flat = pc.list_value_length(batch.column(1)).to_numpy(), batch.column(1).flatten().to_numpy()
+            mine = np.nonzero(sizes == dims)[0]
+            if not len(mine):
+                continue
+            x = flat[(np.cumsum(sizes) - sizes)[mine, None] + np.arange(dims)]
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            near = shared.value @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+            near[own[:, None] == batch.column(0).to_numpy()[mine]] = -2.0
+            best = np.sort(np.concatenate([best, near], axis=1), axis=1)[:, -most:]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(own)), most)), pa.array(best.ravel())], names=["probe", "near"])
+
+    found = entries.select("id", "vec").mapInArrow(tidy(run), "probe bigint, near double").filter("near > -2")
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("near")))
+    last = [r.near for r in found.withColumn("rank", rank).filter(F.col("rank") == most).select("near").collect()]  # a number for each probe
+    return max(0.05, float(np.sqrt(max(0.0, 2 - 2 * np.quantile(last, 0.25))))) if last else 1.0
 
 
 def search(vectors: DataFrame, queries: Column, most: int = 5, tables: int = TABLES, reach: float = REACH, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -30,7 +30,7 @@ ASSIGNING = r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:" + NAMES + r")[\"'
 #: Values and runs have no upper bound. A run that ends in an assigning name leaves it to that name.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9+/_.\-])eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]++(?:\.[A-Za-z0-9_\-]++)?"
+    r"|eyJ(?<![A-Za-z0-9+/_.\-]eyJ)[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]++(?:\.[A-Za-z0-9_\-]++)?"
     r"|" + ASSIGNING + r"[A-Za-z0-9+/_.~!@%^*\-]*+=?=?"
     r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])(?![A-Za-z0-9+/_\-]*" + ASSIGNING + r")[A-Za-z0-9+/_\-]{16,}+=?=?"
 )
