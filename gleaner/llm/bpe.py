@@ -4,7 +4,7 @@ Two tiers. A minimal perfect hash (hash, displace, compare) resolves every pre-t
 vocabulary entry as it stands; a pre-token that it misses is merged with a heap of ranked pairs
 over doubly linked bytes. The vocabulary (bounded: one rank file) is read on the driver, where the
 hash is built, and both are sent to the workers; no tokenizer is trained. Pieces met lately are kept,
-so that both tiers are asked once for them.
+so that both tiers are asked once for them, until the task ends.
 
 Cases. Null text counts as empty: no ids, empty bytes. Repeated rows and null ids give a row each.
 Texts of any length are encoded whole, a bounded number of pre-tokens at a time. Ties: of pairs of
@@ -162,9 +162,10 @@ class Codec:
 
     @staticmethod
     def of(tables: dict) -> Codec:
-        """The codec of a worker process: broadcast tables stay there from task to task, and with them the codec and the pieces that it met."""
+        """The codec of a worker process: broadcast tables stay there from task to task, and with them the codec. The pieces that it met go with the task."""
         if "codec" not in tables:
             tables["codec"] = Codec(ByteBPE(**tables))
+        tables["codec"].memo.clear()
         return tables["codec"]
 
     def encode(self, text: str | None) -> bytes:
@@ -213,6 +214,8 @@ def encode_documents(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text
                 if rows.full():
                     yield from rows.take()
             yield from rows.take()
+        if codec:
+            codec.memo.clear()
 
     shape = f"`{id_col}` {id_type.simpleString()}, n_tokens bigint, ids binary" + ", decoded binary" * decode
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col if text_col != id_col else "_text")).mapInArrow(tidy(run), shape)
@@ -235,6 +238,8 @@ def decode_documents(encoded: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", i
                 if rows.full():
                     yield from rows.take()
             yield from rows.take()
+        if codec:
+            codec.memo.clear()
 
     return encoded.select(id_col, ids_col).mapInArrow(tidy(run), f"`{id_col}` {id_type.simpleString()}, decoded binary")
 

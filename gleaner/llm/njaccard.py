@@ -282,7 +282,7 @@ def _scan(docs: DataFrame, k: int, percent: int, buckets: int, id_col: str, text
                     sigs.append(sign(s))
                     nodes.append(f)
                     held += len(sigs[-1])
-                    if held >= 1_000_000:
+                    if held >= 500_000:
                         packed(sigs, nodes, rows)
                         sigs, nodes, held = [], [], 0
                 if rows.full():
