@@ -23,7 +23,7 @@ from gleaner.functions.stopwords import ENGLISH
 #: ASCII punctuation that becomes a space, and that which goes.
 SPACED = "!\"#$%&()*+-./:;<=>?@[\\]^_`{|}~"
 DROPPED = ",'"
-SPACE = r"[ \t\n\r\f\x0B]+"
+WHITE = " \t\n\r\f\x0b"
 #: Quotation marks that are words of their own, and words that are two words.
 QUOTES = "«“‘„»”’"
 TWO_WORDS = {"cannot": "can not", "gimme": "gim me", "gonna": "gon na", "gotta": "got ta", "lemme": "lem me", "wanna": "wan na"}
@@ -74,14 +74,24 @@ def replace_subscripts(text: Column) -> Column:
     return _raised(text, SUBSCRIPTS)
 
 
+def _pieces(plain: Column, between: str) -> Column:
+    """What stands between runs of the characters ``between``, empty pieces included; some words are two.
+    Each step over a text is bound to a variable: higher-order functions are evaluated without
+    common subexpressions, so that what is written twice there is done twice."""
+    apart = "".join(c if c.isspace() or not c.isascii() else f"\\{c}" for c in between)
+    halves = "|".join(f"{a}(?={b}(?![^{apart}]))" for a, b in (two.split() for two in TWO_WORDS.values()))
+
+    def cut(text: Column) -> Column:
+        some = reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in TWO_WORDS])  # most texts have none
+        return F.split(F.when(some, F.regexp_replace(text, f"(?<![^{apart}])({halves})", "$1 ")).otherwise(text), f"[{apart}]+")
+
+    return F.transform(F.array(plain), cut)[0]
+
+
 def tokens(text: Column) -> Column:
     """Words between white space and quotation marks; some words are two. Null and empty texts have none.
     (Quotation marks would be words of one character, which no profile keeps.)"""
-    plain = F.translate(F.coalesce(text, F.lit("")), QUOTES, " " * len(QUOTES))
-    halves = "|".join(f"{a}(?={b}(?![^ \\t\\n\\r\\f\\x0B]))" for a, b in (two.split() for two in TWO_WORDS.values()))
-    apart = F.regexp_replace(plain, f"(?<![^ \\t\\n\\r\\f\\x0B])({halves})", "$1 ")
-    some = reduce(lambda a, b: a | b, [F.contains(plain, F.lit(w)) for w in TWO_WORDS])  # most texts have none
-    return F.filter(F.split(F.when(some, apart).otherwise(plain), SPACE), lambda w: w != "")
+    return F.filter(_pieces(F.coalesce(text, F.lit("")), WHITE + QUOTES), lambda w: w != "")
 
 
 def remove_stopwords(words: Column, stop: Iterable[str] = ENGLISH) -> Column:
@@ -91,8 +101,11 @@ def remove_stopwords(words: Column, stop: Iterable[str] = ENGLISH) -> Column:
 
 
 def simple_words(text: Column) -> Column:
-    """The simple profile: an array of words."""
-    return remove_stopwords(tokens(remove_punctuation(F.lower(text))))
+    """The simple profile: an array of words, the same as of the text without punctuation."""
+    plain = F.coalesce(F.lower(text), F.lit(""))
+    for c in DROPPED:
+        plain = F.replace(plain, F.lit(c), F.lit(""))
+    return remove_stopwords(_pieces(plain, WHITE + QUOTES + SPACED))
 
 
 def paragraphs(text: Column, separator: str = "\n\n") -> Column:

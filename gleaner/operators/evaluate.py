@@ -38,7 +38,9 @@ def sample_documents(docs: DataFrame, n: int = 5, seed: int = 4321, doc: str = "
 def exact_passages(docs: DataFrame, n_tokens: int = 25, seed: int = 4321, share: float = 0.75) -> DataFrame:
     """(doc, passage): ``n_tokens`` words from a seeded start within the first ``share`` of a document's words. ``docs``: (doc, words)."""
     spot = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc").cast("string"))), 1, 8), 16, 10).cast("bigint"), F.greatest(F.lit(1), F.floor(F.size("words") * share)))
-    return docs.filter(F.size("words") > 0).select("doc", F.array_join(F.slice("words", (spot + 1).cast("int"), n_tokens), " ").alias("passage"))
+    passage = F.array_join(F.slice("words", (spot + 1).cast("int"), n_tokens), " ")
+    # a filter on the words themselves would go below the analysis, and each text be analysed twice
+    return docs.select("doc", F.explode_outer(F.when(F.size("words") > 0, F.array(passage))).alias("passage")).filter(F.col("passage").isNotNull())
 
 
 def weighted_paragraph(paragraphs: DataFrame, seed: int = 4321) -> DataFrame:

@@ -46,16 +46,17 @@ def candidates(words: DataFrame, index: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, path: str, limit: int = SHARD_LIMIT) -> StoredIndex:
     """Write the index of (doc, words) under ``path``: ``stats`` (one row), ``terms`` (word, df,
-    shard), sorted by word, and ``postings`` (word, doc, tf, doc_len) in a folder for each shard,
-    sorted by word and dealt out by ranges of (shard, word, doc), so that a hot word has many files.
-    Words are packed into shards of up to ``limit`` postings; for a large corpus raise it."""
+    shard), sorted by word, and ``postings`` (word, df, doc, tf, doc_len) in a folder for each shard,
+    sorted by word. Words are packed into shards of up to ``limit`` postings; for a large corpus raise
+    it. A shard of more, which is one hot word, is dealt out by documents, so that it has many files."""
     spark = docs.sparkSession
-    rows = docs.select("doc", F.size("words").cast("bigint").alias("doc_len"), F.explode("words").alias("word"))
-    tf = written(rows.groupBy("doc", "word").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len")), "tf")
-    S.corpus_stats(S.document_lengths(docs)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    tf = written(S.counted(docs), "tf")
+    S.counted_stats(docs, tf).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     terms = written(pack_shards(S.document_frequencies(tf), limit), "terms")
     terms.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/terms")
-    placed = tf.join(terms.select("word", "shard"), "word").repartitionByRange("shard", "word", "doc")
+    # dealt out by hash: ranges would be sampled first, and the join be made twice for that
+    slices = F.when(F.col("df") > limit, F.pmod(F.xxhash64("doc"), F.ceil(F.col("df") / limit))).otherwise(F.lit(0).cast("bigint"))
+    placed = tf.join(terms.hint("shuffle_hash"), "word").select("word", "df", "doc", "tf", "doc_len", "shard").repartition("shard", slices)
     placed.sortWithinPartitions("shard", "word", "doc").write.partitionBy("shard").mode("overwrite").parquet(f"{path}/postings")
     return StoredIndex(spark, path)
 
@@ -65,6 +66,8 @@ class StoredIndex:
 
     #: Words of a query set that go to the scan as literals; more of them are joined.
     MOST_LITERALS = 2_000
+    #: Words of a query set that are broadcast; beyond, the planner joins by shuffle.
+    MOST_BROADCAST = 200_000
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -76,14 +79,17 @@ class StoredIndex:
         asked = words.select("word").distinct()
         some = [r.word for r in asked.limit(self.MOST_LITERALS + 1).collect()]
         if len(some) > self.MOST_LITERALS:
-            terms = asked.join(self.terms, "word")
-            return self.postings.join(terms, ["shard", "word"]).select("word", "df", "doc", "tf", "doc_len")
+            # a row for each word asked for: broadcast behind a check, else all postings would be shuffled
+            terms = self.terms.join(self._few(asked), "word", "left_semi").select("shard", "word")
+            return self.postings.join(self._few(terms), ["shard", "word"], "left_semi").select("word", "df", "doc", "tf", "doc_len")
         found = self.terms.filter(F.col("word").isin(some)).collect()  # a row per word asked for
         if not found:
-            return self.postings.filter("false").select("word", F.lit(0).cast("bigint").alias("df"), "doc", "tf", "doc_len")
+            return self.postings.filter("false").select("word", "df", "doc", "tf", "doc_len")
         rows = self.postings.filter(F.col("shard").isin(sorted({r.shard for r in found})) & F.col("word").isin([r.word for r in found]))
-        known = self.spark.createDataFrame([(r.word, r.df) for r in found], "word string, df bigint")
-        return rows.join(F.broadcast(known), "word").select("word", "df", "doc", "tf", "doc_len")
+        return rows.select("word", "df", "doc", "tf", "doc_len")
+
+    def _few(self, rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= self.MOST_BROADCAST else rows
 
 
 def lookup(index: DataFrame, words: Iterable[str]) -> DataFrame:

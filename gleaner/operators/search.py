@@ -13,6 +13,7 @@ from gleaner.config import DEFAULT_RESULTS, BM25Params, check_results
 from gleaner.functions.text import simple_words
 from gleaner.operators import stats as S
 from gleaner.operators.index import StoredIndex
+from gleaner.sources.work import written
 
 #: Query words that may be broadcast; beyond, the planner joins by shuffle.
 MOST_BROADCAST = 200_000
@@ -38,7 +39,7 @@ def marker(words: DataFrame):
 def matching(docs: DataFrame, words: DataFrame, mark=None) -> DataFrame:
     """(doc, doc_len, word, tf) of the words asked for. Lengths are those of whole documents."""
     asked = (mark or marker(words))(words.select("word").distinct())
-    rows = docs.select("doc", F.size("words").cast("bigint").alias("doc_len"), F.explode("words").alias("word"))
+    rows = S.occurrences(docs, "doc", F.size("words").cast("bigint").alias("doc_len"))
     return rows.join(asked, "word", "left_semi").groupBy("doc", "word").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
 
 
@@ -47,9 +48,10 @@ def weighted(docs: DataFrame, words: DataFrame, params: BM25Params = BM25Params(
 
     The document frequency of a word counts all its rows, so the restriction to the words asked
     for changes nothing; the corpus statistics are over all documents."""
+    docs = written(docs.select("doc", "words"), "words")  # a text is analysed once
     stats = S.corpus_stats(S.document_lengths(docs))
     mark = mark or marker(words)
-    rows = matching(docs, words, mark)
+    rows = written(matching(docs, words, mark), "matching")
     n_docs = S.idf(S.document_frequencies(rows), stats).select("word", "idf")
     rows = rows.join(mark(n_docs), "word").join(F.broadcast(stats))
     return rows.select("word", "doc", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"), S.bm25_weight(F.col("tf"), F.col("doc_len"), F.col("idf"), F.col("avg_doc_len"), params).alias("bm25"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.config import BM25Params
 from gleaner.functions.text import simple_words
+from gleaner.sources.work import written
 
 
 def analyzed(docs: DataFrame, doc: str = "doc_id", text: str = "text", words=simple_words) -> DataFrame:
@@ -14,9 +15,21 @@ def analyzed(docs: DataFrame, doc: str = "doc_id", text: str = "text", words=sim
     return docs.select(F.col(doc).alias("doc"), words(F.col(text)).alias("words"))
 
 
+def occurrences(docs: DataFrame, *columns) -> DataFrame:
+    """The ``columns`` and a row for each word. From a plain explode the optimizer infers filters on
+    the list, which it moves below the analysis, so that each text would be analysed three times."""
+    return docs.select(*columns, F.explode_outer("words").alias("word")).filter(F.col("word").isNotNull())
+
+
 def term_frequencies(docs: DataFrame) -> DataFrame:
     """(doc, word, tf) from (doc, words). Counts are combined before the shuffle."""
-    return docs.select("doc", F.explode("words").alias("word")).groupBy("doc", "word").agg(F.count("*").alias("tf"))
+    return occurrences(docs, "doc").groupBy("doc", "word").agg(F.count("*").alias("tf"))
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(doc, word, tf, doc_len): the length travels with the words, so that there is no join on the document."""
+    rows = occurrences(docs, "doc", F.size("words").cast("bigint").alias("doc_len"))
+    return rows.groupBy("doc", "word").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -41,6 +54,13 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("corpus_size"), F.avg("doc_len").alias("avg_doc_len"))
 
 
+def counted_stats(docs: DataFrame, tf: DataFrame) -> DataFrame:
+    """:func:`corpus_stats` from term frequencies: their sum is that of the lengths, so no text is analysed again."""
+    words = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_words"))
+    size = docs.agg(F.count("*").alias("corpus_size"))
+    return size.join(F.broadcast(words)).select("corpus_size", F.try_divide(F.col("_words").cast("double"), F.col("corpus_size").cast("double")).alias("avg_doc_len"))
+
+
 def average_size(tf: DataFrame, corpus_size: int) -> DataFrame:
     return tf.agg((F.sum("tf") / F.lit(corpus_size)).alias("avg_doc_len"))
 
@@ -61,10 +81,8 @@ def bm25_weight(tf, doc_len, idf_, avg_doc_len, params: BM25Params):
 
 def sparse_vectors(docs: DataFrame, params: BM25Params = BM25Params()) -> DataFrame:
     """(doc, word, tf, doc_len, idf, tf_idf, bm25). The vocabulary grows with the corpus, so it is joined by the planner's choice and never forced to be broadcast."""
-    lengths = document_lengths(docs)
-    stats = corpus_stats(lengths)
-    # the length travels with the words: no join on the document; the frequencies are those of the same rows
-    tf = docs.select("doc", F.size("words").cast("bigint").alias("doc_len"), F.explode("words").alias("word")).groupBy("doc", "word").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
+    tf = written(counted(docs), "tf")  # read three times
+    stats = counted_stats(docs, tf)
     weights = idf(document_frequencies(tf), stats)
     rows = tf.join(weights.select("word", "idf"), "word", "left").join(F.broadcast(stats))
     return rows.select(
@@ -74,7 +92,7 @@ def sparse_vectors(docs: DataFrame, params: BM25Params = BM25Params()) -> DataFr
 
 def normalised_tf(docs: DataFrame) -> DataFrame:
     """(doc, word, ntf): count over the document's length."""
-    rows = docs.select("doc", F.size("words").alias("doc_len"), F.explode("words").alias("word"))
+    rows = occurrences(docs, "doc", F.size("words").alias("doc_len"))
     return rows.groupBy("doc", "word").agg((F.count("*") / F.max("doc_len")).alias("ntf"))
 
 

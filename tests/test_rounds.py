@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from gleaner.functions import text as T
+from gleaner.operators import index as I
 from gleaner.plans import catalog
 
+SF = "/root/testdata/sf0.001"
+
 
 def same(spark, tmp_path, name: str, **tables) -> list:
     """The rows of a query over small tables, which must be those of its SQL."""
@@ -25,3 +31,62 @@ def test_entities_without_semicolon_stay(spark, tmp_path):
     pages = [(1, "<article>a &amp<p>b &lt; &amp;lt; &nbsp; &#39;&#40;</p></article>"), (2, "<p>no article</p>"), (3, None), (4, "<article>x &ampy &</article>")]
     rows = same(spark, tmp_path, "extract_article_parser", pages=("page_id bigint, html string", pages))
     assert rows[0] == (1, "a &ampb < &lt; &nbsp; '&#40;") and rows[1] == (2, "")
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["doc_freq", "term_freq", "idf", "exact_passages", "avg_corpus_size", "candidates_or", "postings"])
+def test_a_text_is_analysed_once(spark, name):
+    plan = plan_of(catalog.QUERIES[name](spark, SF))
+    passages = 2 if name == "candidates_or" else 0  # those are few
+    assert plan.count("lower(") == 1 + passages
+
+
+@pytest.mark.parametrize("name", ["bm25_scan", "tfidf_scan", "bm25_index"])
+def test_searches_do_not_analyse_texts_again(spark, name):
+    """What is left to the result's plan reads written counts; of the texts it counts the rows at most."""
+    plan = plan_of(catalog.QUERIES[name](spark, SF))
+    assert plan.count("lower(") <= plan.count("Relation [item_id")
+
+
+def test_counting_needs_no_shuffle_of_words(spark):
+    plan = catalog.QUERIES["term_freq"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(doc_id" in plan
+
+
+def test_words_are_cut_the_same(spark):
+    odd = ["can,not cannot's CANNOT! (gonna)", "wanna-be’gotta„lemme“", "", None, "a\x0bb\fcc  dd", "x'y don't the; THE,the", "İstanbul ǅ cannot\tgimme", "cannotx xcannot"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i int, text string")
+    slow = T.remove_stopwords(T.tokens(T.remove_punctuation(F.lower("text"))))
+    for r in rows.select(T.simple_words(F.col("text")).alias("a"), slow.alias("b")).collect():
+        assert r.a == r.b
+
+
+def test_postings_hold_frequencies(spark):
+    plan = catalog.QUERIES["index_postings"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_hot_words_have_several_files(spark, tmp_path):
+    docs = spark.range(40).select(F.col("id").alias("doc"), F.array(F.lit("hot"), F.concat(F.lit("w"), F.col("id").cast("string"))).alias("words"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little would be one task
+    try:
+        index = I.build_index(docs, str(tmp_path), limit=10)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hot = index.postings.filter("word = 'hot'")
+    assert hot.count() == 40 and hot.filter("df = 40").count() == 40 and hot.select(F.input_file_name()).distinct().count() > 1
+
+
+def test_many_words_do_not_shuffle_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I.StoredIndex, "MOST_LITERALS", 0)
+    docs = spark.range(9).select(F.col("id").alias("doc"), F.array(F.lit("hot"), F.lit("cold")).alias("words"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of any size
+    try:
+        rows = I.build_index(docs, str(tmp_path)).read(spark.createDataFrame([("hot",)], "word string"))
+        assert rows.count() == 9 and "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
