@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -72,6 +73,12 @@ def _quoted(separator: str) -> str:
     return "".join(f"\\{c}" if not c.isalnum() and not c.isspace() else c for c in separator)
 
 
+@lru_cache(maxsize=100_000)
+def _token_vector(token: str, dims: int) -> np.ndarray:
+    """Seeding takes most of an encoder's time, so the tokens met last are kept, a bounded number of them."""
+    return np.random.default_rng(zlib.crc32(token.encode())).standard_normal(dims)
+
+
 class HashingEncoder:
     """A stand-in for a neural encoder: each token is a fixed pseudo-random vector; ``pool`` takes the mean over its tokens, or over all ``size`` places with "all"."""
 
@@ -84,8 +91,8 @@ class HashingEncoder:
         out = np.zeros((len(batch), self.dims))
         for i, tokens in enumerate(batch):
             real = [t for t in tokens if t]
-            for t in real:
-                out[i] += np.random.default_rng(zlib.crc32(t.encode())).standard_normal(self.dims)
+            if real:
+                out[i] = np.add.reduce([_token_vector(t, self.dims) for t in real], axis=0)
             out[i] /= max(1, len(real) if self.pool == "masked" else len(tokens))
         return out
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.operators import index as I
+from gleaner.operators import vectors as V
 from gleaner.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -90,3 +94,18 @@ def test_many_words_do_not_shuffle_postings(spark, tmp_path, monkeypatch):
         assert rows.count() == 9 and "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_token_vectors_are_made_once_and_the_same(monkeypatch):
+    made = []
+    rng = np.random.default_rng
+    monkeypatch.setattr(np.random, "default_rng", lambda seed: made.append(seed) or rng(seed))
+    V._token_vector.cache_clear()
+    lists = [["a", "b", "a", ""] * 30, [], ["b", "é"]]
+    got = V.HashingEncoder(16)(lists)
+    assert len(made) == 3
+    for tokens, row in zip(lists, got):
+        total = np.zeros(16)
+        for t in filter(None, tokens):
+            total += rng(zlib.crc32(t.encode())).standard_normal(16)
+        assert (row == total / max(1, len([t for t in tokens if t]))).all()
