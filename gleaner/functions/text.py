@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,8 @@ ENCLOSED = (
 )
 #: Fixed value: from so many digits on, a number is spelled in blocks of one digit less.
 LONGEST_NUMBER = 307
+#: Texts whose words the full analyzer holds as Python objects at a time.
+FULL_ROWS = 128
 NEW_TAI_LUE = range(0x19D0, 0x19DA)
 
 
@@ -199,9 +202,12 @@ def full_words(lemmas: dict[str, str] | None = None, stop: Iterable[str] = ENGLI
     """A function of a text column that gives the full profile's words."""
     listed = tuple(stop)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def analyze(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: full_words_of(t, lemmas, listed), na_action=None)
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def analyze(text: pa.Array) -> pa.Array:
+        # words as Python objects take many times their text: of FULL_ROWS texts at once, no whole batch
+        kind = pa.list_(pa.string())
+        parts = [pa.array([full_words_of(t, lemmas, listed) for t in text.slice(i, FULL_ROWS).to_pylist()], kind) for i in range(0, len(text), FULL_ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return analyze
 

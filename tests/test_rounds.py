@@ -109,3 +109,10 @@ def test_token_vectors_are_made_once_and_the_same(monkeypatch):
         for t in filter(None, tokens):
             total += rng(zlib.crc32(t.encode())).standard_normal(16)
         assert (row == total / max(1, len([t for t in tokens if t]))).all()
+
+
+def test_full_analysis_in_parts(spark, monkeypatch):
+    texts = [None, "", *[f"running {i} cannot x{i}" for i in range(2 * T.FULL_ROWS)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    assert "ArrowEvalPython" in (df := rows.select("i", T.full_words()(F.col("text")).alias("w")))._jdf.queryExecution().executedPlan().toString()
+    assert {r.i: list(r.w) for r in df.collect()} == {i: T.full_words_of(t) for i, t in enumerate(texts)}
