@@ -46,21 +46,29 @@ def candidates(words: DataFrame, index: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, path: str, limit: int = SHARD_LIMIT) -> StoredIndex:
     """Write the index of (doc, words) under ``path``: ``stats`` (one row), ``terms`` (word, df,
-    shard), sorted by word, and ``postings`` (word, df, doc, tf, doc_len) in a folder for each shard,
-    sorted by word. Words are packed into shards of up to ``limit`` postings; for a large corpus raise
-    it. A shard of more, which is one hot word, is dealt out by documents, so that it has many files."""
+    shard), sorted by word, and ``postings`` (word, df, entries) in a folder for each shard, sorted by
+    word. Postings are collected where the documents are: a row has those of one word in a part of the
+    documents, and only such rows are joined and dealt out. Words are packed into shards of up to
+    ``limit`` postings; for a large corpus raise it. A shard of more, which is one hot word, is dealt
+    out by these parts, so that it has many files."""
     spark = docs.sparkSession
-    tf = written(S.counted(docs), "tf")
-    S.counted_stats(docs, tf).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    terms = written(pack_shards(S.document_frequencies(tf), limit), "terms")
+    lists = written(S.entries(docs), "lists")
+    S.counted_stats(docs, lists, "occurrences").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    terms = written(pack_shards(lists.groupBy("word").agg(F.sum("n").alias("df")), limit), "terms")
     terms.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/terms")
     # dealt out by hash: ranges would be sampled first, and the join be made twice for that
-    slices = F.when(F.col("df") > limit, F.pmod(F.xxhash64("doc"), F.ceil(F.col("df") / limit))).otherwise(F.lit(0).cast("bigint"))
-    placed = tf.join(terms.hint("shuffle_hash"), "word").select("word", "df", "doc", "tf", "doc_len", "shard").repartition("shard", slices)
-    placed.sortWithinPartitions("shard", "word", "doc").write.partitionBy("shard").mode("overwrite").parquet(f"{path}/postings")
+    slices = F.when(F.col("df") > limit, F.pmod(F.xxhash64(F.col("entries")[0]["doc"]), F.ceil(F.col("df") / limit))).otherwise(F.lit(0).cast("bigint"))
+    placed = lists.join(terms.hint("shuffle_hash"), "word").select("word", "df", "entries", "shard").repartition("shard", slices)
+    placed.sortWithinPartitions("shard", "word").write.partitionBy("shard").mode("overwrite").parquet(f"{path}/postings")
     return StoredIndex(spark, path)
 
 
+def _opened(lists: DataFrame) -> DataFrame:
+    """(word, df, doc, tf, doc_len, shard): a row for each posting."""
+    rows = lists.select("word", "df", "shard", F.inline("entries"))
+    return rows.select("word", "df", "doc", F.col("tf").cast("bigint").alias("tf"), F.col("doc_len").cast("bigint").alias("doc_len"), "shard")
+
+
 class StoredIndex:
     """What :func:`build_index` wrote."""
 
@@ -71,7 +79,8 @@ class StoredIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.stats, self.terms, self.postings = (spark.read.parquet(f"{path}/{name}") for name in ("stats", "terms", "postings"))
+        self.stats, self.terms, self.lists = (spark.read.parquet(f"{path}/{name}") for name in ("stats", "terms", "postings"))
+        self.postings = _opened(self.lists)
 
     def read(self, words: DataFrame) -> DataFrame:
         """(word, df, doc, tf, doc_len) of the words asked for: only their shards' folders are listed,
@@ -81,12 +90,12 @@ class StoredIndex:
         if len(some) > self.MOST_LITERALS:
             # a row for each word asked for: broadcast behind a check, else all postings would be shuffled
             terms = self.terms.join(self._few(asked), "word", "left_semi").select("shard", "word")
-            return self.postings.join(self._few(terms), ["shard", "word"], "left_semi").select("word", "df", "doc", "tf", "doc_len")
+            return _opened(self.lists.join(self._few(terms), ["shard", "word"], "left_semi")).drop("shard")
         found = self.terms.filter(F.col("word").isin(some)).collect()  # a row per word asked for
         if not found:
-            return self.postings.filter("false").select("word", "df", "doc", "tf", "doc_len")
-        rows = self.postings.filter(F.col("shard").isin(sorted({r.shard for r in found})) & F.col("word").isin([r.word for r in found]))
-        return rows.select("word", "df", "doc", "tf", "doc_len")
+            return self.postings.filter("false").drop("shard")
+        rows = self.lists.filter(F.col("shard").isin(sorted({r.shard for r in found})) & F.col("word").isin([r.word for r in found]))
+        return _opened(rows).drop("shard")
 
     def _few(self, rows: DataFrame) -> DataFrame:
         return F.broadcast(rows) if rows.count() <= self.MOST_BROADCAST else rows

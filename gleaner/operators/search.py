@@ -37,10 +37,9 @@ def marker(words: DataFrame):
 
 
 def matching(docs: DataFrame, words: DataFrame, mark=None) -> DataFrame:
-    """(doc, doc_len, word, tf) of the words asked for. Lengths are those of whole documents."""
+    """(doc, word, tf, doc_len) of the words asked for. Lengths are those of whole documents."""
     asked = (mark or marker(words))(words.select("word").distinct())
-    rows = S.occurrences(docs, "doc", F.size("words").cast("bigint").alias("doc_len"))
-    return rows.join(asked, "word", "left_semi").groupBy("doc", "word").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
+    return S.counted(docs).join(asked, "word", "left_semi").select("doc", "word", "tf", "doc_len")
 
 
 def weighted(docs: DataFrame, words: DataFrame, params: BM25Params = BM25Params(), mark=None) -> DataFrame:
@@ -48,10 +47,16 @@ def weighted(docs: DataFrame, words: DataFrame, params: BM25Params = BM25Params(
 
     The document frequency of a word counts all its rows, so the restriction to the words asked
     for changes nothing; the corpus statistics are over all documents."""
-    docs = written(docs.select("doc", "words"), "words")  # a text is analysed once
-    stats = S.corpus_stats(S.document_lengths(docs))
     mark = mark or marker(words)
-    rows = written(matching(docs, words, mark), "matching")
+    asked = words.select("word").distinct()
+    rows = S.counted(docs, lengths=True)  # each document has a row without a word, for the statistics: one pass over the texts
+    few = mark is F.broadcast
+    if few:
+        with_null = asked.union(asked.sparkSession.range(1).select(F.lit(None).cast("string"))).withColumnRenamed("word", "_word")
+        rows = rows.join(F.broadcast(with_null), F.col("word").eqNullSafe(F.col("_word")), "left_semi")
+    rows = written(rows, "matching")
+    stats = S.corpus_stats(rows.filter("word IS NULL"))
+    rows = rows.filter("word IS NOT NULL") if few else rows.join(asked, "word", "left_semi")
     n_docs = S.idf(S.document_frequencies(rows), stats).select("word", "idf")
     rows = rows.join(mark(n_docs), "word").join(F.broadcast(stats))
     return rows.select("word", "doc", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"), S.bm25_weight(F.col("tf"), F.col("doc_len"), F.col("idf"), F.col("avg_doc_len"), params).alias("bm25"))

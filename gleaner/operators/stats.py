@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.config import BM25Params
 from gleaner.functions.text import simple_words
+from gleaner.operators import counting as C
 from gleaner.sources.work import written
 
 
@@ -15,6 +16,16 @@ def analyzed(docs: DataFrame, doc: str = "doc_id", text: str = "text", words=sim
     return docs.select(F.col(doc).alias("doc"), words(F.col(text)).alias("words"))
 
 
+def lowered(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, lowered): documents whose words, in the simple profile, are taken where they are counted."""
+    return docs.select(F.col(doc).alias("doc"), F.lower(F.col(text)).alias("lowered"))
+
+
+def listed(docs: DataFrame) -> DataFrame:
+    """(doc, words) of either form of documents."""
+    return docs if "words" in docs.columns else docs.select("doc", simple_words(F.col("lowered")).alias("words"))
+
+
 def occurrences(docs: DataFrame, *columns) -> DataFrame:
     """The ``columns`` and a row for each word. From a plain explode the optimizer infers filters on
     the list, which it moves below the analysis, so that each text would be analysed three times."""
@@ -22,14 +33,37 @@ def occurrences(docs: DataFrame, *columns) -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
-    """(doc, word, tf) from (doc, words). Counts are combined before the shuffle."""
-    return occurrences(docs, "doc").groupBy("doc", "word").agg(F.count("*").alias("tf"))
+    """(doc, word, tf) from (doc, words)."""
+    return counted(docs).select("doc", "word", "tf")
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(doc, word, tf, doc_len): the length travels with the words, so that there is no join on the document."""
+def counted(docs: DataFrame, lengths: bool = False) -> DataFrame:
+    """(doc, word, tf, doc_len): the length travels with the words, so that there is no join on the document.
+    With ``lengths`` each document has also a row without a word. Words are counted where their document
+    is; only where a document is there more than once the pairs are grouped."""
+    if not C.repeated(docs):
+        return C.counted(docs, lengths)
+    docs = listed(docs)
     rows = occurrences(docs, "doc", F.size("words").cast("bigint").alias("doc_len"))
-    return rows.groupBy("doc", "word").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
+    pairs = rows.groupBy("doc", "word").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
+    every = document_lengths(docs).select("doc", F.lit(None).cast("string").alias("word"), F.lit(0).cast("bigint").alias("tf"), "doc_len")
+    return pairs.unionByName(every) if lengths else pairs
+
+
+def frequencies(docs: DataFrame) -> DataFrame:
+    """(word, df) from (doc, words): summed inside batches of documents first."""
+    if C.repeated(docs):
+        return document_frequencies(term_frequencies(docs))
+    return C.frequencies(docs).groupBy("word").agg(F.sum("n").alias("df"))
+
+
+def entries(docs: DataFrame) -> DataFrame:
+    """(word, n, occurrences, entries) from (doc, words): partial lists of postings, several rows for a word."""
+    if not C.repeated(docs):
+        return C.entries(docs)
+    tf = counted(docs)
+    one = F.array(F.struct("doc", F.col("tf").cast("int").alias("tf"), F.col("doc_len").cast("int").alias("doc_len")))
+    return tf.select("word", F.lit(1).cast("bigint").alias("n"), F.col("tf").alias("occurrences"), one.alias("entries"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -54,9 +88,9 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("corpus_size"), F.avg("doc_len").alias("avg_doc_len"))
 
 
-def counted_stats(docs: DataFrame, tf: DataFrame) -> DataFrame:
-    """:func:`corpus_stats` from term frequencies: their sum is that of the lengths, so no text is analysed again."""
-    words = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_words"))
+def counted_stats(docs: DataFrame, tf: DataFrame, count: str = "tf") -> DataFrame:
+    """:func:`corpus_stats` from term frequencies, in the column ``count``: their sum is that of the lengths, so no text is analysed again."""
+    words = tf.agg(F.coalesce(F.sum(count), F.lit(0)).alias("_words"))
     size = docs.agg(F.count("*").alias("corpus_size"))
     return size.join(F.broadcast(words)).select("corpus_size", F.try_divide(F.col("_words").cast("double"), F.col("corpus_size").cast("double")).alias("avg_doc_len"))
 
@@ -92,8 +126,7 @@ def sparse_vectors(docs: DataFrame, params: BM25Params = BM25Params()) -> DataFr
 
 def normalised_tf(docs: DataFrame) -> DataFrame:
     """(doc, word, ntf): count over the document's length."""
-    rows = occurrences(docs, "doc", F.size("words").alias("doc_len"))
-    return rows.groupBy("doc", "word").agg((F.count("*") / F.max("doc_len")).alias("ntf"))
+    return counted(docs).select("doc", "word", (F.col("tf") / F.col("doc_len")).alias("ntf"))
 
 
 def top_terms(df: DataFrame, k: int) -> DataFrame:

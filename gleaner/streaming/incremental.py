@@ -18,7 +18,7 @@ def _write_batch(root: str, doc: str, text: str):
         docs = S.analyzed(batch, doc, text)
         docs.persist()
         try:
-            S.document_frequencies(S.term_frequencies(docs)).write.mode("overwrite").parquet(f"{root}/df/batch={number}")
+            S.frequencies(docs).write.mode("overwrite").parquet(f"{root}/df/batch={number}")
             S.document_lengths(docs).agg(F.count("*").alias("docs"), F.sum("doc_len").alias("words")).write.mode("overwrite").parquet(f"{root}/totals/batch={number}")
         finally:
             docs.unpersist()

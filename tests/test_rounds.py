@@ -6,11 +6,15 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.functions.stopwords import ENGLISH
+from gleaner.operators import counting as C
 from gleaner.operators import index as I
+from gleaner.operators import stats as S
 from gleaner.operators import vectors as V
 from gleaner.plans import catalog
 
@@ -116,3 +120,51 @@ def test_full_analysis_in_parts(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
     assert "ArrowEvalPython" in (df := rows.select("i", T.full_words()(F.col("text")).alias("w")))._jdf.queryExecution().executedPlan().toString()
     assert {r.i: list(r.w) for r in df.collect()} == {i: T.full_words_of(t) for i, t in enumerate(texts)}
+
+
+ODD = ["can,not cannot's CANNOT! (gonna)", "wanna-be’gotta„lemme“ can", "", None, "a\x0bb\fcc  dd dd", "x'y don't the; THE,the é éé", "İstanbul ǅ cannot\tgimme ΑΣ", "cannotx xcannot nots not", "日本 日 «日本»日本\x1c日本"]
+
+
+def test_chunks_of_texts_are_bounded(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(9)), "lowered": ["red sun red"] * 4 + [None, "x" * 99] + ["", "a cannot", "moon"]})
+    whole = list(C._chunks([batch]))
+    monkeypatch.setattr(C, "BYTES", 24)
+    parts = list(C._chunks([batch]))
+    assert len(whole) == 1 and len(parts) == 4 and [d for p in parts for d in p.doc.to_pylist()] == list(range(9))
+    assert np.concatenate([p.lengths for p in parts]).tolist() == whole[0].lengths.tolist() == [3, 3, 3, 3, 0, 1, 0, 1 - len({"can", "not"} & set(ENGLISH)) + 1, 1]
+    assert all(sorted(set(p.codes)) == list(range(len(p.distinct))) for p in whole + parts)
+
+
+def test_words_counted_in_texts_are_those_of_the_analyzer(spark):
+    texts = spark.createDataFrame(list(enumerate(ODD)), "doc_id int, text string").coalesce(1)
+    slow = S.analyzed(texts)
+    occurrences = S.occurrences(slow, "doc", F.size("words").cast("bigint").alias("doc_len")).groupBy("doc", "word", "doc_len").count()
+    expected = sorted((r.doc, r.word, r["count"], r.doc_len) for r in occurrences.collect())
+    for docs in (slow, S.lowered(texts)):
+        assert sorted(map(tuple, S.counted(docs).collect())) == expected
+        assert {r.doc for r in S.counted(docs, lengths=True).filter("word IS NULL").collect()} == set(range(len(ODD)))
+        lists = S.entries(docs).select("word", F.inline("entries")).select("doc", "word", "tf", "doc_len")
+        assert sorted(map(tuple, lists.collect())) == expected
+        assert sorted(map(tuple, S.frequencies(docs).collect())) == sorted(map(tuple, slow.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count().collect()))
+
+
+@pytest.mark.parametrize("name", ["doc_freq", "idf", "term_freq", "shard_pack", "bm25_scan"])
+def test_pairs_of_document_and_word_are_not_grouped(spark, name):
+    """Such a table is many times the texts, and spilled."""
+    plan = plan_of(catalog.QUERIES[name](spark, SF))
+    assert "Aggregate [doc#" not in plan and not any("doc_id#" in line.split("], [")[0] for line in plan.splitlines() if "Aggregate [" in line and "word" in line)
+
+
+def test_documents_that_are_there_twice_are_counted_together(spark, tmp_path):
+    rows = [(1, "red red sun"), (1, "red moon"), (None, "sun sun"), (2, ""), (None, "sun")]
+    for name in ("term_freq", "doc_freq"):
+        same(spark, tmp_path / name, name, documents=("doc_id long, text string", rows))
+    docs = S.lowered(spark.createDataFrame(rows, "doc_id long, text string"))
+    index = I.build_index(docs, str(tmp_path / "index"))
+    assert sorted((r.word, r.df, str(r.doc), r.tf) for r in index.postings.collect()) == [("moon", 1, "1", 1), ("red", 1, "1", 3), ("sun", 2, "1", 1), ("sun", 2, "None", 3)]
+
+
+def test_a_row_of_the_index_has_a_words_postings_in_many_documents(spark, tmp_path):
+    docs = spark.range(40).coalesce(1).select(F.col("id").alias("doc"), F.array(F.lit("hot"), F.lit("hot")).alias("words"))
+    index = I.build_index(docs, str(tmp_path))
+    assert index.lists.count() == 1 and index.postings.filter("tf = 2 AND doc_len = 2 AND df = 40").count() == 40
