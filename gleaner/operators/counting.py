@@ -13,6 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,16 +114,14 @@ def _content(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "words" if "words" in docs.columns else "lowered")
 
 
-def counted(docs: DataFrame, lengths: bool = False) -> DataFrame:
-    """(doc, word, tf, doc_len); with ``lengths`` each document has also a row without a word."""
+def counted(docs: DataFrame) -> DataFrame:
+    """(doc, word, tf, doc_len)."""
 
     def run(batches):
         for chunk in _chunks(batches):
             doc, length = chunk.doc, chunk.lengths
             code, row, times = chunk.pairs(by_word=False)
             yield from _handed({"doc": doc.take(pa.array(row)), "word": chunk.distinct.take(pa.array(code)), "tf": pa.array(times), "doc_len": pa.array(length[row])})
-            if lengths:
-                yield from _handed({"doc": doc, "word": pa.nulls(len(doc), pa.string()), "tf": pa.array(np.zeros(len(doc), np.int64)), "doc_len": pa.array(length)})
 
     kind = docs.schema["doc"].dataType
     schema = T.StructType([T.StructField("doc", kind), T.StructField("word", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("doc_len", T.LongType())])
@@ -144,11 +143,17 @@ def frequencies(docs: DataFrame) -> DataFrame:
 ENTRIES = "array<struct<doc:{},tf:int,doc_len:int>>"
 
 
-def entries(docs: DataFrame) -> DataFrame:
-    """(word, n, occurrences, entries): a row for each word of a chunk, with its ``n`` postings."""
+def entries(docs: DataFrame, totals: bool = False) -> DataFrame:
+    """(word, part, n, occurrences, entries): a row for each word of a chunk, the ``part``, with its ``n`` postings.
+    With ``totals`` a chunk has also a row without a word, with its documents and their words."""
 
     def run(batches):
-        for chunk in _chunks(batches):
+        task = TaskContext.get().partitionId() << 32
+        for i, chunk in enumerate(_chunks(batches)):
+            if totals:
+                empty = pa.StructArray.from_arrays([chunk.doc.slice(0, 0), pa.array([], pa.int32()), pa.array([], pa.int32())], ["doc", "tf", "doc_len"])
+                none = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), empty)
+                yield from _handed({"word": pa.nulls(1, pa.string()), "part": [task + i], "n": [len(chunk.doc)], "occurrences": pa.array([int(chunk.lengths.sum())]), "entries": none})
             code, row, times = chunk.pairs(by_word=True)
             if not len(code):
                 continue
@@ -156,10 +161,10 @@ def entries(docs: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(n)])
             total = np.add.reduceat(times, ends[:-1])  # each word is there at least once
             each = pa.StructArray.from_arrays([chunk.doc.take(pa.array(row)), pa.array(times.astype(np.int32)), pa.array(chunk.lengths[row].astype(np.int32))], ["doc", "tf", "doc_len"])
-            yield from _handed({"word": chunk.distinct, "n": pa.array(n), "occurrences": pa.array(total), "entries": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), each)})
+            yield from _handed({"word": chunk.distinct, "part": pa.array(np.full(len(n), task + i)), "n": pa.array(n), "occurrences": pa.array(total), "entries": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), each)})
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return _content(docs).mapInArrow(run, f"word string, n bigint, occurrences bigint, entries {ENTRIES.format(kind)}")
+    return _content(docs).mapInArrow(run, f"word string, part bigint, n bigint, occurrences bigint, entries {ENTRIES.format(kind)}")
 
 
 def repeated(docs: DataFrame) -> bool:

@@ -46,20 +46,27 @@ def candidates(words: DataFrame, index: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, path: str, limit: int = SHARD_LIMIT) -> StoredIndex:
     """Write the index of (doc, words) under ``path``: ``stats`` (one row), ``terms`` (word, df,
-    shard), sorted by word, and ``postings`` (word, df, entries) in a folder for each shard, sorted by
-    word. Postings are collected where the documents are: a row has those of one word in a part of the
-    documents, and only such rows are joined and dealt out. Words are packed into shards of up to
-    ``limit`` postings; for a large corpus raise it. A shard of more, which is one hot word, is dealt
-    out by these parts, so that it has many files."""
+    shard), sorted by word, and ``postings`` (word, df, part, entries) in a folder for each shard,
+    sorted by word. Postings are collected where the documents are: a row has those of one word in a
+    part of the documents, and these rows are dealt out once. Words go to shards of about ``limit``
+    postings by hash. A word of more has a shard of its own, which is dealt out by parts, so that it
+    has many files."""
     spark = docs.sparkSession
     lists = written(S.entries(docs), "lists")
     S.counted_stats(docs, lists, "occurrences").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    terms = written(pack_shards(lists.groupBy("word").agg(F.sum("n").alias("df")), limit), "terms")
+    shards = max(1, -(-(lists.agg(F.sum("n")).first()[0] or 0) // limit))
+    found = written(lists.groupBy("word").agg(F.sum("n").alias("df")), "terms")
+    hot = found.filter(F.col("df") > limit)  # ``shards`` rows at most
+    hot = written(hot.select("word", F.col("df").alias("hot"), (F.row_number().over(Window.orderBy("word")) + shards - 1).cast("bigint").alias("own")), "hot")
+    shard = F.coalesce("own", F.pmod(F.xxhash64("word"), F.lit(shards))).alias("shard")
+    terms = found.join(F.broadcast(hot), "word", "left").select("word", "df", shard)
     terms.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/terms")
-    # dealt out by hash: ranges would be sampled first, and the join be made twice for that
-    slices = F.when(F.col("df") > limit, F.pmod(F.xxhash64(F.col("entries")[0]["doc"]), F.ceil(F.col("df") / limit))).otherwise(F.lit(0).cast("bigint"))
-    placed = lists.join(terms.hint("shuffle_hash"), "word").select("word", "df", "entries", "shard").repartition("shard", slices)
-    placed.sortWithinPartitions("shard", "word").write.partitionBy("shard").mode("overwrite").parquet(f"{path}/postings")
+    slices = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("part"), F.ceil(F.col("hot") / limit))).otherwise(F.lit(0).cast("bigint"))
+    placed = lists.join(F.broadcast(hot), "word", "left").select("word", "n", "part", "entries", "hot", shard, slices.alias("slice"))
+    # tasks of about as many postings, whatever their number; a word's frequency is summed where its rows are
+    together = Window.partitionBy("shard", "slice", "word")
+    placed = placed.repartition(shards + hot.count(), "shard", "slice").withColumn("df", F.coalesce("hot", F.sum("n").over(together)))
+    placed.select("word", "df", "part", "entries", "shard").sortWithinPartitions("shard", "word").write.partitionBy("shard").mode("overwrite").parquet(f"{path}/postings")
     return StoredIndex(spark, path)
 
 
@@ -85,17 +92,20 @@ class StoredIndex:
     def read(self, words: DataFrame) -> DataFrame:
         """(word, df, doc, tf, doc_len) of the words asked for: only their shards' folders are listed,
         and in these only the row groups that may hold them are read."""
+        return _opened(self.read_lists(words)).drop("shard")
+
+    def read_lists(self, words: DataFrame) -> DataFrame:
+        """The same as rows (word, df, part, entries, shard)."""
         asked = words.select("word").distinct()
         some = [r.word for r in asked.limit(self.MOST_LITERALS + 1).collect()]
         if len(some) > self.MOST_LITERALS:
             # a row for each word asked for: broadcast behind a check, else all postings would be shuffled
             terms = self.terms.join(self._few(asked), "word", "left_semi").select("shard", "word")
-            return _opened(self.lists.join(self._few(terms), ["shard", "word"], "left_semi")).drop("shard")
+            return self.lists.join(self._few(terms), ["shard", "word"], "left_semi").select(*self.lists.columns)
         found = self.terms.filter(F.col("word").isin(some)).collect()  # a row per word asked for
         if not found:
-            return self.postings.filter("false").drop("shard")
-        rows = self.lists.filter(F.col("shard").isin(sorted({r.shard for r in found})) & F.col("word").isin([r.word for r in found]))
-        return _opened(rows).drop("shard")
+            return self.lists.filter("false")
+        return self.lists.filter(F.col("shard").isin(sorted({r.shard for r in found})) & F.col("word").isin([r.word for r in found]))
 
     def _few(self, rows: DataFrame) -> DataFrame:
         return F.broadcast(rows) if rows.count() <= self.MOST_BROADCAST else rows

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.config import DEFAULT_RESULTS, BM25Params, check_results
 from gleaner.functions.text import simple_words
+from gleaner.operators import scoring as P
 from gleaner.operators import stats as S
 from gleaner.operators.index import StoredIndex
 from gleaner.sources.work import written
@@ -37,29 +38,45 @@ def marker(words: DataFrame):
 
 
 def matching(docs: DataFrame, words: DataFrame, mark=None) -> DataFrame:
-    """(doc, word, tf, doc_len) of the words asked for. Lengths are those of whole documents."""
+    """(word, part, n, entries) of the words asked for: lists of postings in each part of the documents."""
     asked = (mark or marker(words))(words.select("word").distinct())
-    return S.counted(docs).join(asked, "word", "left_semi").select("doc", "word", "tf", "doc_len")
+    return S.entries(docs).join(asked, "word", "left_semi").select("word", "part", "n", "entries")
 
 
-def weighted(docs: DataFrame, words: DataFrame, params: BM25Params = BM25Params(), mark=None) -> DataFrame:
-    """(word, doc, tf, idf, tf_idf, bm25) of the words asked for: the part of the sparse vectors that a search reads.
+def candidates(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """(qid, doc): documents with at least one of a query's words. ``words``: (qid, word)."""
+    mark = marker(words)
+    return P.asked_for(_asked(matching(docs, words, mark), words.withColumn("weight", F.lit(1.0)), mark))
+
+
+def weighted_lists(docs: DataFrame, words: DataFrame, mark=None) -> tuple[DataFrame, float | None]:
+    """(word, part, idf, entries) of the words asked for, and the documents' average length.
 
     The document frequency of a word counts all its rows, so the restriction to the words asked
-    for changes nothing; the corpus statistics are over all documents."""
+    for changes nothing; the corpus statistics are over all documents, from the same pass over the texts."""
     mark = mark or marker(words)
     asked = words.select("word").distinct()
-    rows = S.counted(docs, lengths=True)  # each document has a row without a word, for the statistics: one pass over the texts
+    rows = S.entries(docs, totals=True)  # each part has a row without a word, for the statistics
     few = mark is F.broadcast
     if few:
         with_null = asked.union(asked.sparkSession.range(1).select(F.lit(None).cast("string"))).withColumnRenamed("word", "_word")
         rows = rows.join(F.broadcast(with_null), F.col("word").eqNullSafe(F.col("_word")), "left_semi")
     rows = written(rows, "matching")
-    stats = S.corpus_stats(rows.filter("word IS NULL"))
+    size, occurrences = rows.filter("word IS NULL").agg(F.sum("n"), F.sum("occurrences")).first()
     rows = rows.filter("word IS NOT NULL") if few else rows.join(asked, "word", "left_semi")
-    n_docs = S.idf(S.document_frequencies(rows), stats).select("word", "idf")
-    rows = rows.join(mark(n_docs), "word").join(F.broadcast(stats))
-    return rows.select("word", "doc", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"), S.bm25_weight(F.col("tf"), F.col("doc_len"), F.col("idf"), F.col("avg_doc_len"), params).alias("bm25"))
+    idf = rows.groupBy("word").agg(F.log(F.lit(size) / F.sum("n")).alias("idf"))
+    return rows.join(mark(idf), "word").select("word", "part", "idf", "entries"), occurrences / size if size else None
+
+
+def weighted(docs: DataFrame, words: DataFrame, params: BM25Params = BM25Params(), mark=None) -> DataFrame:
+    """(word, doc, tf, idf, tf_idf, bm25) of the words asked for: the part of the sparse vectors that a search reads."""
+    return _opened(*weighted_lists(docs, words, mark), params)
+
+
+def _opened(lists: DataFrame, avg_doc_len: float | None, params: BM25Params) -> DataFrame:
+    rows = lists.select("word", "idf", F.inline("entries")).withColumn("tf", F.col("tf").cast("bigint"))
+    weight = S.bm25_weight(F.col("tf"), F.col("doc_len"), F.col("idf"), F.lit(avg_doc_len).cast("double"), params)
+    return rows.select("word", "doc", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"), weight.alias("bm25"))
 
 
 def top(scored: DataFrame, k: int, score: str = "score", tie: str = "doc", ascending: bool = False) -> DataFrame:
@@ -73,48 +90,56 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS, params:
     """(qid, doc, score, rank): sum of BM25 over a query's distinct words; unknown words add nothing. ``docs``: (doc, words)."""
     asked = query_words(queries, words).select("qid", "word")
     mark = marker(asked)
-    return _summed(weighted(docs, asked, params, mark), mark(asked), k, min_score)
+    return _summed(*weighted_lists(docs, asked, mark), asked, mark, k, params, min_score)
 
 
 def tfidf(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS, words=simple_words, min_score: float | None = None) -> DataFrame:
     """(qid, doc, score, rank): cosine of the query's and the document's TF-IDF over the query's words; null where a norm is 0."""
     asked = query_words(queries, words)
     mark = marker(asked)
-    return _cosines(weighted(docs, asked, mark=mark), asked, mark, k, min_score)
+    return _cosines(weighted_lists(docs, asked, mark)[0], asked, mark, k, min_score)
+
+
+def stored_lists(index: StoredIndex, words: DataFrame) -> tuple[DataFrame, float | None]:
+    """The same as :func:`weighted_lists` from a stored index, of which only the words' parts are read."""
+    stats = index.stats.first()
+    idf = F.log(F.lit(stats.corpus_size) / F.col("df"))
+    return index.read_lists(words).select("word", "part", idf.alias("idf"), "entries"), stats.avg_doc_len
 
 
 def stored_weights(index: StoredIndex, words: DataFrame, params: BM25Params = BM25Params()) -> DataFrame:
-    """The same as :func:`weighted` from a stored index, of which only the words' parts are read."""
-    rows = index.read(words).join(F.broadcast(index.stats)).withColumn("idf", F.log(F.col("corpus_size") / F.col("df")))  # one row of statistics
-    return rows.select("word", "doc", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"), S.bm25_weight(F.col("tf"), F.col("doc_len"), F.col("idf"), F.col("avg_doc_len"), params).alias("bm25"))
+    """The same as :func:`weighted` from a stored index."""
+    return _opened(*stored_lists(index, words), params)
 
 
 def bm25_stored(index: StoredIndex, queries: DataFrame, k: int = DEFAULT_RESULTS, params: BM25Params = BM25Params(), words=simple_words, min_score: float | None = None) -> DataFrame:
     """:func:`bm25` from a stored index; the parameters take effect, since frequencies and lengths are stored."""
     asked = query_words(queries, words).select("qid", "word")
-    return _summed(stored_weights(index, asked, params), marker(asked)(asked), k, min_score)
+    return _summed(*stored_lists(index, asked), asked, marker(asked), k, params, min_score)
 
 
 def tfidf_stored(index: StoredIndex, queries: DataFrame, k: int = DEFAULT_RESULTS, words=simple_words, min_score: float | None = None) -> DataFrame:
     """:func:`tfidf` from a stored index."""
     asked = query_words(queries, words)
-    return _cosines(stored_weights(index, asked), asked, marker(asked), k, min_score)
+    return _cosines(stored_lists(index, asked)[0], asked, marker(asked), k, min_score)
+
+
+def _asked(lists: DataFrame, asked: DataFrame, mark) -> DataFrame:
+    """Lists with those who ask for their word; ``asked``: (qid, word, weight)."""
+    return lists.join(mark(asked.groupBy("word").agg(F.collect_list(F.struct("qid", "weight")).alias("asks"))), "word")
 
 
-def _summed(rows: DataFrame, asked: DataFrame, k: int, min_score: float | None) -> DataFrame:
-    scored = rows.join(asked, "word").groupBy("qid", "doc").agg(F.round(F.sum("bm25"), DIGITS).alias("score"))
-    return top(at_least(scored, min_score), k)
+def _summed(lists: DataFrame, avg_doc_len: float | None, asked: DataFrame, mark, k: int, params: BM25Params, min_score: float | None) -> DataFrame:
+    rows = _asked(lists, asked.withColumn("weight", F.lit(1.0)), mark)
+    return top(at_least(P.summed(rows, check_results(k), DIGITS, params, avg_doc_len), min_score), k)
 
 
-def _cosines(rows: DataFrame, asked: DataFrame, mark, k: int, min_score: float | None) -> DataFrame:
-    idf = mark(rows.select("word", "idf").distinct())
+def _cosines(lists: DataFrame, asked: DataFrame, mark, k: int, min_score: float | None) -> DataFrame:
+    idf = mark(lists.select("word", "idf").distinct())
     vectors = asked.join(idf, "word").withColumn("qw", F.col("qtf") * F.col("idf"))
     norms = vectors.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    pairs = rows.select("word", "doc", "tf_idf").join(mark(vectors.select("qid", "word", "qw")), "word")
-    sums = pairs.groupBy("qid", "doc").agg(F.sum(F.col("qw") * F.col("tf_idf")).alias("dot"), F.sqrt(F.sum(F.col("tf_idf") * F.col("tf_idf"))).alias("norm"))
-    score = F.try_divide(F.col("dot"), F.col("norm") * F.col("qnorm"))
-    scored = sums.join(mark(norms), "qid").select("qid", "doc", F.round(score, DIGITS).alias("score"))
-    return top(at_least(scored, min_score), k)
+    weights = vectors.join(mark(norms), "qid").select("qid", "word", F.coalesce(F.try_divide("qw", "qnorm"), F.lit(float("nan"))).alias("weight"))
+    return top(at_least(P.cosines(_asked(lists, weights, mark), check_results(k), DIGITS), min_score), k)
 
 
 def at_least(scored: DataFrame, min_score: float | None) -> DataFrame:

@@ -37,17 +37,14 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
     return counted(docs).select("doc", "word", "tf")
 
 
-def counted(docs: DataFrame, lengths: bool = False) -> DataFrame:
+def counted(docs: DataFrame) -> DataFrame:
     """(doc, word, tf, doc_len): the length travels with the words, so that there is no join on the document.
-    With ``lengths`` each document has also a row without a word. Words are counted where their document
-    is; only where a document is there more than once the pairs are grouped."""
+    Words are counted where their document is; only where a document is there more than once the pairs are grouped."""
     if not C.repeated(docs):
-        return C.counted(docs, lengths)
+        return C.counted(docs)
     docs = listed(docs)
     rows = occurrences(docs, "doc", F.size("words").cast("bigint").alias("doc_len"))
-    pairs = rows.groupBy("doc", "word").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
-    every = document_lengths(docs).select("doc", F.lit(None).cast("string").alias("word"), F.lit(0).cast("bigint").alias("tf"), "doc_len")
-    return pairs.unionByName(every) if lengths else pairs
+    return rows.groupBy("doc", "word").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
 
 
 def frequencies(docs: DataFrame) -> DataFrame:
@@ -57,13 +54,20 @@ def frequencies(docs: DataFrame) -> DataFrame:
     return C.frequencies(docs).groupBy("word").agg(F.sum("n").alias("df"))
 
 
-def entries(docs: DataFrame) -> DataFrame:
-    """(word, n, occurrences, entries) from (doc, words): partial lists of postings, several rows for a word."""
+def entries(docs: DataFrame, totals: bool = False) -> DataFrame:
+    """(word, part, n, occurrences, entries) from (doc, words): lists of postings, a row for each word in
+    each part of the documents. A document is in one part. With ``totals`` there are also rows
+    without a word, which hold numbers of documents and of their words."""
     if not C.repeated(docs):
-        return C.entries(docs)
+        return C.entries(docs, totals)
     tf = counted(docs)
     one = F.array(F.struct("doc", F.col("tf").cast("int").alias("tf"), F.col("doc_len").cast("int").alias("doc_len")))
-    return tf.select("word", F.lit(1).cast("bigint").alias("n"), F.col("tf").alias("occurrences"), one.alias("entries"))
+    part = F.pmod(F.xxhash64("doc"), F.lit(1024))
+    lists = tf.select("word", part.alias("part"), F.lit(1).cast("bigint").alias("n"), F.col("tf").alias("occurrences"), one.alias("entries"))
+    if not totals:
+        return lists
+    every = document_lengths(listed(docs)).agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("occurrences"))
+    return lists.unionByName(every.select(F.lit(None).cast("string").alias("word"), F.lit(0).cast("bigint").alias("part"), "n", "occurrences", F.array().cast(lists.schema["entries"].dataType).alias("entries")))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
