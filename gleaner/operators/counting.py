@@ -167,6 +167,24 @@ def entries(docs: DataFrame, totals: bool = False) -> DataFrame:
     return _content(docs).mapInArrow(run, f"word string, part bigint, n bigint, occurrences bigint, entries {ENTRIES.format(kind)}")
 
 
+def part_lists(docs: DataFrame, span: int, most: int = 4096) -> DataFrame:
+    """(word, part, docs): the sorted documents of each word, from documents that are whole numbers. The texts of a
+    part, ``span`` document numbers, are counted together; of a wider part, ``most`` at a time give a row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        content = table.column(3).combine_chunks()
+        distinct, _, codes, rows = _coded(content) if table.column_names[3] == "words" else _simple(content)
+        doc, place = np.unique(table["doc"].to_numpy(), return_inverse=True)
+        code, row = np.divmod(np.unique(codes * len(doc) + place[rows]), len(doc))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(distinct)))])
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(doc[row]))
+        return pa.table({"word": distinct, "part": pa.array(np.full(len(distinct), table["part"][0].as_py())), "docs": lists})
+
+    part = F.floor(F.col("doc") / span).cast("bigint")
+    rows = docs.filter("doc IS NOT NULL").select(part.alias("part"), F.floor(F.pmod("doc", F.lit(span)) / most).cast("bigint").alias("within"), F.col("doc").cast("bigint").alias("doc"), docs.columns[1])
+    return rows.groupBy("part", "within").applyInArrow(run, "word string, part bigint, docs array<bigint>")
+
+
 def repeated(docs: DataFrame) -> bool:
     """Whether a document is there more than once; of the documents only their names are read."""
     return bool(docs.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").limit(1).collect())

@@ -7,13 +7,18 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators import counting as C
 from gleaner.operators import stats as S
 from gleaner.sources.work import written
 
 #: Fixed value: postings of a shard; a longer word has a shard of its own.
 SHARD_LIMIT = 500_000
+#: Part of a stored index's name: another where what is stored changes, so that none of another form is read.
+LAYOUT = "index-of-parts"
 #: Documents of a row of postings: a word of more documents has several rows.
 SPAN = 1 << 20
+#: Documents whose texts are counted together for such rows.
+WITHIN = 1 << 12
 
 
 def document_ids(docs: DataFrame) -> DataFrame:
@@ -39,6 +44,17 @@ def postings(tf: DataFrame, ids: DataFrame | None = None, span: int = SPAN) -> D
     return rows.groupBy("word", part.alias("part")).agg(F.sort_array(F.collect_set("doc")).alias("docs"))
 
 
+def text_postings(docs: DataFrame, ids: DataFrame, span: int = SPAN) -> DataFrame:
+    """The same as :func:`postings` by number, from documents: texts are dealt out by their number's range
+    and counted there, so that no pairs of document and word are shuffled. A wide range is put together of several lists."""
+    content = docs.columns[1]
+    rows = docs.join(ids.hint("shuffle_hash"), "doc").select(F.col("doc_int").alias("doc"), content)
+    lists = C.part_lists(rows, span, WITHIN)
+    if span <= WITHIN:
+        return lists
+    return lists.groupBy("word", "part").agg(F.flatten(F.sort_array(F.collect_list("docs"))).alias("docs"))  # lists of disjoint ranges
+
+
 def candidates(words: DataFrame, index: DataFrame) -> DataFrame:
     """(qid, doc): documents with at least one of a query's words. ``words``: (qid, word); ``index``: (word, docs)."""
     return words.join(index, "word").select("qid", F.explode("docs").alias("doc")).distinct()

@@ -169,3 +169,16 @@ def test_a_row_of_the_index_has_a_words_postings_in_many_documents(spark, tmp_pa
     docs = spark.range(40).coalesce(1).select(F.col("id").alias("doc"), F.array(F.lit("hot"), F.lit("hot")).alias("words"))
     index = I.build_index(docs, str(tmp_path))
     assert index.lists.count() == 1 and index.postings.filter("tf = 2 AND doc_len = 2 AND df = 40").count() == 40
+
+
+def test_postings_are_made_of_texts_by_range(spark, tmp_path, monkeypatch):
+    plan = catalog.QUERIES["postings"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(word" not in plan and "hashpartitioning(doc#" in plan
+    rows = [(i, ["red sun", "red moon red", "", None, "sun cannot"][i % 5]) for i in range(30)] + [(7, "sun")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = I.document_ids(S.lowered(texts))
+    monkeypatch.setattr(I, "WITHIN", 8)
+    for docs in (S.lowered(texts), S.analyzed(texts)):
+        for span in (4, 8, 20):
+            ours = {(r.word, r.part): r.docs for r in I.text_postings(docs, ids, span).collect()}
+            assert ours == {(r.word, r.part): r.docs for r in I.postings(S.term_frequencies(docs), ids, span).collect()}
