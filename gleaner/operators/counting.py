@@ -49,6 +49,12 @@ class Chunk(NamedTuple):
         high, low = np.divmod(key[first], wide)
         return *((high, low) if by_word else (low, high)), np.diff(np.concatenate([first, [len(key)]]))
 
+    def only(self, words: pa.Array) -> Chunk:
+        """With the places of these words only; lengths stay."""
+        keep = pc.is_in(self.distinct, value_set=words).to_numpy(zero_copy_only=False)
+        at = keep[self.codes]
+        return self._replace(distinct=self.distinct.filter(pa.array(keep)), codes=(np.cumsum(keep) - 1)[self.codes[at]], rows=self.rows[at])
+
 
 def _coded(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -141,30 +147,80 @@ def frequencies(docs: DataFrame) -> DataFrame:
 
 #: Rows of postings of a word.
 ENTRIES = "array<struct<doc:{},tf:int,doc_len:int>>"
+#: The same as bytes, of documents that are of type bigint: Spark moves and writes a row's postings as one value.
+#: The frequency is below 0 where there is no document.
+POSTING = np.dtype([("doc", "<i8"), ("tf", "<i4"), ("doc_len", "<i4")])
+
+
+def _lists(doc: pa.Array, row: np.ndarray, tf: np.ndarray, doc_len: np.ndarray, ends: np.ndarray, packed: bool) -> pa.Array:
+    if not packed:
+        each = pa.StructArray.from_arrays([doc.take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(doc_len.astype(np.int32))], ["doc", "tf", "doc_len"])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), each)
+    each = np.empty(len(row), POSTING)
+    there = doc.is_valid().to_numpy(zero_copy_only=False)[row]
+    each["doc"], each["tf"], each["doc_len"] = pc.fill_null(doc, 0).to_numpy(zero_copy_only=False)[row], np.where(there, tf, -tf), doc_len
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * POSTING.itemsize).astype(np.int32)), pa.py_buffer(each.view(np.uint8))])
+
+
+def unpacked(entries: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """doc, tf and doc_len of all postings in turn, and how many of them each row has."""
+    flat = np.frombuffer(b"".join(entries.to_pylist()), POSTING)
+    lengths = pc.binary_length(entries).to_numpy(zero_copy_only=False) // POSTING.itemsize
+    return pa.array(np.ascontiguousarray(flat["doc"]), mask=flat["tf"] < 0), np.abs(flat["tf"]), np.ascontiguousarray(flat["doc_len"]), lengths
 
 
-def entries(docs: DataFrame, totals: bool = False) -> DataFrame:
+def is_packed(lists: DataFrame) -> bool:
+    return isinstance(lists.schema["entries"].dataType, T.BinaryType)
+
+
+def opened(lists: DataFrame, *columns: str) -> DataFrame:
+    """The ``columns`` and (doc, tf, doc_len): a row for each posting, from lists of either form."""
+    if not is_packed(lists):
+        return lists.select(*columns, F.inline("entries"))
+
+    def run(batches):
+        for batch in batches:
+            ends, start = np.cumsum(pc.binary_length(batch.column("entries")).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+            while start < len(ends):
+                stop = max(start + 1, int(np.searchsorted(ends, BYTES + (ends[start - 1] if start else 0), "right")))
+                part = batch.slice(start, stop - start)
+                doc, tf, doc_len, lengths = unpacked(part.column("entries"))
+                at = pa.array(np.repeat(np.arange(len(part)), lengths))
+                yield from _handed({c: part.column(c).take(at) for c in columns} | {"doc": doc, "tf": pa.array(tf), "doc_len": pa.array(doc_len)})
+                start = stop
+
+    kinds = [T.StructField(c, lists.schema[c].dataType) for c in columns]
+    numbers = [T.StructField("doc", T.LongType()), T.StructField("tf", T.IntegerType()), T.StructField("doc_len", T.IntegerType())]
+    return lists.select(*columns, "entries").mapInArrow(run, T.StructType(kinds + numbers))
+
+
+def entries(docs: DataFrame, totals: bool = False, asked: list[str] | None = None, packed: bool = False) -> DataFrame:
     """(word, part, n, occurrences, entries): a row for each word of a chunk, the ``part``, with its ``n`` postings.
-    With ``totals`` a chunk has also a row without a word, with its documents and their words."""
+    With ``totals`` a chunk has also a row without a word, with its documents and their words. Of the words
+    ``asked`` only, if such are given. Entries are bytes (:data:`POSTING`) if ``packed`` and the documents are texts with whole numbers; lists of
+    words keep arrays, which Spark itself opens, so that a posting can be asked for its file."""
+    packed = packed and "lowered" in docs.columns and isinstance(docs.schema["doc"].dataType, T.LongType)
 
     def run(batches):
         task = TaskContext.get().partitionId() << 32
+        words = None if asked is None else pa.array(asked, pa.string())
         for i, chunk in enumerate(_chunks(batches)):
             if totals:
-                empty = pa.StructArray.from_arrays([chunk.doc.slice(0, 0), pa.array([], pa.int32()), pa.array([], pa.int32())], ["doc", "tf", "doc_len"])
-                none = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), empty)
+                no = np.zeros(0, np.int64)
+                none = _lists(chunk.doc.slice(0, 0), no, no, no, np.zeros(2, np.int64), packed)
                 yield from _handed({"word": pa.nulls(1, pa.string()), "part": [task + i], "n": [len(chunk.doc)], "occurrences": pa.array([int(chunk.lengths.sum())]), "entries": none})
+            chunk = chunk if words is None else chunk.only(words)
             code, row, times = chunk.pairs(by_word=True)
             if not len(code):
                 continue
             n = np.bincount(code, minlength=len(chunk.distinct))
             ends = np.concatenate([[0], np.cumsum(n)])
             total = np.add.reduceat(times, ends[:-1])  # each word is there at least once
-            each = pa.StructArray.from_arrays([chunk.doc.take(pa.array(row)), pa.array(times.astype(np.int32)), pa.array(chunk.lengths[row].astype(np.int32))], ["doc", "tf", "doc_len"])
-            yield from _handed({"word": chunk.distinct, "part": pa.array(np.full(len(n), task + i)), "n": pa.array(n), "occurrences": pa.array(total), "entries": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), each)})
+            each = _lists(chunk.doc, row, times, chunk.lengths[row], ends, packed)
+            yield from _handed({"word": chunk.distinct, "part": pa.array(np.full(len(n), task + i)), "n": pa.array(n), "occurrences": pa.array(total), "entries": each})
 
-    kind = docs.schema["doc"].dataType.simpleString()
-    return _content(docs).mapInArrow(run, f"word string, part bigint, n bigint, occurrences bigint, entries {ENTRIES.format(kind)}")
+    kind = "binary" if packed else ENTRIES.format(docs.schema["doc"].dataType.simpleString())
+    return _content(docs).mapInArrow(run, f"word string, part bigint, n bigint, occurrences bigint, entries {kind}")
 
 
 def part_lists(docs: DataFrame, span: int, most: int = 4096) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from gleaner.config import BM25Params
+from gleaner.operators import counting as C
 
 #: Cells of queries and documents that are summed at a time.
 CELLS = 4_000_000
@@ -25,16 +26,19 @@ class Part:
     """The lists of a part as arrays: a slice of ``rows`` (into ``docs``, the sorted documents) for each list."""
 
     def __init__(self, table: pa.Table):
-        entries = table["entries"].combine_chunks()
-        flat = entries.flatten()
-        coded = flat.field("doc").dictionary_encode(null_encoding="encode")
+        if pa.types.is_binary(table.schema.field("entries").type):
+            doc, tf, doc_len, self.lengths = C.unpacked(table["entries"])
+        else:
+            entries = table["entries"].combine_chunks()
+            doc, tf, doc_len = (entries.flatten().field(c) for c in ("doc", "tf", "doc_len"))
+            self.lengths = pc.list_value_length(entries).to_numpy(zero_copy_only=False)
+        coded = doc.dictionary_encode(null_encoding="encode")
         order = pc.array_sort_indices(coded.dictionary, null_placement="at_start")  # as Spark sorts
         self.docs = coded.dictionary.take(order)
         place = np.empty(len(order), np.int64)
         place[order.to_numpy()] = np.arange(len(order))
         self.rows = place[coded.indices.to_numpy(zero_copy_only=False)]
-        self.tf, self.doc_len = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("tf", "doc_len"))
-        self.lengths = pc.list_value_length(entries).to_numpy(zero_copy_only=False)
+        self.tf, self.doc_len = np.asarray(tf, float), np.asarray(doc_len, float)
         self.ends = np.cumsum(self.lengths)
         self.idf = np.repeat(table["idf"].to_numpy().astype(float), self.lengths) if "idf" in table.schema.names else None
         asks = table["asks"].combine_chunks()
@@ -64,7 +68,7 @@ class Part:
 
 
 def _each_part(lists: DataFrame, columns: str, run: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    kind = {"doc": lists.schema["entries"].dataType.elementType["doc"].dataType, "qid": lists.schema["asks"].dataType.elementType["qid"].dataType}
+    kind = {"doc": T.LongType() if C.is_packed(lists) else lists.schema["entries"].dataType.elementType["doc"].dataType, "qid": lists.schema["asks"].dataType.elementType["qid"].dataType}
     schema = T.StructType([T.StructField(c, kind.get(c, T.DoubleType())) for c in columns.split()])
     return lists.select("part", *(["idf"] if "idf" in lists.columns else []), "entries", "asks").groupBy("part").applyInArrow(run, schema)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.config import DEFAULT_RESULTS, BM25Params, check_results
 from gleaner.functions.text import simple_words
+from gleaner.operators import counting as C
 from gleaner.operators import scoring as P
 from gleaner.operators import stats as S
 from gleaner.operators.index import StoredIndex
@@ -40,7 +41,7 @@ def marker(words: DataFrame):
 def matching(docs: DataFrame, words: DataFrame, mark=None) -> DataFrame:
     """(word, part, n, entries) of the words asked for: lists of postings in each part of the documents."""
     asked = (mark or marker(words))(words.select("word").distinct())
-    return S.entries(docs).join(asked, "word", "left_semi").select("word", "part", "n", "entries")
+    return S.entries(docs, packed=True).join(asked, "word", "left_semi").select("word", "part", "n", "entries")
 
 
 def candidates(docs: DataFrame, words: DataFrame) -> DataFrame:
@@ -56,12 +57,9 @@ def weighted_lists(docs: DataFrame, words: DataFrame, mark=None) -> tuple[DataFr
     for changes nothing; the corpus statistics are over all documents, from the same pass over the texts."""
     mark = mark or marker(words)
     asked = words.select("word").distinct()
-    rows = S.entries(docs, totals=True)  # each part has a row without a word, for the statistics
-    few = mark is F.broadcast
-    if few:
-        with_null = asked.union(asked.sparkSession.range(1).select(F.lit(None).cast("string"))).withColumnRenamed("word", "_word")
-        rows = rows.join(F.broadcast(with_null), F.col("word").eqNullSafe(F.col("_word")), "left_semi")
-    rows = written(rows, "matching")
+    few = mark is F.broadcast  # then postings of other words don't leave the batch that they are counted in
+    # each part has a row without a word, for the statistics
+    rows = written(S.entries(docs, totals=True, asked=asked if few else None, packed=True), "matching")
     size, occurrences = rows.filter("word IS NULL").agg(F.sum("n"), F.sum("occurrences")).first()
     rows = rows.filter("word IS NOT NULL") if few else rows.join(asked, "word", "left_semi")
     idf = rows.groupBy("word").agg(F.log(F.lit(size) / F.sum("n")).alias("idf"))
@@ -74,7 +72,7 @@ def weighted(docs: DataFrame, words: DataFrame, params: BM25Params = BM25Params(
 
 
 def _opened(lists: DataFrame, avg_doc_len: float | None, params: BM25Params) -> DataFrame:
-    rows = lists.select("word", "idf", F.inline("entries")).withColumn("tf", F.col("tf").cast("bigint"))
+    rows = C.opened(lists, "word", "idf").withColumn("tf", F.col("tf").cast("bigint"))
     weight = S.bm25_weight(F.col("tf"), F.col("doc_len"), F.col("idf"), F.lit(avg_doc_len).cast("double"), params)
     return rows.select("word", "doc", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"), weight.alias("bm25"))
 

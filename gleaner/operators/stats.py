@@ -54,13 +54,14 @@ def frequencies(docs: DataFrame) -> DataFrame:
     return C.frequencies(docs).groupBy("word").agg(F.sum("n").alias("df"))
 
 
-def entries(docs: DataFrame, totals: bool = False) -> DataFrame:
+def entries(docs: DataFrame, totals: bool = False, asked: DataFrame | None = None, packed: bool = False) -> DataFrame:
     """(word, part, n, occurrences, entries) from (doc, words): lists of postings, a row for each word in
     each part of the documents. A document is in one part. With ``totals`` there are also rows
-    without a word, which hold numbers of documents and of their words."""
+    without a word, which hold numbers of documents and of their words. Of the words ``asked`` only, if such
+    are given: (word), each once, so few that every task may have them. ``packed``: see :func:`counting.entries`."""
     if not C.repeated(docs):
-        return C.entries(docs, totals)
-    tf = counted(docs)
+        return C.entries(docs, totals, None if asked is None else [r.word for r in asked.collect()], packed)
+    tf = counted(docs) if asked is None else counted(docs).join(F.broadcast(asked), "word", "left_semi")
     one = F.array(F.struct("doc", F.col("tf").cast("int").alias("tf"), F.col("doc_len").cast("int").alias("doc_len")))
     part = F.pmod(F.xxhash64("doc"), F.lit(1024))
     lists = tf.select("word", part.alias("part"), F.lit(1).cast("bigint").alias("n"), F.col("tf").alias("occurrences"), one.alias("entries"))

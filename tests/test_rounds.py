@@ -182,3 +182,38 @@ def test_postings_are_made_of_texts_by_range(spark, tmp_path, monkeypatch):
         for span in (4, 8, 20):
             ours = {(r.word, r.part): r.docs for r in I.text_postings(docs, ids, span).collect()}
             assert ours == {(r.word, r.part): r.docs for r in I.postings(S.term_frequencies(docs), ids, span).collect()}
+
+
+def test_packed_lists_are_those_of_the_arrays(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "red red sun"), (-(2**62), "red sun"), (2**62, "red")]
+    for kind in ("long", "string"):
+        docs = S.lowered(spark.createDataFrame([(d if kind == "long" or d is None else f"d{d}", t) for d, t in rows], f"doc_id {kind}, text string").coalesce(1))
+        plain, packed = S.entries(docs), S.entries(docs, packed=True)
+        assert C.is_packed(packed) == (kind == "long") and not C.is_packed(plain)
+        expected = sorted(map(str, C.opened(plain, "word", "n").collect()))
+        assert sorted(map(str, C.opened(packed, "word", "n").collect())) == expected
+        asked = spark.createDataFrame([("red",), ("can",), ("nowhere",)], "word string")
+        some = S.entries(docs, totals=True, asked=asked, packed=True)
+        assert sorted(map(str, C.opened(some.filter("word IS NOT NULL"), "word", "n").collect())) == [r for r in expected if "word='red'" in r or "word='can'" in r]
+        assert some.filter("word IS NULL").agg(F.sum("n")).first()[0] == len(rows)
+
+
+def test_postings_are_opened_from_bytes(spark, monkeypatch):
+    """A row of a hot word has thousands of them, a batch thousands of rows."""
+    docs = spark.range(50).coalesce(1).select(F.col("id").alias("doc"), F.concat(F.lit("hot w"), F.col("id").cast("string")).alias("lowered"))
+    doc, tf, doc_len, lengths = C.unpacked(pa.array([bytes(r.entries) for r in S.entries(docs, packed=True).collect()]))
+    assert len(doc) == lengths.sum() == 100 and set(tf) == {1} and set(doc_len) == {2} and max(lengths) == 50
+    monkeypatch.setattr(C, "BYTES", 40)
+    assert sorted(r.doc for r in C.opened(S.entries(docs, packed=True).filter("word = 'hot'"), "word").collect()) == list(range(50))
+
+
+@pytest.mark.parametrize("name", ["bm25_scan", "tfidf_scan"])
+def test_scans_hand_over_the_words_asked_for_only(spark, tmp_path, name, monkeypatch):
+    """Lists of all words used to leave the batches that they were counted in."""
+    from gleaner.operators import search as Q
+
+    seen = []
+    inner = Q.written
+    monkeypatch.setattr(Q, "written", lambda df, what: seen.append(plan_of(df)) or inner(df, what))
+    same(spark, tmp_path, name, documents=("doc_id long, text string", [(1, "red sun red"), (2, "moon"), (3, None), (4, "sun")]), benchmark=("item_id long, text string", [(7, "red sun"), (8, "moon dust"), (9, "")]))
+    assert seen and "Join" not in seen[0]
