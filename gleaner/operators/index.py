@@ -14,7 +14,7 @@ from gleaner.sources.work import written
 #: Fixed value: postings of a shard; a longer word has a shard of its own.
 SHARD_LIMIT = 500_000
 #: Part of a stored index's name: another where what is stored changes, so that none of another form is read.
-LAYOUT = "index-of-parts"
+LAYOUT = "index-of-packed-parts"
 #: Documents of a row of postings: a word of more documents has several rows.
 SPAN = 1 << 20
 #: Documents whose texts are counted together for such rows.
@@ -66,39 +66,51 @@ def build_index(docs: DataFrame, path: str, limit: int = SHARD_LIMIT) -> StoredI
     sorted by word. Postings are collected where the documents are: a row has those of one word in a
     part of the documents, and these rows are dealt out once. Words go to shards of about ``limit``
     postings by hash. A word of more has a shard of its own, which is dealt out by parts, so that it
-    has many files."""
+    has many files. Terms are taken from the postings as written, where a word's frequency is there already."""
     spark = docs.sparkSession
-    lists = written(S.entries(docs), "lists")
-    S.counted_stats(docs, lists, "occurrences").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    lists = written(S.entries(docs, totals=True, packed=True), "lists")
+    totals = lists.filter("word IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "occurrences")))
+    average = F.try_divide(F.col("occurrences").cast("double"), F.col("n").cast("double"))
+    totals.select(F.col("n").alias("corpus_size"), average.alias("avg_doc_len")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    parts = lists.filter("word IS NULL").count()
+    lists = lists.filter("word IS NOT NULL")
     shards = max(1, -(-(lists.agg(F.sum("n")).first()[0] or 0) // limit))
-    found = written(lists.groupBy("word").agg(F.sum("n").alias("df")), "terms")
-    hot = found.filter(F.col("df") > limit)  # ``shards`` rows at most
+    # in packed lists a word has a row in a part at most: one above the limit has more than that share of it somewhere
+    some = lists.filter(F.col("n") > (limit / max(1, parts) if C.is_packed(lists) else 0)).select("word").distinct()
+    hot = lists.join(_few(some), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("df")).filter(F.col("df") > limit)  # ``shards`` rows at most
     hot = written(hot.select("word", F.col("df").alias("hot"), (F.row_number().over(Window.orderBy("word")) + shards - 1).cast("bigint").alias("own")), "hot")
     shard = F.coalesce("own", F.pmod(F.xxhash64("word"), F.lit(shards))).alias("shard")
-    terms = found.join(F.broadcast(hot), "word", "left").select("word", "df", shard)
-    terms.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/terms")
     slices = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("part"), F.ceil(F.col("hot") / limit))).otherwise(F.lit(0).cast("bigint"))
     placed = lists.join(F.broadcast(hot), "word", "left").select("word", "n", "part", "entries", "hot", shard, slices.alias("slice"))
     # tasks of about as many postings, whatever their number; a word's frequency is summed where its rows are
     together = Window.partitionBy("shard", "slice", "word")
     placed = placed.repartition(shards + hot.count(), "shard", "slice").withColumn("df", F.coalesce("hot", F.sum("n").over(together)))
-    placed.select("word", "df", "part", "entries", "shard").sortWithinPartitions("shard", "word").write.partitionBy("shard").mode("overwrite").parquet(f"{path}/postings")
+    placed = placed.sortWithinPartitions("shard", "slice", "word")  # as the window has them; a shard with slices has one word
+    placed.select("word", "df", "part", "entries", "shard").write.partitionBy("shard").mode("overwrite").parquet(f"{path}/postings")
+    terms = spark.read.schema("word string, df bigint, shard bigint").parquet(f"{path}/postings").groupBy("word").agg(F.max("df").alias("df"), F.max("shard").alias("shard"))
+    terms.sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/terms")
     return StoredIndex(spark, path)
 
 
 def _opened(lists: DataFrame) -> DataFrame:
     """(word, df, doc, tf, doc_len, shard): a row for each posting."""
-    rows = lists.select("word", "df", "shard", F.inline("entries"))
+    rows = C.opened(lists, "word", "df", "shard")
     return rows.select("word", "df", "doc", F.col("tf").cast("bigint").alias("tf"), F.col("doc_len").cast("bigint").alias("doc_len"), "shard")
 
 
+#: Words of a query set that are broadcast; beyond, the planner joins by shuffle.
+MOST_BROADCAST = 200_000
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+
+
 class StoredIndex:
     """What :func:`build_index` wrote."""
 
     #: Words of a query set that go to the scan as literals; more of them are joined.
     MOST_LITERALS = 2_000
-    #: Words of a query set that are broadcast; beyond, the planner joins by shuffle.
-    MOST_BROADCAST = 200_000
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -116,16 +128,13 @@ class StoredIndex:
         some = [r.word for r in asked.limit(self.MOST_LITERALS + 1).collect()]
         if len(some) > self.MOST_LITERALS:
             # a row for each word asked for: broadcast behind a check, else all postings would be shuffled
-            terms = self.terms.join(self._few(asked), "word", "left_semi").select("shard", "word")
-            return self.lists.join(self._few(terms), ["shard", "word"], "left_semi").select(*self.lists.columns)
+            terms = self.terms.join(_few(asked), "word", "left_semi").select("shard", "word")
+            return self.lists.join(_few(terms), ["shard", "word"], "left_semi").select(*self.lists.columns)
         found = self.terms.filter(F.col("word").isin(some)).collect()  # a row per word asked for
         if not found:
             return self.lists.filter("false")
         return self.lists.filter(F.col("shard").isin(sorted({r.shard for r in found})) & F.col("word").isin([r.word for r in found]))
 
-    def _few(self, rows: DataFrame) -> DataFrame:
-        return F.broadcast(rows) if rows.count() <= self.MOST_BROADCAST else rows
-
 
 def lookup(index: DataFrame, words: Iterable[str]) -> DataFrame:
     """Rows of the given words; the filter reaches the scan."""

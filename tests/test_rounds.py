@@ -217,3 +217,14 @@ def test_scans_hand_over_the_words_asked_for_only(spark, tmp_path, name, monkeyp
     monkeypatch.setattr(Q, "written", lambda df, what: seen.append(plan_of(df)) or inner(df, what))
     same(spark, tmp_path, name, documents=("doc_id long, text string", [(1, "red sun red"), (2, "moon"), (3, None), (4, "sun")]), benchmark=("item_id long, text string", [(7, "red sun"), (8, "moon dust"), (9, "")]))
     assert seen and "Join" not in seen[0]
+
+
+def test_an_index_finds_words_above_the_limit_wherever_they_are(spark, tmp_path):
+    docs = spark.range(60).repartition(4).select(F.col("id").alias("doc"), F.concat(F.lit("hot "), F.when(F.col("id") < 30, "warm").otherwise("cold")).alias("lowered"))
+    index = I.build_index(docs, str(tmp_path), limit=40)
+    assert C.is_packed(index.lists)
+    terms = {r.word: (r.df, r.shard) for r in index.terms.collect()}
+    assert {w: d for w, (d, _) in terms.items()} == {"hot": 60, "warm": 30, "cold": 30}
+    assert terms["hot"][1] >= 3 and terms["warm"][1] < 3 and terms["cold"][1] < 3  # 120 postings: 3 shards, then those of hot words
+    assert {(r.word, r.df, r.shard) for r in index.lists.collect()} == {(w, *of) for w, of in terms.items()}
+    assert tuple(index.stats.first()) == (60, 2.0)
