@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.html import article_text
+from gleaner.sources.work import written
 
 MISSING = "ERROR: COULD NOT LOCATE ARTICLE AT "
 INVALID = "Unable to parse invalid article: "
+#: Results whose documents are broadcast; beyond, the planner joins by shuffle.
+MOST_BROADCAST = 200_000
 
 
 def read_articles(spark: SparkSession, paths: str | list[str], glob: str = "*.html") -> DataFrame:
@@ -35,8 +38,12 @@ def existing(paths: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def attach_text(results: DataFrame, texts: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
-    """Results with the text of each hit, or what says that it is missing."""
+    """Results with the text of each hit, or what says that it is missing. Results are written first: if they are
+    few, only the texts that they name are joined, and the others aren't shuffled."""
+    results = written(results, "results")
     named = texts.select(F.col(doc), F.col(text).alias("text"), F.lit(True).alias("_there"))
+    if results.count() <= MOST_BROADCAST:
+        named = named.join(F.broadcast(results.select(doc).distinct()), doc, "left_semi")
     joined = results.join(named, doc, "left")
     shown = F.when(F.col("_there").isNull(), F.concat(F.lit(MISSING), F.col(doc).cast("string"))).otherwise(F.coalesce("text", F.concat(F.lit(INVALID), F.col(doc).cast("string"))))
     return joined.withColumn("text", shown).drop("_there")

@@ -17,6 +17,7 @@ from gleaner.operators import index as I
 from gleaner.operators import stats as S
 from gleaner.operators import vectors as V
 from gleaner.plans import catalog
+from gleaner.sources import articles as A
 
 SF = "/root/testdata/sf0.001"
 
@@ -228,3 +229,19 @@ def test_an_index_finds_words_above_the_limit_wherever_they_are(spark, tmp_path)
     assert terms["hot"][1] >= 3 and terms["warm"][1] < 3 and terms["cold"][1] < 3  # 120 postings: 3 shards, then those of hot words
     assert {(r.word, r.df, r.shard) for r in index.lists.collect()} == {(w, *of) for w, of in terms.items()}
     assert tuple(index.stats.first()) == (60, 2.0)
+
+
+def test_texts_that_no_hit_names_are_not_shuffled(spark, monkeypatch):
+    hits = spark.createDataFrame([(1, 3), (1, 9), (2, 3), (2, None)], "qid int, doc long")
+    texts = spark.range(40).select(F.col("id").alias("doc"), F.when(F.col("id") != 9, F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of any size
+    try:
+        df = A.attach_text(hits, texts)
+        got = sorted(map(str, df.collect()))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan and "strategy=broadcast" in plan
+        monkeypatch.setattr(A, "MOST_BROADCAST", 0)
+        assert sorted(map(str, A.attach_text(hits, texts).collect())) == got and len(got) == 4 and sum("t3" in r for r in got) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
